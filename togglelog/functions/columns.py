@@ -35,12 +35,10 @@ def per_hop(time: Column, hops: Column) -> Column:
 
 
 def exact_sum(df: DataFrame, column: str) -> Column:
-    """Sum of a time column as DOUBLE. Sums of LONG nanoseconds leave the LONG range, so they are
-    added as DECIMAL(38, 0)."""
+    """Sum of a time column without rounding: sums of LONG nanoseconds leave the LONG range, so they
+    are added as DECIMAL(38, 0)."""
     value = F.col(column)
-    if df.schema[column].dataType == T.LongType():
-        value = value.cast("decimal(38,0)")
-    return F.sum(value).cast("double")
+    return F.sum(value.cast("decimal(38,0)") if df.schema[column].dataType == T.LongType() else value)
 
 
 def type_of(df: DataFrame, column: str) -> str:

@@ -116,11 +116,12 @@ def hop_cost(propagations: DataFrame) -> DataFrame:
         F.sum("hops").alias("_hops"),
     )
     total_hops = F.coalesce(F.sum("_hops"), F.lit(0.0))
+    total_time = F.sum("_time").cast("double")
     return per_message.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_propagations"),
         F.count("*").alias("n_messages"),
         total_hops.alias("total_hops"),
-        F.when(total_hops > 0, F.sum("_time") / total_hops).otherwise(F.lit(0.0)).alias("time_per_hop_ns"),
+        F.when(total_hops > 0, total_time / total_hops).otherwise(F.lit(0.0)).alias("time_per_hop_ns"),
     )
 
 
