@@ -85,7 +85,9 @@ def usable_rows(log: DataFrame, by_device: bool = True) -> DataFrame:
     """The pairing columns of the rows that can take part: known group, time and value."""
     keys = BY_DEVICE if by_device else BY_EVENT
     rows = normalise(log).select(*keys, "time_ns", "ord", "toggled", "message_id")
-    return rows.dropna(subset=[*keys, "time_ns", "toggled"])
+    for column in (*keys, "time_ns", "toggled"):  # one by one, so that they reach the scan
+        rows = rows.where(F.col(column).isNotNull())
+    return rows
 
 
 # --- run heads --------------------------------------------------------------------------------

@@ -35,7 +35,7 @@ def unbalanced_groups(log: DataFrame) -> DataFrame:
     """Groups with a different number of starts and ends."""
     return (
         normalise(log)
-        .dropna(subset=list(BY_DEVICE))
+        .where(F.col("device_id").isNotNull() & F.col("event").isNotNull())
         .groupBy(*BY_DEVICE)
         .agg(F.count_if("toggled").alias("starts"), F.count_if(~F.col("toggled")).alias("ends"))
         .where("starts <> ends")

@@ -31,7 +31,7 @@ def sync_starts(log: DataFrame, event: str = SYNC_EVENT) -> DataFrame:
         .where(is_usable_message() & is_sync_message())
         .where(F.col("device_id").isNotNull() & F.col("time_ns").isNotNull())
         .groupBy("message_id", "device_id")
-        .agg(F.max_by("time_ns", F.struct("ord", "time_ns")).alias("start_ns"))
+        .agg(F.max_by("time_ns", "ord").alias("start_ns"))
     )
 
 

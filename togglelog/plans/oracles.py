@@ -66,7 +66,8 @@ SHIPMENTS = """
 sh AS (
   SELECT l_orderkey, l_linestatus, epoch_us(l_shipdate) * 1000 AS time_ns, 'N' || s_nationkey AS device_id,
          CAST(s_nationkey % 5 AS DOUBLE) AS position,
-         CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS ord
+         l_linenumber * 1000000000000000 + l_partkey
+           + date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) * 1000000000 AS ord
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
 
 STARTS = f"""{SHIPMENTS},

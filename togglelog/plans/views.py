@@ -43,7 +43,9 @@ def _nation(column: str):
 
 def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
-    ord_ = F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")
+    # lines of an order by their number; ship day and part settle numbers that are used twice
+    day = F.unix_date(F.to_date("l_shipdate"))
+    ord_ = F.col("l_linenumber") * F.lit(10**15) + day * F.lit(10**9) + F.col("l_partkey")
     return lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
         "l_orderkey", "l_linestatus", _ns("l_shipdate").alias("time_ns"), *_nation("s_nationkey"), ord_.alias("ord")
     )
@@ -101,11 +103,11 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     fields = [F.col("event"), time, toggled, F.col("device_id"), F.col("position").cast("string")]
     line = F.concat_ws(",", *fields, F.coalesce("message_id", F.lit("")))
-    return rows.select(
+    line = (
         F.when(i % 29 == 6, F.concat(F.lit("// "), line))
         .when(i % 31 == 7, F.concat(F.lit("   # "), line))
         .when(i % 37 == 8, F.lit("  "))
         .otherwise(line)
-        .alias("value"),
-        "ord",
     )
+    # `inline`, so that each line is put together once, as if it had been read from a file
+    return rows.select(F.inline(F.array(F.struct(line.alias("value"), "ord"))))
