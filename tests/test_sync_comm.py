@@ -1,0 +1,161 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+from fleet import fleet_rows, log_of, rows_of
+
+from togglelog.operators import (
+    hop_cost,
+    hop_trend,
+    message_stats,
+    pair_means,
+    propagation,
+    ranked_starts,
+    sync_pairs,
+    sync_starts,
+    sync_stats,
+    sync_summary,
+)
+
+
+def pulse_log(spark, seed=1, big=120):
+    """Pulses of 1 to 9 devices and a big one; devices may start a pulse again."""
+    rng = random.Random(seed)
+    rows = []
+    for pulse in range(40):
+        for device in rng.sample(range(300), big if pulse == 0 else rng.randrange(1, 10)):
+            for _ in range(rng.choice([1, 1, 1, 2])):
+                time = 1_700_000_000_000_000_000 + rng.randrange(1_000_000)
+                rows.append(("Sync_Pulse", time, rng.random() < 0.9, f"D{device}", 1.0, f"SYNC_{pulse}"))
+    rows += [
+        ("Sync_Pulse", 5, True, "D1", 1.0, "MSG_1"),
+        ("Sync_Pulse", 5, True, None, 1.0, "SYNC_1"),
+        ("Sync_Pulse", 5, True, "D1", 1.0, None),
+        ("Other", 5, True, "D1", 1.0, "SYNC_1"),
+    ]
+    rng.shuffle(rows)
+    return rows, log_of(spark, rows)
+
+
+def pulses_by_hand(rows):
+    starts = {}
+    for event, time, toggled, device, _, message in rows:
+        if event == "Sync_Pulse" and toggled and device and (message or "").startswith("SYNC_"):
+            starts.setdefault(message, {})[device] = time
+    return {m: s for m, s in starts.items() if len(s) > 1}
+
+
+@pytest.mark.parametrize("rows_per_group", [None, 10**9, 20])
+def test_sync_against_all_pairs(spark, rows_per_group):
+    rows, log = pulse_log(spark)
+    ranked = ranked_starts(sync_starts(log), rows_per_group)
+    pulses = pulses_by_hand(rows)
+    got = {r["message_id"]: r for r in sync_stats(ranked).collect()}
+    assert got.keys() == pulses.keys()
+    pairs = []
+    for message, starts in pulses.items():
+        d = []
+        for (a, s), (b, t) in itertools.combinations(sorted(starts.items()), 2):
+            d.append(abs(s - t))
+            pairs.append((message, a, b, abs(s - t)))
+        row = got[message]
+        assert (row["device_count"], row["max_diff_ns"], row["min_diff_ns"]) == (len(starts), max(d), min(d))
+        assert row["mean_diff_ns"] == pytest.approx(np.mean(d), rel=1e-12)
+        assert row["std_diff_ns"] == pytest.approx(np.std(d), rel=1e-9)
+    assert rows_of(sync_pairs(ranked), "message_id", "device1", "device2", "time_diff_ns") == sorted(pairs)
+    summary = sync_summary(ranked).first()
+    assert summary["sync_pulses"] == len(pulses)
+    assert summary["devices"] == len({device for starts in pulses.values() for device in starts})
+    assert summary["max_diff_ns"] == max(p[3] for p in pairs)
+    assert summary["mean_diff_ns"] == pytest.approx(np.mean([r["mean_diff_ns"] for r in got.values()]))
+
+
+def test_fleet_sync(spark):
+    ranked = ranked_starts(sync_starts(log_of(spark, fleet_rows(3))))
+    got = {r["message_id"]: r for r in sync_stats(ranked).collect()}
+    for message, largest, smallest, mean, deviation in (
+        ("SYNC_1", 200, 50, 100, 50),
+        ("SYNC_2", 400, 100, 200, 100),
+        ("SYNC_3", 300, 75, 150, 75),
+    ):
+        row = got[message]
+        assert (row["max_diff_ns"], row["min_diff_ns"]) == (largest, smallest)
+        assert (row["mean_diff_ns"], row["std_diff_ns"]) == pytest.approx((mean, deviation))
+    assert sync_pairs(ranked).count() == 30
+    assert sync_summary(ranked).first().asDict() == {
+        "sync_pulses": 3, "devices": 5, "max_diff_ns": 400, "mean_diff_ns": 150.0
+    }
+
+
+@pytest.mark.parametrize("rows_per_group", [None, 3])
+def test_fleet_propagation(spark, rows_per_group):
+    found = propagation(log_of(spark, fleet_rows()), rows_per_group=rows_per_group).cache()
+    got = rows_of(found, "message_id", "from_device", "to_device", "time_ns", "hops")
+    want = [
+        ("MSG_12345", "Device_1", "Device_2", 10000, 1),
+        ("MSG_12345", "Device_1", "Device_3", 12500, 2),
+        ("MSG_12345", "Device_1", "Device_4", 15000, 3),
+        ("MSG_12345", "Device_1", "Device_5", 17500, 4),
+        ("MSG_23456", "Device_2", "Device_3", 10000, 1),
+        ("MSG_23456", "Device_2", "Device_4", 12500, 2),
+        ("MSG_23456", "Device_2", "Device_5", 15000, 3),
+        ("MSG_34567", "Device_3", "Device_1", 16500, 2),
+        ("MSG_34567", "Device_3", "Device_2", 14000, 1),
+        ("MSG_34567", "Device_3", "Device_4", 10000, 1),
+        ("MSG_34567", "Device_3", "Device_5", 12500, 2),
+    ]
+    assert got == want
+    assert rows_of(message_stats(found), "message_id", "source_device", "destination_count") == [
+        ("MSG_12345", "Device_1", 4), ("MSG_23456", "Device_2", 3), ("MSG_34567", "Device_3", 4)
+    ]
+    cost = hop_cost(found).first()
+    assert (cost["n_propagations"], cost["n_messages"], cost["total_hops"]) == (11, 3, 22)
+    assert cost["time_per_hop_ns"] == pytest.approx(145500 / 22)
+    trend = {r["from_device"]: r for r in hop_trend(found).collect()}
+    for device, intercept, r2, n in (("Device_1", 7500, 1, 4), ("Device_2", 7500, 1, 3), ("Device_3", 9500, 0.2808988764, 4)):
+        row = trend[device]
+        assert (row["slope_ns"], row["intercept_ns"], row["r2"]) == pytest.approx((2500, intercept, r2))
+        assert row["n"] == n
+    means = {(r["from_device"], r["to_device"]): (r["mean_time_ns"], r["mean_hops"]) for r in pair_means(found).collect()}
+    assert means["Device_3", "Device_1"] == (16500.0, 2.0)
+
+
+@pytest.mark.parametrize("rows_per_group", [None, 2])
+def test_propagation_rules(spark, rows_per_group):
+    send, receive = "UART_Send", "UART_Receive"
+    log = log_of(
+        spark,
+        [
+            (send, 50, True, "A", 1.0, "m1"),
+            (send, 10, True, "B", 2.0, "m1"),  # a second send, though earlier in time
+            (receive, 90, True, "C", 4.0, "m1"),
+            (receive, 20, True, "C", 9.0, "m1"),  # a second receive
+            (receive, 40, True, "D", 1.0, "m1"),  # no hop, and before the send
+            (receive, 60, True, "A", 1.0, "m1"),  # the sender itself
+            (receive, 61, True, None, 1.0, "m1"),
+            (receive, 61, False, "E", 1.0, "m1"),
+            (receive, 60, True, "C", 1.0, "m2"),  # never sent
+            (send, 60, True, "C", 1.0, "m3"),  # never received
+            (send, 1, True, "A", None, "m4"),
+            (receive, 8, True, "C", 4.0, "m4"),  # unknown hops
+            *[(event, 5, True, d, 1.0, m) for m in ("", "0", "0.0", None, "SYNC_1") for event, d in ((send, "A"), (receive, "C"))],
+        ],
+    )
+    found = propagation(log, rows_per_group=rows_per_group)
+    assert rows_of(found, "message_id", "to_device", "time_ns", "hops", "time_per_hop_ns") == [
+        ("m1", "C", 40, 3.0, 40 / 3),
+        ("m1", "D", -10, 0.0, 0.0),
+        ("m4", "C", 7, None, 0.0),
+    ]
+    assert propagation(log.drop("message_id")).count() == 0
+    assert hop_cost(propagation(log.drop("message_id"))).first()["time_per_hop_ns"] == 0.0
+
+
+def test_hop_sums_leave_the_long_range(spark):
+    big = 2**62
+    rows = []
+    for n in range(6):
+        rows += [("UART_Send", -big, True, "A", 1.0, f"m{n}"), ("UART_Receive", big - 1, True, "B", 2.0, f"m{n}")]
+    cost = hop_cost(propagation(log_of(spark, rows))).first()
+    assert cost["time_per_hop_ns"] == pytest.approx(2.0**63)
