@@ -44,7 +44,7 @@ def _nation(column: str):
 def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     # lines of an order by their number; ship day and part settle numbers that are used twice
-    day = F.unix_date(F.to_date("l_shipdate"))
+    day = F.unix_date(F.to_date("l_shipdate")).cast("long")
     ord_ = F.col("l_linenumber") * F.lit(10**15) + day * F.lit(10**9) + F.col("l_partkey")
     return lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
         "l_orderkey", "l_linestatus", _ns("l_shipdate").alias("time_ns"), *_nation("s_nationkey"), ord_.alias("ord")
