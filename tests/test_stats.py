@@ -18,7 +18,7 @@ from togglelog.operators import (
     pooled_stats,
     trends,
 )
-from togglelog.operators.skew import find_hot_keys, rank_in_groups
+from togglelog.operators.skew import find_hot_keys, rank_all, rank_in_groups
 
 FLEET = {
     "GPIO_Init": (5, 500.0),
@@ -174,5 +174,5 @@ def test_hot_keys_and_ranks(spark):
     want["all"] = range(1, len(want) + 1)
     ranked = rank_in_groups(df, ["k"], ["v", "i"], "rank", 500)
     assert {r["i"]: r["rank"] for r in ranked.collect()} == dict(zip(want["i"], want["rank"]))
-    ranked = rank_in_groups(df, [], ["v", "i"], "all", 100)
+    ranked = rank_all(df, ["v", "i"], "all", 100)
     assert {r["i"]: r["all"] for r in ranked.collect()} == dict(zip(want["i"], want["all"]))

@@ -13,7 +13,6 @@ from togglelog.operators import (
     propagation,
     ranked_starts,
     sync_pairs,
-    sync_starts,
     sync_stats,
     sync_summary,
 )
@@ -49,7 +48,7 @@ def pulses_by_hand(rows):
 @pytest.mark.parametrize("rows_per_group", [None, 10**9, 20])
 def test_sync_against_all_pairs(spark, rows_per_group):
     rows, log = pulse_log(spark)
-    ranked = ranked_starts(sync_starts(log), rows_per_group)
+    ranked = ranked_starts(log, rows_per_group=rows_per_group)
     pulses = pulses_by_hand(rows)
     got = {r["message_id"]: r for r in sync_stats(ranked).collect()}
     assert got.keys() == pulses.keys()
@@ -72,7 +71,7 @@ def test_sync_against_all_pairs(spark, rows_per_group):
 
 
 def test_fleet_sync(spark):
-    ranked = ranked_starts(sync_starts(log_of(spark, fleet_rows(3))))
+    ranked = ranked_starts(log_of(spark, fleet_rows(3)))
     got = {r["message_id"]: r for r in sync_stats(ranked).collect()}
     for message, largest, smallest, mean, deviation in (
         ("SYNC_1", 200, 50, 100, 50),

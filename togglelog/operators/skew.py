@@ -123,14 +123,15 @@ def rank_in_groups(
     order: Sequence[str],
     name: str = "rank",
     rows_per_group: int | None = ROWS_PER_GROUP,
+    bounded_by: DataFrame | None = None,
 ) -> DataFrame:
-    """`row_number` from 1 per group, for groups of any size; no keys ranks the whole table."""
-    if not keys:
-        ranked = rank_in_groups(df.withColumn("_all", F.lit(0)), ["_all"], order, name, rows_per_group)
-        return ranked.drop("_all")
-    window = Window.partitionBy(*keys).orderBy(*order)
-    rank = F.row_number().over(window).cast("long")
-    hot = find_hot_keys(df, keys, rows_per_group)
+    """`row_number` from 1 per group, for groups of any size.
+
+    `bounded_by` is a table with the same keys in which no group is smaller than in `df`, and which is
+    cheaper to read: the hot groups are looked up there.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    hot = find_hot_keys(df if bounded_by is None else bounded_by, keys, rows_per_group)
     if hot is None:
         return df.withColumn(name, rank)
     chunked = split_into_chunks(df.where(hot.matches()), hot, order)
@@ -139,3 +140,17 @@ def rank_in_groups(
         .withColumn(name, rank)
         .unionByName(rank_chunks(chunked, keys, order, name).drop("chunk"))
     )
+
+
+def rank_all(
+    df: DataFrame, order: Sequence[str], name: str = "rank", rows_per_group: int | None = ROWS_PER_GROUP
+) -> DataFrame:
+    """Rank a whole table from 1: in one window while it is small, else by range partitions."""
+    rows = df.count() if rows_per_group is not None else 0
+    whole = df.withColumn("_all", F.lit(0))
+    if rows_per_group is None or rows <= rows_per_group:
+        window = Window.partitionBy("_all").orderBy(*order)
+        return whole.withColumn(name, F.row_number().over(window).cast("long")).drop("_all")
+    n_chunks = min(math.ceil(rows / rows_per_group), MAX_CHUNKS)
+    chunked = split_into_chunks(whole, HotKeys(("_all",), (), n_chunks), order)
+    return rank_chunks(chunked, ["_all"], order, name).drop("_all", "chunk")

@@ -74,10 +74,17 @@ def event_distribution(executions: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("count") / total)
 
 
-def trends(executions: DataFrame, rows_per_group: int | None = ROWS_PER_GROUP) -> DataFrame:
-    """Number the executions of each event from 0 in order of their start, devices merged."""
+def trends(
+    executions: DataFrame,
+    rows_per_group: int | None = ROWS_PER_GROUP,
+    log: DataFrame | None = None,
+) -> DataFrame:
+    """Number the executions of each event from 0 in order of their start, devices merged.
+
+    Given the log, big groups are looked up there and the executions need not be computed for it.
+    """
     order = ("start_ns", "device_id", "end_ns", "start_ord")
-    ranked = rank_in_groups(executions, ["event"], order, "rank", rows_per_group)
+    ranked = rank_in_groups(executions, ["event"], order, "rank", rows_per_group, log)
     return ranked.select(
         "event", (F.col("rank") - 1).alias("instance"), "device_id", "start_ns", "duration_ns"
     )
@@ -103,11 +110,15 @@ def box_summary(
     executions: DataFrame,
     keys: Sequence[str] = ("event", "device_id"),
     rows_per_group: int | None = ROWS_PER_GROUP,
+    log: DataFrame | None = None,
 ) -> DataFrame:
-    """Box-plot figures per group: exact quartiles (linear interpolation), whiskers, outliers."""
+    """Box-plot figures per group: exact quartiles (linear interpolation), whiskers, outliers.
+
+    Given the log, big groups are looked up there and the executions need not be computed for it.
+    """
     keys = list(keys)
     durations = executions.select(*keys, "duration_ns", "start_ns", "start_ord")
-    hot_keys = find_hot_keys(durations, keys, rows_per_group)
+    hot_keys = find_hot_keys(durations if log is None else log, keys, rows_per_group)
     if hot_keys is None:
         return _boxes(_with_quartiles(durations, keys), keys)
     cold = _with_quartiles(durations.where(~hot_keys.matches()), keys)

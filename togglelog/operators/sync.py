@@ -23,21 +23,28 @@ from togglelog.schema import normalise
 ORDER = ("start_ns", "device_id")
 
 
-def sync_starts(log: DataFrame, event: str = SYNC_EVENT) -> DataFrame:
-    """Start of each pulse on each device: the last True row in file order."""
+def pulse_rows(log: DataFrame, event: str = SYNC_EVENT) -> DataFrame:
+    """Rising edges of the sync event that carry a pulse's message id."""
     return (
         normalise(log)
         .where((F.col("event") == event) & F.col("toggled"))
         .where(is_usable_message() & is_sync_message())
         .where(F.col("device_id").isNotNull() & F.col("time_ns").isNotNull())
-        .groupBy("message_id", "device_id")
-        .agg(F.max_by("time_ns", "ord").alias("start_ns"))
     )
 
 
-def ranked_starts(starts: DataFrame, rows_per_group: int | None = ROWS_PER_GROUP) -> DataFrame:
-    """Starts with their rank in the pulse, device_count, time since the pulse's first start and
-    since the previous start (NULL for the first)."""
+def sync_starts(log: DataFrame, event: str = SYNC_EVENT) -> DataFrame:
+    """Start of each pulse on each device: the last True row in file order."""
+    rows = pulse_rows(log, event).groupBy("message_id", "device_id")
+    return rows.agg(F.max_by("time_ns", "ord").alias("start_ns"))
+
+
+def ranked_starts(
+    log: DataFrame, event: str = SYNC_EVENT, rows_per_group: int | None = ROWS_PER_GROUP
+) -> DataFrame:
+    """The pulses' starts with their rank in the pulse, device_count, time since the pulse's first
+    start and since the previous start (NULL for the first)."""
+    starts = sync_starts(log, event)
     pulse = Window.partitionBy("message_id")
     ordered = pulse.orderBy(*ORDER)
     columns = ["message_id", "device_id", "start_ns", "rank", "device_count", "offset_ns", "gap_ns"]
@@ -52,7 +59,8 @@ def ranked_starts(starts: DataFrame, rows_per_group: int | None = ROWS_PER_GROUP
             .select(*columns)
         )
 
-    hot_keys = find_hot_keys(starts, ["message_id"], rows_per_group)
+    # a pulse has no more starts than rows, and the rows are cheaper to look through
+    hot_keys = find_hot_keys(pulse_rows(log, event), ["message_id"], rows_per_group)
     if hot_keys is None:
         return small(starts)
     chunked = split_into_chunks(starts.where(hot_keys.matches()), hot_keys, ORDER)

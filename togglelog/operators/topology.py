@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from togglelog.operators.skew import ROWS_PER_GROUP, rank_in_groups
+from togglelog.operators.skew import ROWS_PER_GROUP, rank_all
 from togglelog.schema import normalise
 
 TOPOLOGIES = ("daisy", "star", "ring", "mesh", "custom")
@@ -68,7 +68,7 @@ def build_topology(
     if mode not in TOPOLOGIES:
         raise ValueError(f"unknown topology {mode!r}")
 
-    ordered = rank_in_groups(devices, [], ORDERS[order_by], "place", rows_per_group)
+    ordered = rank_all(devices, ORDERS[order_by], "place", rows_per_group)
     ordered = ordered.select("device_id", "place")
     if mode == "star":
         centre = ordered.where("place = 1").select("device_id").scalar()
@@ -97,7 +97,7 @@ def build_topology(
 
 def connection_list(edges: DataFrame, rows_per_group: int | None = ROWS_PER_GROUP) -> DataFrame:
     """An editable connection list of a built topology, numbered from 1."""
-    ranked = rank_in_groups(edges, [], ["src", "dst"], "edge_ord", rows_per_group)
+    ranked = rank_all(edges, ["src", "dst"], "edge_ord", rows_per_group)
     return ranked.select(F.col("src").alias("source"), F.col("dst").alias("target"), "edge_ord")
 
 
@@ -114,7 +114,7 @@ def add_connections(
     )
     last = connections.agg(F.coalesce(F.max("edge_ord"), F.lit(0))).scalar()
     order = ["_given", "source", "target"]
-    added = rank_in_groups(wanted, [], order, "_place", rows_per_group)
+    added = rank_all(wanted, order, "_place", rows_per_group)
     return connections.select("source", "target", "edge_ord").unionByName(
         added.select("source", "target", (last + F.col("_place")).alias("edge_ord"))
     )

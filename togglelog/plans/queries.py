@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from togglelog import operators as op
+from togglelog.operators.skew import ensure_checkpoint_dir
 from togglelog.plans import views
 from togglelog.sources import parse_lines
 
@@ -22,6 +23,12 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({name: F.round(name, n) for name, n in digits.items()})
 
 
+def small_table(df: DataFrame) -> DataFrame:
+    """Work out a table once that a query reads many times; survives the loss of executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.pair_executions(views.timing_events(spark, sf_dir))
 
@@ -69,7 +76,8 @@ def event_distribution(spark, sf_dir):
 
 
 def trends(spark, sf_dir):
-    return op.trends(_executions(spark, sf_dir))
+    log = views.timing_events(spark, sf_dir)
+    return op.trends(op.pair_executions(log), log=log)
 
 
 def histogram(spark, sf_dir):
@@ -77,12 +85,14 @@ def histogram(spark, sf_dir):
 
 
 def box_summary(spark, sf_dir):
-    return rounded(op.box_summary(_executions(spark, sf_dir)), q1_ns=0, median_ns=0, q3_ns=0)
+    log = views.timing_events(spark, sf_dir)
+    return rounded(op.box_summary(op.pair_executions(log), log=log), q1_ns=0, median_ns=0, q3_ns=0)
 
 
 def box_summary_basic(spark, sf_dir):
-    paired = op.pair_executions(views.timing_events(spark, sf_dir), by_device=False)
-    return rounded(op.box_summary(paired, keys=("event",)), q1_ns=0, median_ns=0, q3_ns=0)
+    log = views.timing_events(spark, sf_dir)
+    boxes = op.box_summary(op.pair_executions(log, by_device=False), keys=("event",), log=log)
+    return rounded(boxes, q1_ns=0, median_ns=0, q3_ns=0)
 
 
 def device_comparison(spark, sf_dir):
@@ -99,7 +109,7 @@ def device_summary(spark, sf_dir):
 
 
 def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.ranked_starts(op.sync_starts(views.sync_pulses(spark, sf_dir)))
+    return op.ranked_starts(views.sync_pulses(spark, sf_dir))
 
 
 def sync_starts(spark, sf_dir):
@@ -172,14 +182,14 @@ def topo_custom(spark, sf_dir):
 
 def topo_edit(spark, sf_dir):
     """The daisy chain as a connection list, with the star's connections added and the last removed."""
-    devices = _devices(spark, sf_dir)
+    devices = small_table(_devices(spark, sf_dir))
     chain = op.connection_list(op.build_topology(devices, "daisy"))
     star = op.connection_list(op.build_topology(devices, "star", "appearance"))
     return op.remove_last_connection(op.add_connections(chain, star))
 
 
 def node_degree(spark, sf_dir):
-    devices = _devices(spark, sf_dir)
+    devices = small_table(_devices(spark, sf_dir))
     both = op.build_topology(devices, "daisy").union(op.build_topology(devices, "star", "appearance"))
     return op.node_degree(devices, both.distinct())
 
