@@ -5,11 +5,11 @@ are ignored while it is open; a False closes it, under message matching only whe
 equals the start's (NULL equals NULL). A start that never closes gives no execution.
 
 Without message matching that means: rows of the same value that follow each other form a run, and
-the first row of a True run pairs with the first row of the next run. That is two windows over one
-shuffle. With message matching most groups still behave so, and are finished the same way; a group
-in which some run pair has different messages ("dirty") is folded row by row, as a sorted Arrow
-stream with constant state. Groups too big for one task are cut into chunks (see `skew`), and the
-start that is open at the beginning of a chunk is put in front of it as a carried row.
+the first row of a True run pairs with the first row of the next run: windows over one shuffle. With
+message matching the rows are folded one by one, as a sorted Arrow stream with constant state; this was
+measured to be faster than telling apart, by windows, the groups where runs are enough. Groups too big
+for one task are cut into chunks (see `skew`), and the start that is open at the beginning of a chunk
+is put in front of it as a carried row.
 """
 
 from __future__ import annotations
@@ -121,31 +121,14 @@ def _pair_plain(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _pair_matched(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every window here has the same keys and order, so the rows are shuffled and sorted once."""
+    """The window shuffles and sorts the rows by group; the fold streams over them in that order."""
     window = Window.partitionBy(*keys).orderBy(*TIME_ORDER)
-    so_far = window.rowsBetween(Window.unboundedPreceding, -1)
-    run_start = F.when(F.col("_head") & F.col("toggled"), F.struct("message_id"))
-    differs = ~F.col("_start.message_id").eqNullSafe(F.col("message_id"))
-    flagged = (
-        rows.withColumn("_row", F.struct("toggled", "message_id"))
-        .withColumn("_before", F.lag("_row").over(window))
-        .withColumn(
-            "_head",
-            F.col("_before").isNull() | (F.col("_before.toggled") != F.col("toggled")),
-        )
-        .withColumn("_start", F.last(run_start, ignorenulls=True).over(so_far))
-        .withColumn("_bad", F.col("_head") & ~F.col("toggled") & F.col("_start").isNotNull() & differs)
-        .withColumn("_dirty", F.max("_bad").over(Window.partitionBy(*keys)))
-    )
-    clean = _pair_heads(flagged.where(~F.col("_dirty") & F.col("_head")), keys, window)
-    # A row equal to the one before it can neither open nor close anything.
-    dirty = (
-        flagged.where(F.col("_dirty") & ~F.col("_before").eqNullSafe(F.col("_row")))
-        .withColumn("first", F.col("_before").isNull())
+    ordered = (
+        rows.withColumn("first", F.lag("toggled").over(window).isNull())
         .sortWithinPartitions(*keys, *TIME_ORDER)
         .select(*keys, "time_ns", "ord", "toggled", "message_id", "first")
     )
-    return clean.unionByName(_fold(dirty, keys))
+    return _fold(ordered, keys)
 
 
 # --- sorted fold ------------------------------------------------------------------------------
@@ -158,58 +141,67 @@ def _paired_schema(rows: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join([*columns, "message_id string"])
 
 
+def _arrow_readers():
+    """Made inside a function, so that they travel to the executors with the code that uses them."""
+
+    def values(column: pa.Array) -> list:
+        """A column without NULLs as a list of plain values."""
+        return column.to_numpy(zero_copy_only=False).tolist()
+
+    def texts(column: pa.Array) -> list:
+        """A text column as a list; repeated texts are converted once."""
+        coded = column.dictionary_encode()
+        distinct = [*coded.dictionary.to_pylist(), None]
+        return [distinct[code] for code in values(coded.indices.fill_null(-1))]
+
+    return values, texts
+
+
 def _fold(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Message-matched pairing of rows sorted by group; `first` marks where a group begins."""
+    """Message-matched pairing of rows sorted by group; `first` marks where a group begins.
+
+    Only places in the batch are followed row by row; the values are then taken by place. A start that
+    is open at the end of a batch is put in front of the next one.
+    """
     keys = list(keys)
+    values, _ = _arrow_readers()
+
+    def paired(batch: pa.RecordBatch, starts: list[int], ends: list[int], left: list[int]) -> pa.RecordBatch:
+        opening = pa.array(starts + left, pa.int64())
+        closing = pa.array(ends + [None] * len(left), pa.int64())
+        columns = {k: batch.column(k).take(opening) for k in keys}
+        columns["start_ns"] = batch.column("time_ns").take(opening)
+        columns["start_ord"] = batch.column("ord").take(opening)
+        columns["end_ns"] = batch.column("time_ns").take(closing)
+        columns["end_ord"] = batch.column("ord").take(closing)
+        columns["message_id"] = batch.column("message_id").take(opening)
+        return pa.RecordBatch.from_pydict(columns)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = None  # (time, ord, message) of the open start
-        held = None  # the opening row itself, once its batch is gone
-
-        def result(batch, at, starts, ends):
-            columns = [batch.column(k).take(at) for k in keys]
-            time, ord_ = batch.schema.field("time_ns").type, pa.int64()
-            columns.append(pa.array([s[0] for s in starts], time))
-            columns.append(pa.array([s[1] for s in starts], ord_))
-            columns.append(pa.array([e and e[0] for e in ends], time))
-            columns.append(pa.array([e and e[1] for e in ends], ord_))
-            columns.append(batch.column("message_id").take(at))
-            names = [*keys, "start_ns", "start_ord", "end_ns", "end_ord", "message_id"]
-            return pa.RecordBatch.from_arrays(columns, names=names)
-
+        held = None  # the row of the start that is open between two batches
         for batch in batches:
-            at, starts, ends = [], [], []
-            opened = None  # index of the opening row in this batch
-            rows_here = zip(
-                batch.column("time_ns").to_pylist(),
-                batch.column("ord").to_pylist(),
-                batch.column("toggled").to_pylist(),
-                batch.column("message_id").to_pylist(),
-                batch.column("first").to_pylist(),
-            )
-            for i, (time, ord_, toggled, message, first) in enumerate(rows_here):
-                if first and start is not None:
-                    if opened is None:
-                        yield result(held, pa.array([0]), [start], [None])
-                    else:
-                        at.append(opened)
-                        starts.append(start)
-                        ends.append(None)
-                    start = None
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            message_codes = batch.column("message_id").dictionary_encode().indices.fill_null(-1)
+            steps = zip(values(batch.column("first")), values(batch.column("toggled")), values(message_codes))
+            starts, ends, left = [], [], []
+            start, message = -1, None
+            for i, (first, toggled, code) in enumerate(steps):
+                if first and start >= 0:
+                    left.append(start)
+                    start = -1
                 if toggled:
-                    if start is None:
-                        start, opened = (time, ord_, message), i
-                elif start is not None and start[2] == message:
-                    at.append(i)
+                    if start < 0:
+                        start, message = i, code
+                elif start >= 0 and code == message:
                     starts.append(start)
-                    ends.append((time, ord_))
-                    start = None
-            if at:
-                yield result(batch, pa.array(at), starts, ends)
-            if start is not None and opened is not None:
-                held = batch.slice(opened, 1)
-        if start is not None:
-            yield result(held, pa.array([0]), [start], [None])
+                    ends.append(i)
+                    start = -1
+            if starts or left:
+                yield paired(batch, starts, ends, left)
+            held = batch.slice(start, 1) if start >= 0 else None
+        if held is not None:
+            yield paired(held, [], [], [0])
 
     return rows.mapInArrow(pair, _paired_schema(rows, keys))
 
@@ -303,6 +295,7 @@ def _chunk_exits(chunked: DataFrame, keys: Sequence[str]) -> DataFrame:
     fields = ", ".join(f"`{k}` {type_of(chunked, k)}" for k in at)
     out = f"{fields}, idle boolean, entry string, open boolean, time_ns {time}, ord bigint, message_id string"
     n_rows = 50_000
+    values, texts = _arrow_readers()
 
     def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = None  # one-row slice of the chunk being read
@@ -325,11 +318,11 @@ def _chunk_exits(chunked: DataFrame, keys: Sequence[str]) -> DataFrame:
 
         for batch in batches:
             rows_here = zip(
-                batch.column("time_ns").to_pylist(),
-                batch.column("ord").to_pylist(),
-                batch.column("toggled").to_pylist(),
-                batch.column("message_id").to_pylist(),
-                batch.column("first").to_pylist(),
+                values(batch.column("time_ns")),
+                values(batch.column("ord")),
+                values(batch.column("toggled")),
+                texts(batch.column("message_id")),
+                values(batch.column("first")),
             )
             for i, (time, ord_, toggled, message, first) in enumerate(rows_here):
                 if first:
