@@ -361,7 +361,7 @@ def _carry_states(exits: DataFrame, keys: Sequence[str]) -> DataFrame:
 
         def emit(number):
             columns = [place.column(k).take(pa.array([0])) for k in keys]
-            columns.append(pa.array([number], pa.int32()))
+            columns.append(pa.array([number], pa.int64()))
             kinds = (place.schema.field("time_ns").type, pa.int64(), pa.string())
             columns += [pa.array([value], kind) for value, kind in zip(state, kinds)]
             names = [*keys, "chunk", "time_ns", "ord", "message_id"]
@@ -386,4 +386,4 @@ def _carry_states(exits: DataFrame, keys: Sequence[str]) -> DataFrame:
         if place is not None and state is not None:
             yield emit(None)
 
-    return rows.mapInArrow(carry, f"{fields}, chunk int, time_ns {time}, ord bigint, message_id string")
+    return rows.mapInArrow(carry, f"{fields}, chunk bigint, time_ns {time}, ord bigint, message_id string")

@@ -2,9 +2,9 @@
 
 Pairing, ranking and gap computation need the rows of a group in order, and a plain window puts a
 whole group into one task. Here a cheap sketch finds the few groups that are too big for that. Only
-their rows are range-partitioned on (group, order) into *chunks*; each chunk is handled on its own,
-and what crosses a chunk border is worked out from one summary row per chunk. Results do not depend
-on the sketch, which only chooses the plan.
+their rows are sorted by (group, order) over range partitions and numbered in *chunks* of a fixed
+number of rows; each chunk is handled on its own, and what crosses a chunk border is worked out from
+one summary row per chunk. Results do not depend on the sketch, which only chooses the plan.
 """
 
 from __future__ import annotations
@@ -18,21 +18,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # A window task is given at most about this many rows of one group.
 ROWS_PER_GROUP = 4_000_000
-# Bounds on what is collected or broadcast: hot keys (one LONG each) and chunk summaries.
-MAX_HOT_KEYS = 1_024
-MAX_CHUNKS = 32_768
-# Counters of the heavy-hitter sketch. A key too light to be caught holds less than about 1/2000 of
-# all rows and does not stretch a stage.
-SKETCH_ITEMS = 16_384
+# The most hot groups that are split, one LONG each on the driver. A group that is not among them holds
+# less than 1/MAX_HOT_KEYS of all rows: sorting it spills, but does not stretch a stage.
+MAX_HOT_KEYS = 16_384
+SKETCH_ITEMS = 131_072
+# The most range partitions of the hot rows, and the most chunks, whose summaries are broadcast.
+MAX_PARTITIONS = 32_768
+MAX_CHUNKS = 500_000
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Groups that must be split: hashes of their keys, and how many chunks their rows need."""
+    """Groups that must be split: hashes of their keys, and about how many rows they hold."""
 
     keys: tuple[str, ...]
     hashes: tuple[int, ...]
-    n_chunks: int
+    rows: int
+    rows_per_group: int
+
+    @property
+    def rows_per_chunk(self) -> int:
+        return max(self.rows_per_group, math.ceil(self.rows / MAX_CHUNKS))
 
     def matches(self) -> Column:
         """True for the rows of hot groups. A hash clash sends a small group along: harmless."""
@@ -51,18 +57,13 @@ def find_hot_keys(
     keys = tuple(keys)
     found = (
         df.select(F.xxhash64(*keys).alias("h"))
-        .agg(
-            F.count("*").alias("n"),
-            F.expr(f"approx_top_k(h, {MAX_HOT_KEYS}, {SKETCH_ITEMS})").alias("top"),
-        )
+        .agg(F.expr(f"approx_top_k(h, {MAX_HOT_KEYS}, {SKETCH_ITEMS})").alias("top"))
         .first()
     )
     hot = [(t["item"], t["count"]) for t in found["top"] or () if t["count"] > rows_per_group]
     if not hot:
         return None
-    rows_per_chunk = max(rows_per_group, math.ceil(found["n"] / MAX_CHUNKS))
-    n_chunks = max(2, math.ceil(sum(n for _, n in hot) / rows_per_chunk))
-    return HotKeys(keys, tuple(h for h, _ in hot), min(n_chunks, MAX_CHUNKS))
+    return HotKeys(keys, tuple(h for h, _ in hot), sum(n for _, n in hot), rows_per_group)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -86,15 +87,21 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def split_into_chunks(df: DataFrame, hot: HotKeys, order: Sequence[str]) -> DataFrame:
-    """Add `chunk`, increasing with `order` inside every group.
+    """Add `chunk`, increasing with `order` inside every group, with at most `rows_per_chunk` rows each
+    however uneven the range partitions are.
 
-    The chunk number is the number of a range partition. It is checkpointed, so that a recomputed
-    or reused branch of the plan can never see other borders.
+    The result is checkpointed, so that a recomputed or reused branch of the plan can never see other
+    borders.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    n = min(max(2, math.ceil(hot.rows / hot.rows_per_chunk)), MAX_PARTITIONS)
     return (
-        df.repartitionByRange(hot.n_chunks, *hot.keys, *order)
-        .withColumn("chunk", F.spark_partition_id())
+        df.repartitionByRange(n, *hot.keys, *order)
+        .sortWithinPartitions(*hot.keys, *order)
+        # partition number and place in the partition, in one increasing number
+        .withColumn("_place", F.monotonically_increasing_id())
+        .withColumn("chunk", F.expr(f"_place DIV {hot.rows_per_chunk}"))
+        .drop("_place")
         .checkpoint()
     )
 
@@ -109,7 +116,7 @@ def rank_chunks(chunked: DataFrame, keys: Sequence[str], order: Sequence[str], n
         .select(*at, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     )
     local = F.row_number().over(Window.partitionBy(*at).orderBy(*order))
-    # one row per chunk and hot group: at most MAX_CHUNKS + MAX_HOT_KEYS rows
+    # one row per chunk and hot group: at most MAX_CHUNKS + MAX_PARTITIONS + MAX_HOT_KEYS rows
     return (
         join_null_safe(chunked.withColumn("_local", local), F.broadcast(offsets), at)
         .withColumn(name, F.col("_local") + F.col("_offset"))
@@ -151,6 +158,5 @@ def rank_all(
     if rows_per_group is None or rows <= rows_per_group:
         window = Window.partitionBy("_all").orderBy(*order)
         return whole.withColumn(name, F.row_number().over(window).cast("long")).drop("_all")
-    n_chunks = min(math.ceil(rows / rows_per_group), MAX_CHUNKS)
-    chunked = split_into_chunks(whole, HotKeys(("_all",), (), n_chunks), order)
+    chunked = split_into_chunks(whole, HotKeys(("_all",), (), rows, rows_per_group), order)
     return rank_chunks(chunked, ["_all"], order, name).drop("_all", "chunk")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from togglelog.functions.columns import to_us
 from togglelog.operators.skew import (
@@ -92,15 +92,16 @@ def trends(
 
 def histogram(executions: DataFrame, bins: int = 30) -> DataFrame:
     """Durations per event in equal bins over the range of all durations; the last bin is closed."""
-    low = executions.agg(F.min("duration_ns")).scalar()
-    high = executions.agg(F.max("duration_ns")).scalar()
-    width = F.col("_width")
+    ends = F.struct(F.min("duration_ns").alias("low"), F.max("duration_ns").alias("high"))
+    # one scalar subquery for both ends of the range
+    ranged = executions.select("event", "duration_ns", executions.agg(ends).scalar().alias("_range"))
+    low, width = F.col("_low"), F.col("_width")
     offset = (F.col("duration_ns") - low).cast("double")
-    binned = executions.withColumn("_width", (high - low) / F.lit(float(bins))).withColumn(
-        "bin", F.when(width > 0, F.least(F.floor(offset / width), F.lit(bins - 1))).otherwise(F.lit(0))
-    )
     return (
-        binned.groupBy("event", "bin", "_width")
+        ranged.withColumn("_low", F.col("_range.low"))
+        .withColumn("_width", (F.col("_range.high") - low) / F.lit(float(bins)))
+        .withColumn("bin", F.when(width > 0, F.least(F.floor(offset / width), F.lit(bins - 1))).otherwise(F.lit(0)))
+        .groupBy("event", "bin", "_low", "_width")
         .agg(F.count("*").alias("count"))
         .select("event", "bin", (low + F.col("bin") * width).alias("bin_start_ns"), "count")
     )
@@ -125,33 +126,50 @@ def box_summary(
     hot = durations.where(hot_keys.matches())
     order = ("duration_ns", "start_ns", "start_ord")
     ranked = rank_chunks(split_into_chunks(hot, hot_keys, order), keys, order, "rank")
-    # at most MAX_HOT_KEYS groups, one row each
+    # at most MAX_HOT_KEYS groups, with one row each
     hot = join_null_safe(ranked, F.broadcast(_quartiles_by_rank(ranked, keys)), keys)
     return _boxes(cold.unionByName(hot.select(*cold.columns)), keys)
 
 
 def _with_quartiles(durations: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Quartiles beside every row, by a window: the rows are shuffled once and not joined."""
-    quartiles = F.percentile("duration_ns", F.array(*map(F.lit, QUARTILES)))
-    return durations.select(*keys, "duration_ns").withColumn(
-        "_q", quartiles.over(Window.partitionBy(*keys))
-    )
+    """Quartiles beside every row. Windows over one sorted shuffle: nothing is joined, and a group
+    spills instead of being held in memory."""
+    group = Window.partitionBy(*keys)
+    rank = F.row_number().over(group.orderBy("duration_ns"))
+    ranked = durations.withColumn("rank", rank).withColumn("_n", F.count("*").over(group))
+    low_high = {f"_{kind}{i}": value.over(group) for i, q in enumerate(QUARTILES) for kind, value in _ends(q)}
+    return ranked.withColumns(low_high).select(*keys, "duration_ns", _quartiles().alias("_q"))
 
 
 def _quartiles_by_rank(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Quartiles of ranked groups, without holding a group: keep the rows at the needed ranks."""
+    """Quartiles of ranked groups, one row each."""
     sizes = ranked.groupBy(*keys).agg(F.count("*").alias("_n"))
     sized = join_null_safe(ranked, F.broadcast(sizes), keys)
-    found = []
-    for q in QUARTILES:
-        place = (F.col("_n") - 1) * F.lit(q)
-        below, above = F.floor(place), F.ceil(place)
-        at = F.col("rank") - 1
-        low = F.max(F.when(at == below, F.col("duration_ns"))).cast("double")
-        high = F.max(F.when(at == above, F.col("duration_ns"))).cast("double")
-        part = F.max(place - below)
-        found.append(low + (high - low) * part)
-    return sized.groupBy(*keys).agg(F.array(*found).alias("_q"))
+    low_high = [value.alias(f"_{kind}{i}") for i, q in enumerate(QUARTILES) for kind, value in _ends(q)]
+    found = sized.groupBy(*keys, "_n").agg(*low_high)
+    return found.select(*keys, _quartiles().alias("_q"))
+
+
+def _place(q: float) -> Column:
+    """Where quantile q of a group of `_n` rows lies, counted from 0."""
+    return (F.col("_n") - 1) * F.lit(q)
+
+
+def _ends(q: float) -> list[tuple[str, Column]]:
+    """The durations at the two ranks around quantile q, as aggregates."""
+    at = F.col("rank") - 1
+    below = F.max(F.when(at == F.floor(_place(q)), F.col("duration_ns")))
+    above = F.max(F.when(at == F.ceil(_place(q)), F.col("duration_ns")))
+    return [("low", below), ("high", above)]
+
+
+def _quartiles() -> Column:
+    """Linear interpolation between the two ranks around each quartile."""
+    values = []
+    for i, q in enumerate(QUARTILES):
+        low, high = F.col(f"_low{i}").cast("double"), F.col(f"_high{i}").cast("double")
+        values.append(low + (high - low) * (_place(q) - F.floor(_place(q))))
+    return F.array(*values)
 
 
 def _boxes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
