@@ -176,3 +176,11 @@ def test_hot_keys_and_ranks(spark):
     assert {r["i"]: r["rank"] for r in ranked.collect()} == dict(zip(want["i"], want["rank"]))
     ranked = rank_all(df, ["v", "i"], "all", 100)
     assert {r["i"]: r["all"] for r in ranked.collect()} == dict(zip(want["i"], want["all"]))
+
+
+def test_hot_keys_are_seen_in_a_thin_part(spark):
+    big = spark.range(200_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 20000) END AS k")
+    hot = find_hot_keys(big, ["k"], 20_000)
+    assert big.where(hot.matches()).select("k").distinct().collect() == [("hot",)]
+    assert hot.rows == pytest.approx(200_000 / 3, rel=0.1)
+    assert find_hot_keys(big, ["k"], 100_000) is None

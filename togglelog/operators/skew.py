@@ -1,10 +1,10 @@
 """Ordered work inside groups of any size.
 
 Pairing, ranking and gap computation need the rows of a group in order, and a plain window puts a
-whole group into one task. Here a cheap sketch finds the few groups that are too big for that. Only
-their rows are sorted by (group, order) over range partitions and numbered in *chunks* of a fixed
+whole group into one task. Here a light look at the keys finds the groups that are too big for that.
+Only their rows are sorted by (group, order) over range partitions and numbered in *chunks* of a fixed
 number of rows; each chunk is handled on its own, and what crosses a chunk border is worked out from
-one summary row per chunk. Results do not depend on the sketch, which only chooses the plan.
+one summary row per chunk. Which groups are split changes the plan, never the result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ ROWS_PER_GROUP = 4_000_000
 # The most hot groups that are split, one LONG each on the driver. A group that is not among them holds
 # less than 1/MAX_HOT_KEYS of all rows: sorting it spills, but does not stretch a stage.
 MAX_HOT_KEYS = 16_384
-SKETCH_ITEMS = 131_072
+# A group of ROWS_PER_GROUP rows is looked for by about this many of them.
+LOOK_ROWS = 1_000
 # The most range partitions of the hot rows, and the most chunks, whose summaries are broadcast.
 MAX_PARTITIONS = 32_768
 MAX_CHUNKS = 500_000
@@ -48,22 +49,24 @@ class HotKeys:
 def find_hot_keys(
     df: DataFrame, keys: Sequence[str], rows_per_group: int | None = ROWS_PER_GROUP
 ) -> HotKeys | None:
-    """One pass over the key columns with a mergeable sketch; no shuffle by key. None: no hot group.
+    """Look for groups of more than `rows_per_group` rows; None: there is none.
 
-    `rows_per_group=None` skips the pass for callers who know their groups are small.
+    Reads the key columns once. A thin random part of the rows is counted by key, which is enough to
+    see a big group and leaves next to nothing to shuffle; a group near the limit may fall on either
+    side of it. `rows_per_group=None` skips the look, for callers who know their groups are small.
     """
     if rows_per_group is None:
         return None
     keys = tuple(keys)
-    found = (
-        df.select(F.xxhash64(*keys).alias("h"))
-        .agg(F.expr(f"approx_top_k(h, {MAX_HOT_KEYS}, {SKETCH_ITEMS})").alias("top"))
-        .first()
-    )
-    hot = [(t["item"], t["count"]) for t in found["top"] or () if t["count"] > rows_per_group]
+    share = min(1.0, LOOK_ROWS / rows_per_group)
+    hashes = df.select(F.xxhash64(*keys).alias("hash"))
+    seen = (hashes.sample(share, seed=1) if share < 1 else hashes).groupBy("hash").count()
+    biggest = F.col("count").desc()
+    hot = seen.where(F.col("count") > rows_per_group * share).orderBy(biggest).limit(MAX_HOT_KEYS).collect()
     if not hot:
         return None
-    return HotKeys(keys, tuple(h for h, _ in hot), sum(n for _, n in hot), rows_per_group)
+    rows = math.ceil(sum(r["count"] for r in hot) / share)
+    return HotKeys(keys, tuple(r["hash"] for r in hot), rows, rows_per_group)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
