@@ -46,10 +46,14 @@ def device_count(log: DataFrame) -> DataFrame:
     return normalise(log).agg(F.count_distinct("device_id").alias("devices"))
 
 
-def simple_edges(pairs: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """Undirected edges of a list of pairs, each once."""
-    low, high = F.least(source, target), F.greatest(source, target)
-    return pairs.select(low.alias("src"), high.alias("dst")).distinct()
+def _undirected(pairs: DataFrame) -> DataFrame:
+    low, high = F.least("source", "target"), F.greatest("source", "target")
+    return pairs.select(low.alias("src"), high.alias("dst"))
+
+
+def simple_edges(pairs: DataFrame) -> DataFrame:
+    """Undirected edges of a list of pairs (source, target), each once."""
+    return _undirected(pairs).distinct()
 
 
 def build_topology(
@@ -73,7 +77,7 @@ def build_topology(
     if mode == "star":
         centre = ordered.where("place = 1").select("device_id").scalar()
         others = ordered.where("place > 1").select(F.col("device_id").alias("target"))
-        return simple_edges(others.withColumn("source", centre))
+        return _undirected(others.withColumn("source", centre))
 
     place, total = F.col("place"), F.col("_total")
     counted = ordered.withColumn("_total", devices.agg(F.count("*")).scalar())
@@ -92,7 +96,9 @@ def build_topology(
         )
     left = counted.select(F.col("device_id").alias("source"), F.explode(meets).alias("place"))
     right = ordered.select(F.col("device_id").alias("target"), "place")
-    return simple_edges(left.join(right, "place"))
+    joined = left.join(right, "place")
+    # only a ring of two devices names an edge twice
+    return simple_edges(joined) if mode == "ring" else _undirected(joined)
 
 
 def connection_list(edges: DataFrame, rows_per_group: int | None = ROWS_PER_GROUP) -> DataFrame:
