@@ -1,8 +1,12 @@
 import random
+import subprocess
+import sys
 
+import pyarrow as pa
 import pytest
 from fleet import SCHEMA, fleet_rows, log_of, rows_of
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark import cloudpickle
 
 from togglelog.operators import label_rows, pair_executions, pair_or_open
 
@@ -154,3 +158,30 @@ def test_labels(spark, rows_per_group):
         (r[6], roles.get(r[6], "ignored")) for r in rows if r[0] is not None and r[3] is not None
     ]
     assert rows_of(label_rows(log, rows_per_group=rows_per_group), "ord", "role") == sorted(expected)
+
+
+def test_python_code_travels_without_the_package(spark, monkeypatch, tmp_path):
+    """Executors need not have the package: what is shipped to them must not import it."""
+    log = spark.createDataFrame(random_rows(2, 300, 2), SCHEMA)
+    frame, shipped = type(log), []
+    original = frame.mapInArrow
+
+    def recorded(self, func, schema):
+        shipped.append(func)
+        return original(self, func, schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", recorded)
+    pair_executions(log, rows_per_group=50).count()
+    assert {f.__name__ for f in shipped} == {"pair", "exits", "carry"}
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "device_id": ["d", "d"], "event": ["e", "e"], "chunk": [0, 0], "time_ns": [1, 2], "ord": [0, 1],
+            "toggled": [True, False], "message_id": [None, None], "first": [True, False], "idle": [True, True],
+            "entry": pa.array([None, None], pa.string()), "open": [True, False],
+        }
+    )
+    for n, func in enumerate(shipped):
+        path = tmp_path / f"{n}.pickle"
+        path.write_bytes(cloudpickle.dumps((func, batch)))
+        code = f"import pickle; f, b = pickle.load(open({str(path)!r}, 'rb')); print(len(list(f(iter([b])))))"
+        subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, check=True)
