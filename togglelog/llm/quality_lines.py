@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from togglelog.llm.storage import written
-from togglelog.llm.words import HASHES, as_long, gram_hashes, in_pieces, text_words
+from togglelog.llm.words import as_long, gram_hashes, in_pieces, text_words, word_hashes
 
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -54,7 +54,7 @@ def text_figures(text: str | None) -> tuple[dict[str, int], list[tuple[int, int,
         "word_chars": 0 if text is None else len(text) - sum(map(text.count, " \t\n\v\f\r")),
         "n_symbols": 0 if text is None else len(_SYMBOLS.findall(text)),
         "n_dup_lines": 0,
-        "n_repeat_words": repeat_words(words),
+        "n_repeat_words": repeat_words(text),
     }
     seen, lines = set(), {}
     for line in () if text is None else text.encode("utf-8", "surrogatepass").split(b"\n"):
@@ -68,14 +68,15 @@ def text_figures(text: str | None) -> tuple[dict[str, int], list[tuple[int, int,
     return figures, hashed
 
 
-def repeat_words(words: list[bytes], window: int = 3) -> int:
+def repeat_words(text: str | None, window: int = 3) -> int:
     """Words covered by windows that are found twice or more in the text."""
-    grams = gram_hashes(HASHES.of(words), window)
+    hashes = word_hashes(text)
+    grams = gram_hashes(hashes, window)
     if len(grams) < 2:
         return 0
     _, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
     at = np.flatnonzero(counts[inverse] > 1)
-    covered = np.zeros(len(words), bool)
+    covered = np.zeros(len(hashes), bool)
     for k in range(window):
         covered[at + k] = True
     return int(covered.sum())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from togglelog.llm.storage import written
-from togglelog.llm.words import HASHES, as_long, gram_hashes, in_pieces, mixed, span_hashes, text_words
+from togglelog.llm.words import as_long, gram_hashes, in_pieces, mixed, span_hashes, text_words, word_hashes
 
 SEED_WORDS = 12
 
@@ -114,7 +114,7 @@ def seed_writer(window: int, seed: int) -> Callable:
         for batch in in_pieces(batches, 1000):
             out = []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                hashes = HASHES.of(text_words(text))
+                hashes = word_hashes(text)
                 place, first, last = anchors(hashes, window, seed)
                 if len(place):
                     grams = gram_hashes(hashes, seed)[place]
@@ -143,7 +143,7 @@ def window_writer(window: int) -> Callable:
         for batch in in_pieces(batches, 1000):
             out = []
             for row, (text, parts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                hashes = HASHES.of(text_words(text))
+                hashes = word_hashes(text)
                 first = np.concatenate([np.arange(p["first"], p["last"] + 1) for p in parts])
                 is_open = np.concatenate([np.full(p["last"] + 1 - p["first"], p["open"]) for p in parts])
                 a = gram_hashes(hashes, window)[first]

@@ -29,25 +29,17 @@ def kept(name: str, make: Callable[[], Any]) -> Any:
     return box[name]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered for at most `limit` words, over a worker's tasks."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-    limit = 1 << 20
 
-    def __reduce__(self):
-        return kept, ("word_hashes", WordHashes)
+def _spread(count: int, salt: int) -> np.ndarray:
+    """`count` fixed 64-bit values without pattern."""
+    data = (blake2b(i.to_bytes(4, "little"), digest_size=8, key=bytes([salt])).digest() for i in range(count))
+    return np.frombuffer(b"".join(data), np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = found = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return found
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-HASHES = WordHashes()
+_BYTE_VALUES = _spread(256, 1)
 
 
 def text_words(text: str | None, lower: bool = False) -> list[bytes]:
@@ -58,6 +50,32 @@ def text_words(text: str | None, lower: bool = False) -> list[bytes]:
     return (data.lower() if lower else data).split()
 
 
+def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the words of a text, without making the words: polynomials over their bytes."""
+    if text is None:
+        return np.empty(0, np.uint64)
+    data = text.encode("utf-8", "surrogatepass")
+    data = np.frombuffer(data.lower() if lower else data, np.uint8)
+    inside = ~_SPACE[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    if not len(edges):
+        return np.empty(0, np.uint64)
+    lengths = edges[1::2] - edges[::2]
+    first = np.cumsum(lengths) - lengths
+    data = data[inside]
+    place = np.arange(len(data)) - np.repeat(first, lengths)
+    powers = np.full(int(lengths.max()), BASE, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    return mixed(np.add.reduceat(_BYTE_VALUES[data] * powers[place], first) + lengths.astype(np.uint64))
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    h = np.sort(h)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit over the output."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
