@@ -105,4 +105,55 @@ FROM keyed k JOIN budgets b ON k.source IS NOT DISTINCT FROM b.source
 LEFT JOIN chosen c ON k.doc_id IS NOT DISTINCT FROM c.doc_id AND k.source IS NOT DISTINCT FROM c.source AND k.size = c.size AND k.k = c.k
 """
 
-ORACLES: dict[str, str] = {"op1_line_frequency": LINE_FREQUENCY, "op7_mixture": MIXTURE}
+LINKED_CALLS = r"""
+WITH calls AS (
+    SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id, text,
+        ['count', 'echo', 'search'][length(text) % 3 + 1] AS name
+    FROM conversations WHERE role = 'assistant'
+), results AS (
+    SELECT conv_id, turn, 'call-' || conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'user'
+), first_calls AS (
+    SELECT conv_id, call_id, min(turn) AS turn, arg_min(name, turn) AS name, arg_min(text, turn) AS text FROM calls GROUP BY ALL
+), first_results AS (
+    SELECT conv_id, call_id, min(turn) AS turn, min(text) AS text FROM results GROUP BY conv_id, call_id
+), chains AS (
+    SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id, turn % 2, turn // 2 - k ORDER BY turn) - 1 AS depth
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS k FROM first_calls)
+), linked AS (
+    SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, d.depth,
+        coalesce(c.turn, r.turn) AS turn, c.name, c.text AS arg, r.text AS content,
+        CASE WHEN c.call_id IS NULL THEN 'no_call' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status
+    FROM first_calls c FULL JOIN first_results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+    LEFT JOIN chains d ON c.conv_id = d.conv_id AND c.call_id = d.call_id
+), made AS (
+    SELECT *, CASE WHEN status = 'no_call' THEN NULL ELSE '{"arguments":{'
+        || CASE WHEN name = 'echo' THEN '' ELSE '"chars":' || length(arg) || ',' END || '"text":' || to_json(arg)::VARCHAR
+        || '},"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' END AS json
+    FROM linked
+)
+SELECT conv_id, call_id, status, depth, false AS cyclic,
+    row_number() OVER (PARTITION BY conv_id ORDER BY depth IS NULL, depth, turn, call_id)::INTEGER AS position,
+    status <> 'no_call' AND name <> 'search' AS valid,
+    CASE WHEN name = 'search' THEN 'missing exact; unexpected chars' ELSE '' END AS errors, md5(json) AS json_md5
+FROM made
+"""
+
+ROLLUP = r"""
+WITH d AS (
+    SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+        len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+')) AS runs,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*')) AS full_words
+    FROM documents
+)
+SELECT source, lang, 'words-1' AS tokenizer_version, count(*)::BIGINT AS docs, sum(full_words)::BIGINT AS tokens
+FROM d WHERE words >= 50 GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'runs-1', count(*)::BIGINT, sum(runs)::BIGINT FROM d WHERE words >= 50 GROUP BY source, lang
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_line_frequency": LINE_FREQUENCY,
+    "op5_linked_calls": LINKED_CALLS,
+    "op7_mixture": MIXTURE,
+    "op10_rollup": ROLLUP,
+}

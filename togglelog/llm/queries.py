@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from togglelog.llm import jaccard_join, lang_id, mixing, packing, quality_lines, substring_dedup
+from togglelog.llm import (
+    jaccard_join,
+    lang_id,
+    mixing,
+    packing,
+    permutation_index,
+    quality_lines,
+    substring_dedup,
+    token_rollup,
+    tool_calls,
+    training_order,
+)
+from togglelog.llm.storage import new_path
 
 
 def tokenizer(name: str) -> str:
@@ -59,6 +71,101 @@ def near_duplicates(spark, sf_dir):
     return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
 
 
+def training_shards(spark, sf_dir):
+    """Sequences of all documents in a random order, written to shards in the shared folder."""
+    path = new_path(spark, "shards")
+    return training_order.materialise(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), key=20)
+
+
+# Tools of the conversations below.
+TOOLS = {
+    "count": {"properties": {"text": "string", "chars": "integer"}, "required": ["text", "chars"]},
+    "echo": {"properties": {"text": "string"}, "required": ["text"]},
+    "search": {"properties": {"text": "string", "exact": "boolean"}, "required": ["text", "exact"]},
+}
+
+
+def tool_messages(spark, sf_dir):
+    """Conversations read as tool use: an assistant's turn calls a tool with its text, the user's turn
+    after it is the result, and each call depends on the assistant's turn before."""
+    turns = table(spark, sf_dir, "conversations")
+    chars = F.length("text")
+    tool = F.element_at(F.array(*map(F.lit, sorted(TOOLS))), F.pmod(chars, F.lit(3)) + 1)
+    arguments = F.when(tool == "echo", F.to_json(F.struct("text"))).otherwise(
+        F.to_json(F.struct("text", chars.alias("chars")))
+    )
+
+    def identifier(turn):
+        return F.concat_ws("-", F.lit("call"), "conv_id", turn)
+
+    calls = turns.where("role = 'assistant'").select(
+        "conv_id",
+        "turn",
+        F.lit("call").alias("kind"),
+        identifier(F.col("turn")).alias("call_id"),
+        tool.alias("name"),
+        arguments.alias("arguments"),
+        identifier(F.col("turn") - 2).alias("after"),
+        F.lit(None).cast("string").alias("content"),
+    )
+    nothing = F.lit(None).cast("string")
+    results = turns.where("role = 'user'").select(
+        "conv_id",
+        "turn",
+        F.lit("result").alias("kind"),
+        identifier(F.col("turn") - 1).alias("call_id"),
+        nothing.alias("name"),
+        nothing.alias("arguments"),
+        nothing.alias("after"),
+        F.col("text").alias("content"),
+    )
+    return calls.unionByName(results)
+
+
+def linked_calls(spark, sf_dir):
+    """Calls and results of all conversations, linked, ordered, validated and serialised."""
+    found = tool_calls.link_tool_calls(tool_messages(spark, sf_dir), TOOLS)
+    digests = {"errors": F.concat_ws("; ", "errors"), "json_md5": F.md5("json")}
+    return found.withColumns(digests).drop("json")
+
+
+def neighbours(spark, sf_dir):
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def rollup(spark, sf_dir):
+    """Totals after four batches of changes to documents, two of them sent twice.
+
+    All documents come with their word counts (words-1), then with counts of runs of letters or digits
+    (runs-1). Documents of fewer than 50 words are deleted under both. Counts of words-1 are revised
+    to leave out words without a letter or digit.
+    """
+    docs = table(spark, sf_dir, "documents").select("source", "lang", mixing.word_count(F.col("text")).alias("words"), "text")
+    runs = F.coalesce(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).cast("long")
+    full = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*")), F.lit(0)).cast("long")
+    docs = docs.select("source", "lang", "words", runs.alias("runs"), full.alias("full"))
+
+    def change(rows, version, kind, tokens, old=None):
+        old = F.lit(None).cast("long") if old is None else F.col(old)
+        return rows.select(
+            "source", "lang", F.lit(version).alias("tokenizer_version"), F.lit(kind).alias("kind"),
+            F.col(tokens).alias("tokens"), old.alias("old_tokens"),
+        )
+
+    short = docs.where("words < 50")
+    batches = {
+        "1-words": change(docs, "words-1", "insert", "words"),
+        "2-runs": change(docs, "runs-1", "insert", "runs"),
+        "3-short": change(short, "words-1", "delete", "words").union(change(short, "runs-1", "delete", "runs")),
+        "4-revised": change(docs.where("words >= 50 AND full <> words"), "words-1", "revise", "full", "words"),
+    }
+    path = new_path(spark, "rollup")
+    for name in [*batches, "3-short", "1-words"]:
+        token_rollup.apply_batch(spark, path, name, batches[name])
+    return token_rollup.totals(spark, path)
+
+
 def pipeline(spark, sf_dir):
     """The corpus pipeline over documents."""
     import corpus_pipeline
@@ -70,8 +177,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": line_frequency,
     "op2_language": language,
     "op3_substring": substring,
+    "op4_training_shards": training_shards,
+    "op5_linked_calls": linked_calls,
+    "op6_neighbours": neighbours,
     "op7_mixture": mixture,
     "op8_packed": packed,
     "op9_near_duplicates": near_duplicates,
+    "op10_rollup": rollup,
     "pipeline": pipeline,
 }
