@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from togglelog.llm.storage import written
-from togglelog.llm.words import kept
+from togglelog.llm.words import BASE, kept, mixed
 
 # Bounds of the training sample: documents of each language (on average), and languages.
-TRAIN_DOCS = 2000
+TRAIN_DOCS = 1000
 MAX_LANGUAGES = 1000
 ROUNDS = 2
 # Characters of the longest piece that is used, and the share of a character that no piece covers.
@@ -70,83 +70,143 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+class PieceTable:
+    """Rows of pieces by hashes of their characters, looked up for whole arrays at once."""
+
+    bits = 20
+
+    def __init__(self, pieces: dict[str, int]):
+        self.unknown, self.no_piece = len(pieces), len(pieces) + 1
+        by_length: dict[int, list[str]] = {}
+        for p in pieces:
+            by_length.setdefault(len(p), []).append(p)
+        self.longest = max(by_length, default=1)
+        hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        for size, some in by_length.items():
+            h = np.zeros(len(some), np.uint64)
+            for column in characters(some, size).T:
+                h = self.extended(h, column)
+            hashes.append(mixed(h))
+            rows.append(np.array([pieces[p] for p in some], np.int32))
+        self.hashes, self.rows = np.concatenate(hashes), np.concatenate(rows)
+        # two tables by different bits of the hash; the few pieces that share a place in both are sorted
+        self.tables, rest = [], np.arange(len(self.hashes))
+        for shift in (0, self.bits):
+            table = np.full(1 << self.bits, -1, np.int32)
+            at = self.place(self.hashes[rest], shift)
+            table[at] = rest
+            self.tables.append(table)
+            rest = rest[table[at] != rest]
+        self.rest = rest[np.argsort(self.hashes[rest])]
+
+    @staticmethod
+    def extended(h: np.ndarray, column: np.ndarray) -> np.ndarray:
+        return h * np.uint64(BASE) + column.astype(np.uint64) + np.uint64(1)
+
+    def place(self, h: np.ndarray, shift: int) -> np.ndarray:
+        return ((h >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Rows of substrings with these (unmixed) hashes; `no_piece` for others."""
+        h = mixed(h)
+        out = np.full(len(h), self.no_piece, np.int32)
+        if not len(self.hashes):
+            return out
+        for shift, table in zip((0, self.bits), self.tables):
+            at = table[self.place(h, shift)]
+            hit = (at >= 0) & (self.hashes[at] == h)
+            out[hit] = self.rows[at[hit]]
+        if len(self.rest):
+            sorted_hashes = self.hashes[self.rest]
+            at = np.minimum(np.searchsorted(sorted_hashes, h), len(self.rest) - 1)
+            hit = sorted_hashes[at] == h
+            out[hit] = self.rows[self.rest[at[hit]]]
+        return out
+
+
+def characters(words: list[str], length: int) -> np.ndarray:
+    """Code points of words of one length (words x length)."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), length)
+
+
 class Lattices:
-    """Piece rows of all substrings of words, for words of at most `width` characters."""
-
-    def __init__(self, words: list[str], pieces: dict[str, int]):
-        unknown, no_piece = len(pieces), len(pieces) + 1
-        self.lengths = np.array([len(w) for w in words])
-        self.width = int(self.lengths.max(initial=0))
-        longest = min(self.width, LONGEST_PIECE)
-        # rows[k, start, length - 1]
-        self.rows = np.full((len(words), self.width, max(1, longest)), no_piece, np.int32)
-        get = pieces.get
-        for k, w in enumerate(words):
-            n = len(w)
-            for start in range(n):
-                row = self.rows[k, start]
-                for end in range(start + 1, min(n, start + longest) + 1):
-                    found = get(w[start:end])
-                    if found is not None:
-                        row[end - start - 1] = found
-                if row[0] == no_piece:
-                    row[0] = unknown
-
-    def forward(self, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled sums over all segmentations of each prefix, and the logarithms of the scales."""
-        n, longest = len(self.lengths), self.rows.shape[2]
-        alpha = np.zeros((n, self.width + 1, probability.shape[1]))
-        alpha[:, 0] = 1
-        log_scale = np.zeros((n, self.width + 1))
-        for end in range(1, self.width + 1):
-            for size in range(1, min(longest, end) + 1):
-                start = end - size
-                shift = np.exp(log_scale[:, start] - log_scale[:, end - 1])[:, None]
-                alpha[:, end] += alpha[:, start] * shift * probability[self.rows[:, start, size - 1]]
-            top = alpha[:, end].max(axis=1)
-            top[top <= 0] = 1
-            alpha[:, end] /= top[:, None]
-            log_scale[:, end] = log_scale[:, end - 1] + np.log(top)
-        return alpha, log_scale
+    """All ways to cut words of one length into pieces, and sums over them.
+
+    rows[size - 1][:, start] has the piece row of each word's substring. Sums are kept as logarithms of
+    scaled numbers, so that words of any length are exact enough.
+    """
+
+    def __init__(self, words: list[str], table: PieceTable):
+        self.length, self.count = len(words[0]), len(words)
+        codes, h, self.rows = characters(words, self.length), None, []
+        for size in range(1, min(self.length, table.longest) + 1):
+            n = self.length - size + 1
+            h = table.extended(np.zeros((self.count, n), np.uint64) if h is None else h[:, :n], codes[:, size - 1 :])
+            found = table.find(h.ravel()).reshape(h.shape)
+            if size == 1:
+                found[found == table.no_piece] = table.unknown
+            self.rows.append(found)
+
+    def forward(self, probability: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Sums over the segmentations of each prefix (scaled: words x languages), and log scales."""
+        alpha = [np.ones((self.count, probability.shape[1]))]
+        scale = np.zeros((self.length + 1, self.count))
+        for end in range(1, self.length + 1):
+            total = np.zeros_like(alpha[0])
+            for size in range(1, min(len(self.rows), end) + 1):
+                part = alpha[end - size] * probability[self.rows[size - 1][:, end - size]]
+                if size > 1:
+                    shift = scale[end - size] - scale[end - 1]
+                    if shift.any():
+                        part *= np.exp(shift)[:, None]
+                total += part
+            scale[end] = scale[end - 1]
+            if end % 16 == 0:
+                top = np.maximum(total.max(axis=1), 1e-300)
+                total /= top[:, None]
+                scale[end] += np.log(top)
+            alpha.append(total)
+        return alpha, scale
 
     def log_probability(self, probability: np.ndarray) -> np.ndarray:
-        alpha, log_scale = self.forward(probability)
-        at = np.arange(len(self.lengths)), self.lengths
-        with np.errstate(divide="ignore"):
-            return np.maximum(np.log(alpha[at]), -700) + log_scale[at][:, None]
+        alpha, scale = self.forward(probability)
+        return np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1][:, None]
 
     def expected(self, probability: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in one language (probability: one column), summed over words."""
-        alpha, log_scale = self.forward(probability)
-        n, longest = len(self.lengths), self.rows.shape[2]
-        total = np.zeros(len(probability))
-        log_all = np.log(np.maximum(alpha[np.arange(n), self.lengths, 0], 1e-300)) + log_scale[np.arange(n), self.lengths]
-        with np.errstate(divide="ignore"):
-            log_alpha = np.log(alpha[:, :, 0]) + log_scale
-            log_p = np.log(probability[:, 0])
-        beta = np.full((n, self.width + 1), -np.inf)
-        beta[np.arange(n), self.lengths] = 0
-        for start in range(self.width - 1, -1, -1):
-            for size in range(1, min(longest, self.width - start) + 1):
-                rows = self.rows[:, start, size - 1]
-                through = log_p[rows] + beta[:, start + size]
-                beta[:, start] = np.logaddexp(beta[:, start], through)
-                share = np.exp(np.minimum(log_alpha[:, start] + through - log_all, 0)) * counts
-                np.add.at(total, rows, share)
-        return total
-
-
-def by_length(words: list[str], rows: int = 4000, cells: int = 1_000_000) -> Iterator[list[int]]:
-    """Indexes of words in groups of similar length, none too large to be worked on at once."""
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    group: list[int] = []
-    for i in order:
-        if group and (len(group) >= rows or len(words[i]) * (len(group) + 1) * LONGEST_PIECE > cells or len(words[i]) > 1.5 * len(words[group[0]]) + 2):
-            yield group
-            group = []
-        group.append(i)
-    if group:
-        yield group
+        alpha, scale = self.forward(probability)
+        p = probability[:, 0]
+        log_all = np.log(np.maximum(alpha[-1][:, 0], 1e-300)) + scale[-1]
+        # beta[i]: scaled sums over the segmentations of what follows place i
+        beta, back = [np.ones(self.count)] * (self.length + 1), np.zeros((self.length + 1, self.count))
+        used, shares = [], []
+        for start in range(self.length - 1, -1, -1):
+            total = np.zeros(self.count)
+            for size in range(1, min(len(self.rows), self.length - start) + 1):
+                rows = self.rows[size - 1][:, start]
+                through = p[rows] * beta[start + size]
+                total += through * np.exp(back[start + size] - back[start + 1])
+                log_rest = scale[start] + back[start + size] - log_all
+                used.append(rows)
+                shares.append(np.minimum(alpha[start][:, 0] * through * np.exp(np.minimum(log_rest, 700)), 1) * counts)
+            back[start] = back[start + 1]
+            if (self.length - start) % 16 == 0:
+                top = np.maximum(total, 1e-300)
+                total = total / top
+                back[start] = back[start] + np.log(top)
+            beta[start] = total
+        return np.bincount(np.concatenate(used), np.concatenate(shares), len(p))
+
+
+def by_length(words: list[str], cells: int = 1_000_000) -> Iterator[np.ndarray]:
+    """Indexes of words in groups of one length, none too large to be worked on at once."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(lengths, kind="stable")
+    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
+    for group in np.split(order, cuts) if len(words) else ():
+        rows = max(1, cells // (int(lengths[group[0]]) * LONGEST_PIECE))
+        for at in range(0, len(group), rows):
+            yield group[at : at + rows]
 
 
 def train(docs: DataFrame, model_path: str, rounds: int = ROUNDS, train_docs: int = TRAIN_DOCS) -> LanguageModel:
@@ -200,7 +260,7 @@ def count_words() -> Callable:
 
 def expectation(pieces: dict[str, int], place: dict[str, int], probability: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(probability.shape)
+        table, total = PieceTable(pieces), np.zeros(probability.shape)
         for batch in batches:
             langs = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
             words, counts = batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
@@ -208,7 +268,7 @@ def expectation(pieces: dict[str, int], place: dict[str, int], probability: np.n
                 own = np.flatnonzero(langs == k)
                 mine = [words[i] for i in own]
                 for group in by_length(mine):
-                    lattices = Lattices([mine[i] for i in group], pieces)
+                    lattices = Lattices([mine[i] for i in group], table)
                     total[:, k] += lattices.expected(probability[:, [k]], counts[own[group]])
         piece, lang = np.nonzero(total)
         yield pa.record_batch([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[piece, lang])], ["lang", "piece", "n"])
@@ -219,25 +279,36 @@ def expectation(pieces: dict[str, int], place: dict[str, int], probability: np.n
 class WordScores:
     """Log probabilities of words in all languages, remembered for at most `limit` words."""
 
-    limit = 300_000
+    limit = 200_000
 
     def __init__(self, model: LanguageModel):
-        self.model = model
+        self.languages, self.probability = model.languages, model.probability
+        self.table = PieceTable(model.pieces)
         self.rows: dict[str, int] = {}
-        self.scores = np.empty((0, len(model.languages)))
+        self.scores = np.empty((self.limit, len(model.languages)))
 
-    def of(self, words: set[str]) -> dict[str, int]:
-        """Rows of `scores` for the words."""
+    def of(self, words: set[str]) -> tuple[dict[str, int], np.ndarray]:
+        """Rows of the words, and the scores by row."""
         new = [w for w in words if w not in self.rows]
         if len(self.rows) + len(new) > self.limit:
-            self.rows, self.scores, new = {}, self.scores[:0], list(words)
-        if new:
-            found = np.empty((len(new), self.scores.shape[1]))
-            for group in by_length(new):
-                found[group] = Lattices([new[i] for i in group], self.model.pieces).log_probability(self.model.probability)
-            self.rows.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
-            self.scores = np.concatenate((self.scores, found))
-        return self.rows
+            self.rows, new = {}, list(words)
+        start = len(self.rows)
+        if start + len(new) > len(self.scores):  # more words at once than are remembered
+            self.scores = np.empty((start + len(new), len(self.languages)))
+        for group in by_length(new):
+            some = [new[i] for i in group]
+            self.scores[start + group] = Lattices(some, self.table).log_probability(self.probability)
+        self.rows.update(zip(new, range(start, start + len(new))))
+        return self.rows, self.scores
+
+
+def scorer_of(name: str, shared) -> WordScores:
+    """The scorer of one model, kept by the worker until another model comes."""
+    box = kept("lang_scores", dict)
+    if name not in box:
+        box.clear()
+        box[name] = WordScores(LanguageModel(*shared.value))
+    return box[name]
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -256,18 +327,18 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.probability))
 
     def run(texts):
-        scorer = kept(name, lambda: WordScores(LanguageModel(*shared.value)))
-        languages = scorer.model.languages
+        scorer = scorer_of(name, shared)
+        languages = scorer.languages
         out: list[tuple[str, float]] = []
         values = texts.tolist()
-        for at in range(0, len(values), 200):
-            split = [text_parts(t) if languages and has_letter(t) else [] for t in values[at : at + 200]]
-            rows = scorer.of(set().union(*split))
+        for at in range(0, len(values), 500):
+            split = [text_parts(t) if languages and has_letter(t) else [] for t in values[at : at + 500]]
+            rows, scores = scorer.of(set().union(*split))
             for words in split:
                 if not words:
                     out.append((UNDETERMINED, 0.0))
                     continue
-                total = scorer.scores[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                total = scores[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
                 best = int(total.argmax())
                 out.append((languages[best], float(1 / np.exp(total - total[best]).sum())))
         return pd.DataFrame(out, columns=["lang_pred", "score"])

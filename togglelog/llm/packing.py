@@ -11,6 +11,7 @@ short at the end of a task, one or a few, are cut at powers of two, where they n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from togglelog.llm.words import kept, text_words
+from togglelog.llm.words import kept
 
 SCHEMA = (
     "doc_id long, start long, length long, loss_tokens long, ids binary, doc_tokens long, "
@@ -60,14 +61,24 @@ def pack_texts(
     return docs.select(*columns).mapInArrow(packer(tokenizer_path, end_id, limits), SCHEMA)
 
 
+# The tokenizer's own split of lower-cased text, spelled out for characters below U+0180,
+# where composing changes nothing and lower case is a character's own. Others, and what may be a
+# special token, are left to the tokenizer.
+_LETTER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_SPACE = "\t-\r \u0085\u00a0"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+_OTHER = re.compile("[\u0130\u0180-\U0010ffff]|<\\|")
+
+
 class TokenCache(dict):
-    """Ids (as bytes) of white-space separated parts of texts, for a tokenizer that drops white space.
+    """Ids (as bytes) of parts of texts, for a word tokenizer that lower-cases and drops white space.
 
-    Such a tokenizer's ids of a text are those of its parts, one after the other. At most `limit`
-    parts are remembered.
+    Such a tokenizer's ids of a text are those of the parts it splits the text into, one after the
+    other. At most `limit` parts are remembered.
     """
 
-    limit = 400_000
+    limit = 350_000
 
     def __init__(self, path: str):
         import os
@@ -77,23 +88,48 @@ class TokenCache(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def learn(self, parts: set[bytes]) -> None:
-        if len(self) + len(parts) > self.limit:
-            self.clear()
+    def learn(self, parts: set[str]) -> None:
         new = list(parts)
-        for at in range(0, len(new), 10_000):
-            some = [x.decode("utf-8", "replace") for x in new[at : at + 10_000]]
-            for part, found in zip(new[at:], self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self[part] = np.array(found.ids, "<u4").tobytes()
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            # one call for many parts: white space keeps them apart
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            words = np.array(found.word_ids, np.int64)
+            cuts = np.flatnonzero(np.diff(words)) + 1
+            if len(cuts) + 1 == len(some):
+                data, at_byte = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
+                self.update(zip(some, map(data.__getitem__, map(slice, at_byte, at_byte[1:]))))
+            else:
+                for x in some:
+                    self[x] = self.whole(x)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [text_words(t) for t in texts]
+        split = [self.parts(t) for t in texts]
         unknown = set().union(*split).difference(self)
-        if unknown:
-            self.learn(unknown)
-            if any(x not in self for words in split for x in words):  # the cache was emptied
-                self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        if self and len(self) + len(unknown) > self.limit:
+            self.clear()
+            unknown = set().union(*split)
+        self.learn(unknown)
+        return [b"".join(map(self.__getitem__, parts)) for parts in split]
+
+    def parts(self, text: str | None) -> list[str]:
+        if text is None:
+            return []
+        if not _OTHER.search(text):
+            return _PARTS.findall(text.lower())
+        out: list[str] = []
+        for word in text.encode("utf-8", "replace").decode().split(" "):
+            if not _OTHER.search(word):
+                out += _PARTS.findall(word.lower())
+            else:
+                if word not in self:
+                    self[word] = self.whole(word)
+                out.append(word)
+        return out
 
 
 def token_cache(path: str) -> TokenCache:
