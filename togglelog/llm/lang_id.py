@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from togglelog.llm.storage import written
-from togglelog.llm.words import BASE, kept, mixed
+from togglelog.llm.words import BASE, mixed
 
 # Bounds of the training sample: documents of each language (on average), and languages.
 TRAIN_DOCS = 1000
@@ -302,15 +302,6 @@ class WordScores:
         return self.rows, self.scores
 
 
-def scorer_of(name: str, shared) -> WordScores:
-    """The scorer of one model, kept by the worker until another model comes."""
-    box = kept("lang_scores", dict)
-    if name not in box:
-        box.clear()
-        box[name] = WordScores(LanguageModel(*shared.value))
-    return box[name]
-
-
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred (string) and score (double, 0 to 1: the posterior of lang_pred).
 
@@ -318,31 +309,29 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     language. Only the text is looked at. Ties go to the first language in code point order. Other
     columns are passed on, those named like the new ones are replaced; an empty table stays empty.
     """
-    import uuid
-
     import pandas as pd
 
-    name = f"lang:{uuid.uuid4().hex}"
     # at most languages x pieces numbers
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.probability))
 
-    def run(texts):
-        scorer = scorer_of(name, shared)
+    def run(batches):
+        scorer = WordScores(LanguageModel(*shared.value))
         languages = scorer.languages
-        out: list[tuple[str, float]] = []
-        values = texts.tolist()
-        for at in range(0, len(values), 500):
-            split = [text_parts(t) if languages and has_letter(t) else [] for t in values[at : at + 500]]
-            rows, scores = scorer.of(set().union(*split))
-            for words in split:
-                if not words:
-                    out.append((UNDETERMINED, 0.0))
-                    continue
-                total = scores[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                best = int(total.argmax())
-                out.append((languages[best], float(1 / np.exp(total - total[best]).sum())))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
-
-    guess = F.pandas_udf(run, "lang_pred string, score double")
+        for texts in batches:
+            out: list[tuple[str, float]] = []
+            values = texts.tolist()
+            for at in range(0, len(values), 500):
+                split = [text_parts(t) if languages and has_letter(t) else [] for t in values[at : at + 500]]
+                rows, scores = scorer.of(set().union(*split))
+                for words in split:
+                    if not words:
+                        out.append((UNDETERMINED, 0.0))
+                        continue
+                    total = scores[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                    best = int(total.argmax())
+                    out.append((languages[best], float(1 / np.exp(total - total[best]).sum())))
+            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+
+    guess = F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.withColumn("_guess", guess(F.col("text").cast("string"))).select(*rest, "_guess.*")

@@ -34,8 +34,8 @@ class Limits:
     tokens: int = 2048
     segments: int = 256
     loss_tokens: int = 2048
-    pool_tokens: int = 2_000_000
-    pool_pieces: int = 16_384
+    pool_tokens: int = 500_000
+    pool_pieces: int = 8192
 
 
 def pack_texts(
@@ -78,15 +78,10 @@ class TokenCache(dict):
     other. At most `limit` parts are remembered.
     """
 
-    limit = 350_000
+    limit = 250_000
 
     def __init__(self, path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = kept(f"tokenizer:{path}", lambda: read_tokenizer(path))
 
     def learn(self, parts: set[str]) -> None:
         new = list(parts)
@@ -132,8 +127,13 @@ class TokenCache(dict):
         return out
 
 
-def token_cache(path: str) -> TokenCache:
-    return kept(f"tokens:{path}", lambda: TokenCache(path))
+def read_tokenizer(path: str):
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 class Packer:
@@ -244,7 +244,7 @@ def packer(tokenizer_path: str, end_id: int, limits: Limits) -> Callable:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, state = token_cache(tokenizer_path), Packer(limits)
+        cache, state = TokenCache(tokenizer_path), Packer(limits)
         # of the documents with pieces in the pool
         doc_ids: dict[int, int | None] = {}
         ids: dict[int, bytes] = {}

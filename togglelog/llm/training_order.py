@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from togglelog.llm.packing import token_cache
+from togglelog.llm.packing import TokenCache
 from togglelog.llm.storage import written
 from togglelog.llm.words import mixed
 
@@ -49,7 +49,7 @@ def sequence_writer(tokenizer_path: str, end_id: int, pad_id: int, length: int)
     names = ["part", "number", "ids", "n_tokens", "first_doc", "n_docs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, width = token_cache(tokenizer_path), 2 * length
+        cache, width = TokenCache(tokenizer_path), 2 * length
         end = np.array([end_id], "<u2").tobytes()
         rest, docs, number, part = b"", [], 0, 0
 
