@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from togglelog.llm.storage import written
+from togglelog.llm.storage import texts_of, written
 from togglelog.llm.words import BASE, mixed
 
 # Bounds of the training sample: documents of each language (on average), and languages.
@@ -215,7 +215,7 @@ def train(docs: DataFrame, model_path: str, rounds: int = ROUNDS, train_docs: in
     At most about `train_docs` documents of each language are used, taken by a hash of their text.
     Without any such row the model has no language.
     """
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(
+    labelled = texts_of(docs).where("lang IS NOT NULL AND text IS NOT NULL").select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
@@ -334,4 +334,4 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     guess = F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("_guess", guess(F.col("text").cast("string"))).select(*rest, "_guess.*")
+    return texts_of(docs).withColumn("_guess", guess(F.col("text").cast("string"))).select(*rest, "_guess.*")

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from togglelog.llm.storage import texts_of
 from togglelog.llm.words import kept
 
 SCHEMA = (
@@ -58,7 +59,7 @@ def pack_texts(
         # tells tasks apart in sequence_id; a task that is repeated has the same number
         F.spark_partition_id().cast("long").alias("part"),
     ]
-    return docs.select(*columns).mapInArrow(packer(tokenizer_path, end_id, limits), SCHEMA)
+    return texts_of(docs).select(*columns).mapInArrow(packer(tokenizer_path, end_id, limits), SCHEMA)
 
 
 # The tokenizer's own split of lower-cased text, spelled out for characters below U+0180,

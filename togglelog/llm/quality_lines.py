@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from togglelog.llm.storage import written
+from togglelog.llm.storage import texts_of, written
 from togglelog.llm.words import as_long, gram_hashes, in_pieces, text_words, word_hashes
 
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
@@ -117,7 +117,7 @@ def line_quality(docs: DataFrame, host: str = "source", limits: LineLimits = Lin
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")]
     schema = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines " + LINES
-    found = docs.select(*columns).mapInArrow(figures_writer(), schema)
+    found = texts_of(docs).select(*columns).mapInArrow(figures_writer(), schema)
     # written with its row numbers, so that these hold however often the table is read
     found = written(found.withColumn("row", F.monotonically_increasing_id()), "line-figures")
     lines = found.select("row", "host", F.inline("lines"))

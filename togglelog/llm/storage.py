@@ -23,6 +23,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# Rows that a Python task gets at once, where rows are whole texts.
+TEXT_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """docs, with the session's Arrow batches kept small enough for long texts from here on."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= TEXT_ROWS:
+        conf.set(_BATCH, str(TEXT_ROWS))
+    return docs
+
+
 # Spark drops the shuffle files of a query as it ends, rather than when the driver's garbage goes.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

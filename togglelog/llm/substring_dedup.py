@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from togglelog.llm.storage import written
+from togglelog.llm.storage import texts_of, written
 from togglelog.llm.words import as_long, gram_hashes, in_pieces, mixed, span_hashes, text_words, word_hashes
 
 SEED_WORDS = 12
@@ -42,7 +42,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = SEED_WORDS) ->
     """
     if not 0 < seed <= window:
         raise ValueError("seed must have 1 to `window` words")
-    spans = repeated_spans(docs, window, seed)
+    spans = repeated_spans(texts_of(docs), window, seed)
     made = ("n_words", "n_removed", "spans", "kept_text")
     rest = [c for c in docs.columns if c not in (*made, "text_crc")]
     keyed = _keyed(docs, rest)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from togglelog.llm.packing import TokenCache
-from togglelog.llm.storage import written
+from togglelog.llm.storage import texts_of, written
 from togglelog.llm.words import mixed
 
 SEQUENCE = 2048
@@ -94,7 +94,7 @@ def materialise(
     text is `end_id` alone; repeated rows are written as often as they come; a null doc_id stays null.
     Other columns are ignored. An empty table writes no shard and gives an empty result.
     """
-    numbered = docs.select(
+    numbered = texts_of(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part")
     ).mapInArrow(
         sequence_writer(tokenizer_path, end_id, pad_id, length),
