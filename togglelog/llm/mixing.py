@@ -31,7 +31,7 @@ JUNK = "#*$%&|<>{}[]=_~^@\\0123456789"
 
 def text_quality(text: Column) -> Column:
     """A weight from 0.01 to 1: the share of characters that are not digits or symbols, squared."""
-    clean = F.length(F.translate(text, JUNK, "")) / F.length(text)
+    clean = F.length(F.translate(text, JUNK, "")) / F.nullif(F.length(text), F.lit(0))
     return F.greatest(F.coalesce(clean * clean, F.lit(0.0)), F.lit(0.01))
 
 
