@@ -1,9 +1,11 @@
-"""A five-device log with known results, and helpers of the tests."""
+"""A small log of our own, and helpers of the tests."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from togglelog.functions.columns import RECEIVE_EVENT, SEND_EVENT, SYNC_EVENT
+
 SCHEMA = "event string, time_ns long, toggled boolean, device_id string, position double, message_id string, ord long"
 
 
@@ -12,39 +14,49 @@ def log_of(spark: SparkSession, rows) -> DataFrame:
     return spark.createDataFrame([(*row, i) for i, row in enumerate(rows)], SCHEMA)
 
 
-def fleet_rows(pulses: int = 2):
-    rows = []
-
-    def execution(event, start, length, device, message=None):
-        name = f"Device_{device}"
-        rows.append((event, start, True, name, float(device), message))
-        rows.append((event, start + length, False, name, float(device), message))
-
-    def message(name, sender, start, receivers):
-        execution("UART_Send", start, 8000, sender, name)
-        for device, delay in receivers:
-            execution("UART_Receive", start + delay, 500, device, name)
-
-    def pulse(number, start, skew):
-        for device in range(1, 6):
-            execution("Sync_Pulse", start + skew * (device - 1), 300, device, f"SYNC_{number}")
-
-    for device in range(1, 6):
-        execution("GPIO_Init", 1000 + 550 * (device - 1), 500, device)
-    for device in range(1, 6):
-        execution("ADC_Read", 4000 + 2050 * (device - 1), 2000, device)
-    message("MSG_12345", 1, 15000, [(2, 10000), (3, 12500), (4, 15000), (5, 17500)])
-    message("MSG_23456", 2, 34000, [(3, 10000), (4, 12500), (5, 15000)])
-    for device in range(1, 6):
-        execution("Timer_ISR", 50000 + 10 * (device - 1), 1200, device)
-    for device in range(1, 6):
-        execution("SPI_Transfer", 52000 + 3050 * (device - 1), 3000, device)
-    pulse(1, 70000, 50)
-    pulse(2, 120000, 100)
-    message("MSG_34567", 3, 130000, [(4, 10000), (5, 12500), (2, 14000), (1, 16500)])
-    if pulses > 2:
-        pulse(3, 180000, 75)
-    return rows
+# An invented water works: stations in order of appearance, with their positions.
+STATIONS = {"west": 2.0, "tank": 7.0, "east": 1.0, "well": 4.0}
+# event, station, start, duration, message
+EXECUTIONS = [
+    ("Fill", "west", 100, 40, None),
+    ("Fill", "tank", 130, 55, None),
+    ("Fill", "east", 210, 35, None),
+    ("Fill", "well", 260, 61, None),
+    ("Fill", "west", 400, 44, None),
+    ("Drain", "tank", 500, 900, None),
+    ("Drain", "east", 520, 730, None),
+    ("Sample", "well", 1500, 12, None),
+    ("Sample", "well", 1600, 17, None),
+    (SEND_EVENT, "west", 2000, 300, "open-valve"),
+    (RECEIVE_EVENT, "east", 2140, 25, "open-valve"),
+    (RECEIVE_EVENT, "tank", 2410, 31, "open-valve"),
+    (RECEIVE_EVENT, "well", 2230, 22, "open-valve"),
+    (SEND_EVENT, "tank", 3000, 280, "level"),
+    (RECEIVE_EVENT, "west", 3550, 27, "level"),
+    (RECEIVE_EVENT, "east", 3720, 24, "level"),
+    (SYNC_EVENT, "west", 5000, 9, "SYNC_noon"),
+    (SYNC_EVENT, "tank", 5033, 8, "SYNC_noon"),
+    (SYNC_EVENT, "well", 5004, 9, "SYNC_noon"),
+    (SYNC_EVENT, "east", 9000, 7, "SYNC_dusk"),
+    (SYNC_EVENT, "well", 9070, 10, "SYNC_dusk"),
+]
+
+
+def fleet_rows():
+    return [
+        (event, time, toggled, station, STATIONS[station], message)
+        for event, station, start, length, message in EXECUTIONS
+        for time, toggled in ((start, True), (start + length, False))
+    ]
+
+
+def durations(*columns: int) -> dict:
+    """Durations of the executions, by columns of EXECUTIONS."""
+    found: dict = {}
+    for row in EXECUTIONS:
+        key = tuple(row[c] for c in columns)
+        found.setdefault(key[0] if len(key) == 1 else key, []).append(row[3])
+    return found
 
 
 def rows_of(df: DataFrame, *columns: str):

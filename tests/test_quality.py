@@ -19,7 +19,7 @@ def test_fleet_is_balanced(spark):
     assert unbalanced_groups(log).count() == 0
     assert groups_without_execution(log, pair_executions(log)).count() == 0
     assert profile(log).first().asDict() == {
-        "row_count": 88, "events": 7, "devices": 5, "toggle_values": 2, "min_time_ns": 1000, "max_time_ns": 147000
+        "row_count": 42, "events": 6, "devices": 4, "toggle_values": 2, "min_time_ns": 100, "max_time_ns": 9080
     }
 
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from fleet import fleet_rows, log_of, rows_of
+from fleet import EXECUTIONS, SYNC_EVENT, durations, fleet_rows, log_of, rows_of
 from test_pairing import random_rows, SCHEMA
 
 from togglelog.operators import (
@@ -20,24 +20,8 @@ from togglelog.operators import (
 )
 from togglelog.operators.skew import find_hot_keys, rank_all, rank_in_groups
 
-FLEET = {
-    "GPIO_Init": (5, 500.0),
-    "ADC_Read": (5, 2000.0),
-    "UART_Send": (3, 8000.0),
-    "UART_Receive": (11, 500.0),
-    "Timer_ISR": (5, 1200.0),
-    "SPI_Transfer": (5, 3000.0),
-    "Sync_Pulse": (10, 300.0),
-}
 # event -> durations of its executions, basic format
-BASIC = {
-    "ADC_Read": [2000, 2200, 2300],
-    "GPIO_Init": [500, 600, 600],
-    "SPI_Transfer": [3000, 2900],
-    "Timer_ISR": [1200, 1400],
-    "UART_Send": [8000, 9500],
-    "PWM_Update": [800],
-}
+BASIC = {"Grind": [310, 295, 347], "Brew": [2750, 2610], "Steam": [88, 93, 90, 71], "Rinse": [45]}
 
 
 @pytest.fixture(scope="module")
@@ -48,8 +32,8 @@ def fleet(spark):
 @pytest.fixture(scope="module")
 def basic(spark):
     rows, now = [], 0
-    for event, durations in BASIC.items():
-        for duration in durations:
+    for event, lengths in BASIC.items():
+        for duration in lengths:
             rows += [(event, now, True, None, None, None), (event, now + duration, False, None, None, None)]
             now += duration + 1000
     return pair_executions(log_of(spark, rows), by_device=False).cache()
@@ -63,19 +47,21 @@ def messy(spark):
 
 def test_pooled_stats(fleet):
     got = {r["event"]: (r["count"], r["mean_ns"], r["std_ns"]) for r in pooled_stats(fleet).collect()}
-    assert got == {event: (n, mean, 0.0) for event, (n, mean) in FLEET.items()}
+    assert got.keys() == durations(0).keys()
+    for event, found in durations(0).items():
+        assert got[event] == pytest.approx((len(found), np.mean(found), np.std(found)))
 
 
 def test_kpis_weigh_groups_not_executions(fleet):
     stats = exec_stats(fleet)
     row = kpis(stats).first()
-    assert row["total_executions"] == 44
-    assert row["mean_of_means_ns"] == pytest.approx(1863.6363636363637)
+    assert row["total_executions"] == len(EXECUTIONS)
+    assert row["mean_of_means_ns"] == pytest.approx(np.mean([np.mean(d) for d in durations(0, 1).values()]))
     assert fastest_slowest(stats).first().asDict() == {
-        "fastest_event": "Sync_Pulse",
-        "fastest_ns": 300.0,
-        "slowest_event": "UART_Send",
-        "slowest_ns": 8000.0,
+        "fastest_event": SYNC_EVENT,
+        "fastest_ns": 7.0,
+        "slowest_event": "Drain",
+        "slowest_ns": 900.0,
     }
 
 
@@ -94,16 +80,16 @@ def test_empty_log(spark):
 
 def test_basic_stats_use_the_population_deviation(basic):
     got = {r["event"]: r for r in exec_stats(basic, keys=("event",)).collect()}
-    for event, durations in BASIC.items():
+    for event, lengths in BASIC.items():
         row = got[event]
-        assert (row["count"], row["min_ns"], row["max_ns"]) == (len(durations), min(durations), max(durations))
-        assert row["mean_ns"] == pytest.approx(np.mean(durations))
-        assert row["std_ns"] == pytest.approx(np.std(durations))
+        assert (row["count"], row["min_ns"], row["max_ns"]) == (len(lengths), min(lengths), max(lengths))
+        assert row["mean_ns"] == pytest.approx(np.mean(lengths))
+        assert row["std_ns"] == pytest.approx(np.std(lengths))
 
 
 def test_distribution(fleet):
     got = {r["event"]: (r["count"], r["share"]) for r in event_distribution(fleet).collect()}
-    assert got == {event: (n, n / 44) for event, (n, _) in FLEET.items()}
+    assert got == {event: (len(d), len(d) / len(EXECUTIONS)) for event, d in durations(0).items()}
 
 
 @pytest.mark.parametrize("rows_per_group", [None, 40])
@@ -149,17 +135,17 @@ def test_box_summary(messy, keys, rows_per_group):
 def test_device_reports(spark, fleet):
     stats = exec_stats(fleet)
     got = {r["device_id"]: (r["total_executions"], r["mean_of_means_ns"]) for r in device_summary(stats).collect()}
-    assert got["Device_1"] == (8, pytest.approx(2214.285714))
-    assert got["Device_4"] == (9, pytest.approx(1250))
-    chosen = spark.createDataFrame([("Device_2",), ("Device_9",)], "device_id string")
-    for devices in (["Device_2", "Device_9"], chosen):
-        assert rows_of(device_summary(stats, devices), "device_id") == [("Device_2",)]
-        assert device_comparison(stats, devices).count() == 7
-    matrix = device_matrix(stats, ["Device_1", "Device_5"])
-    assert matrix.columns == ["event", "Device_1", "Device_5"]
-    cells = {r["event"]: (r["Device_1"], r["Device_5"]) for r in matrix.collect()}
-    assert cells["ADC_Read"] == (2.0, 2.0)
-    assert cells["UART_Send"] == (8.0, None)
+    assert got["west"] == (5, pytest.approx((42 + 300 + 27 + 9) / 4))
+    assert got["well"] == (6, pytest.approx((61 + 14.5 + 22 + 9.5) / 4))
+    chosen = spark.createDataFrame([("tank",), ("nowhere",)], "device_id string")
+    for devices in (["tank", "nowhere"], chosen):
+        assert rows_of(device_summary(stats, devices), "device_id") == [("tank",)]
+        assert device_comparison(stats, devices).count() == 5
+    matrix = device_matrix(stats, ["west", "well"])
+    assert matrix.columns == ["event", "west", "well"]
+    cells = {r["event"]: (r["west"], r["well"]) for r in matrix.collect()}
+    assert cells["Fill"] == pytest.approx((0.042, 0.061))
+    assert cells["Sample"] == (None, pytest.approx(0.0145))
 
 
 def test_hot_keys_and_ranks(spark):

@@ -71,19 +71,16 @@ def test_sync_against_all_pairs(spark, rows_per_group):
 
 
 def test_fleet_sync(spark):
-    ranked = ranked_starts(log_of(spark, fleet_rows(3)))
+    ranked = ranked_starts(log_of(spark, fleet_rows()))
     got = {r["message_id"]: r for r in sync_stats(ranked).collect()}
-    for message, largest, smallest, mean, deviation in (
-        ("SYNC_1", 200, 50, 100, 50),
-        ("SYNC_2", 400, 100, 200, 100),
-        ("SYNC_3", 300, 75, 150, 75),
-    ):
+    # noon: starts 0, 4 and 33 after the first; dusk: 0 and 70
+    for message, diffs in (("SYNC_noon", (4, 33, 29)), ("SYNC_dusk", (70,))):
         row = got[message]
-        assert (row["max_diff_ns"], row["min_diff_ns"]) == (largest, smallest)
-        assert (row["mean_diff_ns"], row["std_diff_ns"]) == pytest.approx((mean, deviation))
-    assert sync_pairs(ranked).count() == 30
+        assert (row["max_diff_ns"], row["min_diff_ns"]) == (max(diffs), min(diffs))
+        assert (row["mean_diff_ns"], row["std_diff_ns"]) == pytest.approx((np.mean(diffs), np.std(diffs)))
+    assert sync_pairs(ranked).count() == 4
     assert sync_summary(ranked).first().asDict() == {
-        "sync_pulses": 3, "devices": 5, "max_diff_ns": 400, "mean_diff_ns": 150.0
+        "sync_pulses": 2, "devices": 4, "max_diff_ns": 70, "mean_diff_ns": pytest.approx((4 + 33 + 29 + 70) / 4)
     }
 
 
@@ -92,32 +89,27 @@ def test_fleet_propagation(spark, rows_per_group):
     found = propagation(log_of(spark, fleet_rows()), rows_per_group=rows_per_group).cache()
     got = rows_of(found, "message_id", "from_device", "to_device", "time_ns", "hops")
     want = [
-        ("MSG_12345", "Device_1", "Device_2", 10000, 1),
-        ("MSG_12345", "Device_1", "Device_3", 12500, 2),
-        ("MSG_12345", "Device_1", "Device_4", 15000, 3),
-        ("MSG_12345", "Device_1", "Device_5", 17500, 4),
-        ("MSG_23456", "Device_2", "Device_3", 10000, 1),
-        ("MSG_23456", "Device_2", "Device_4", 12500, 2),
-        ("MSG_23456", "Device_2", "Device_5", 15000, 3),
-        ("MSG_34567", "Device_3", "Device_1", 16500, 2),
-        ("MSG_34567", "Device_3", "Device_2", 14000, 1),
-        ("MSG_34567", "Device_3", "Device_4", 10000, 1),
-        ("MSG_34567", "Device_3", "Device_5", 12500, 2),
+        ("level", "tank", "east", 720, 6),
+        ("level", "tank", "west", 550, 5),
+        ("open-valve", "west", "east", 140, 1),
+        ("open-valve", "west", "tank", 410, 5),
+        ("open-valve", "west", "well", 230, 2),
     ]
     assert got == want
     assert rows_of(message_stats(found), "message_id", "source_device", "destination_count") == [
-        ("MSG_12345", "Device_1", 4), ("MSG_23456", "Device_2", 3), ("MSG_34567", "Device_3", 4)
+        ("level", "tank", 2), ("open-valve", "west", 3)
     ]
     cost = hop_cost(found).first()
-    assert (cost["n_propagations"], cost["n_messages"], cost["total_hops"]) == (11, 3, 22)
-    assert cost["time_per_hop_ns"] == pytest.approx(145500 / 22)
+    assert (cost["n_propagations"], cost["n_messages"], cost["total_hops"]) == (5, 2, 19)
+    assert cost["time_per_hop_ns"] == pytest.approx(2050 / 19)
     trend = {r["from_device"]: r for r in hop_trend(found).collect()}
-    for device, intercept, r2, n in (("Device_1", 7500, 1, 4), ("Device_2", 7500, 1, 3), ("Device_3", 9500, 0.2808988764, 4)):
-        row = trend[device]
-        assert (row["slope_ns"], row["intercept_ns"], row["r2"]) == pytest.approx((2500, intercept, r2))
-        assert row["n"] == n
+    for device in ("tank", "west"):
+        row, hops, times = trend[device], *zip(*((h, t) for _, d, _, t, h in want if d == device))
+        slope, intercept = np.polyfit(hops, times, 1)
+        assert (row["slope_ns"], row["intercept_ns"]) == pytest.approx((slope, intercept))
+        assert (row["r2"], row["n"]) == (pytest.approx(np.corrcoef(hops, times)[0, 1] ** 2), len(hops))
     means = {(r["from_device"], r["to_device"]): (r["mean_time_ns"], r["mean_hops"]) for r in pair_means(found).collect()}
-    assert means["Device_3", "Device_1"] == (16500.0, 2.0)
+    assert means["west", "well"] == (230.0, 2.0)
 
 
 @pytest.mark.parametrize("rows_per_group", [None, 2])

@@ -52,16 +52,13 @@ def test_builders(spark, mode):
 def test_fleet_topologies(spark):
     devices = device_table(log_of(spark, fleet_rows()))
     counts = {mode: build_topology(devices, mode).count() for mode in ("daisy", "star", "ring", "mesh")}
-    assert counts == {"daisy": 4, "star": 4, "ring": 5, "mesh": 10}
-    assert topology_size(devices, build_topology(devices, "ring")).first().asDict() == {"nodes": 5, "edges": 5}
+    assert counts == {"daisy": 3, "star": 3, "ring": 4, "mesh": 6}
+    assert topology_size(devices, build_topology(devices, "ring")).first().asDict() == {"nodes": 4, "edges": 4}
 
 
 def test_device_table(spark):
-    got = rows_of(device_table(log_of(spark, fleet_rows(3))), "device_id", "position", "first_ord", "rising_edges")
-    assert got == [
-        ("Device_1", 1.0, 0, 9), ("Device_2", 2.0, 2, 10), ("Device_3", 3.0, 4, 10),
-        ("Device_4", 4.0, 6, 10), ("Device_5", 5.0, 8, 10),
-    ]
+    got = rows_of(device_table(log_of(spark, fleet_rows())), "device_id", "position", "first_ord", "rising_edges")
+    assert got == [("east", 1.0, 4, 5), ("tank", 7.0, 2, 5), ("well", 4.0, 6, 6), ("west", 2.0, 0, 5)]
 
 
 def test_device_table_rules(spark):
@@ -99,10 +96,36 @@ def test_connections(spark):
     custom = build_topology(devices_of(spark, 1), "custom", connections=added)
     assert rows_of(custom) == [("a", "b"), ("b", "c"), ("c", "d")]
     assert rows_of(remove_last_connection(added), "edge_ord") == [(1,), (2,), (3,)]
+    # a missing end is no edge and no node
+    holes = spark.createDataFrame([("a", None, 1), (None, "b", 2), (None, None, 3), ("b", "a", 4)], pairs)
+    assert rows_of(simple_edges(holes)) == [("a", "b")]
+    assert rows_of(topology_nodes(devices_of(spark, 0), holes.toDF("src", "dst", "edge_ord"))) == [("a",), ("b",)]
     none = start.where("false")
     assert remove_last_connection(none).count() == 0
     assert rows_of(add_connections(none, new), "edge_ord") == [(1,), (2,), (3,)]
-    assert rows_of(connection_list(custom), "edge_ord", "source") == [(1, "a"), (2, "b"), (3, "c")]
+
+
+@pytest.mark.parametrize("rows_per_group", [None, 2])
+def test_connection_lists_go_by_place(spark, rows_per_group):
+    rows = [("z", 1.0, 5), ("m", 2.0, 0), ("a", 3.0, 1), ("k", 4.0, 2)]  # names sort against positions
+    devices = spark.createDataFrame(rows, DEVICES)
+
+    def listed(mode, order="position", some=devices):
+        got = connection_list(some, mode, order, rows_per_group)
+        return [r[1:] for r in rows_of(got, "edge_ord", "source", "target")]
+
+    assert listed("daisy") == [("z", "m"), ("m", "a"), ("a", "k")]
+    assert listed("star", "appearance") == [("m", "a"), ("m", "k"), ("m", "z")]
+    assert listed("ring") == [("z", "m"), ("z", "k"), ("m", "a"), ("a", "k")]
+    assert listed("mesh") == [("z", "m"), ("z", "a"), ("z", "k"), ("m", "a"), ("m", "k"), ("a", "k")]
+    assert listed("ring", some=devices.where("position < 3")) == [("z", "m")]
+    chain = connection_list(devices, "daisy")
+    assert rows_of(remove_last_connection(chain), "source", "target") == [("m", "a"), ("z", "m")]
+    ring = connection_list(devices, "ring")
+    assert ("a", "k") not in rows_of(remove_last_connection(ring), "source", "target")
+    new = spark.createDataFrame([("z", "m", 1), ("m", "z", 2)], "source string, target string, edge_ord long")
+    # the same direction is there already; the reverse one is new
+    assert rows_of(add_connections(chain, new), "edge_ord", "source", "target")[3:] == [(4, "m", "z")]
 
 
 def test_degree(spark):

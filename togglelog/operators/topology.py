@@ -47,6 +47,8 @@ def device_count(log: DataFrame) -> DataFrame:
 
 
 def _undirected(pairs: DataFrame) -> DataFrame:
+    """Edges without direction; a pair with a missing end is none."""
+    pairs = pairs.where("source IS NOT NULL AND target IS NOT NULL")
     low, high = F.least("source", "target"), F.greatest("source", "target")
     return pairs.select(low.alias("src"), high.alias("dst"))
 
@@ -69,6 +71,13 @@ def build_topology(
         if connections is None:
             raise ValueError("a custom topology needs connections")
         return simple_edges(connections)
+    pairs = _placed_pairs(devices, mode, order_by, rows_per_group)
+    # only a ring of two devices names an edge twice
+    return simple_edges(pairs) if mode == "ring" else _undirected(pairs)
+
+
+def _placed_pairs(devices: DataFrame, mode: str, order_by: str, rows_per_group: int | None) -> DataFrame:
+    """Pairs (source, source_place, target, target_place) of a topology over the ordered devices."""
     if mode not in TOPOLOGIES:
         raise ValueError(f"unknown topology {mode!r}")
 
@@ -76,8 +85,12 @@ def build_topology(
     ordered = ordered.select("device_id", "place")
     if mode == "star":
         centre = ordered.where("place = 1").select("device_id").scalar()
-        others = ordered.where("place > 1").select(F.col("device_id").alias("target"))
-        return _undirected(others.withColumn("source", centre))
+        return ordered.where("place > 1").select(
+            centre.alias("source"),
+            F.lit(1).cast("long").alias("source_place"),
+            F.col("device_id").alias("target"),
+            F.col("place").cast("long").alias("target_place"),
+        )
 
     place, total = F.col("place"), F.col("_total")
     counted = ordered.withColumn("_total", devices.agg(F.count("*")).scalar())
@@ -94,17 +107,30 @@ def build_topology(
             steps > 0,
             F.transform(F.sequence(F.lit(1).cast("long"), steps), lambda s: (place - 1 + s) % total + 1),
         )
-    left = counted.select(F.col("device_id").alias("source"), F.explode(meets).alias("place"))
-    right = ordered.select(F.col("device_id").alias("target"), "place")
-    joined = left.join(right, "place")
-    # only a ring of two devices names an edge twice
-    return simple_edges(joined) if mode == "ring" else _undirected(joined)
+    left = counted.select(
+        F.col("device_id").alias("source"), F.col("place").alias("source_place"), F.explode(meets).alias("target_place")
+    )
+    right = ordered.select(F.col("device_id").alias("target"), F.col("place").alias("target_place"))
+    return left.join(right, "target_place").select("source", "source_place", "target", "target_place")
 
 
-def connection_list(edges: DataFrame, rows_per_group: int | None = ROWS_PER_GROUP) -> DataFrame:
-    """An editable connection list of a built topology, numbered from 1."""
-    ranked = rank_all(edges, ["src", "dst"], "edge_ord", rows_per_group)
-    return ranked.select(F.col("src").alias("source"), F.col("dst").alias("target"), "edge_ord")
+def connection_list(
+    devices: DataFrame, mode: str, order_by: str = "position", rows_per_group: int | None = ROWS_PER_GROUP
+) -> DataFrame:
+    """The editable connection list (source, target, edge_ord) of a built topology, numbered from 1.
+
+    The device with the earlier place is the source. Connections go by the place of their source, then
+    by that of their target, so the one that closes a ring follows the first."""
+    pairs = _placed_pairs(devices, mode, order_by, rows_per_group)
+    swap = F.col("source_place") > F.col("target_place")
+    directed = pairs.select(
+        F.when(swap, F.col("target")).otherwise(F.col("source")).alias("source"),
+        F.when(swap, F.col("source")).otherwise(F.col("target")).alias("target"),
+        F.least("source_place", "target_place").alias("_first"),
+        F.greatest("source_place", "target_place").alias("_second"),
+    ).distinct()
+    ranked = rank_all(directed, ["_first", "_second"], "edge_ord", rows_per_group)
+    return ranked.select("source", "target", "edge_ord")
 
 
 def add_connections(
@@ -137,13 +163,14 @@ def topology_nodes(devices: DataFrame, edges: DataFrame) -> DataFrame:
         devices.select("device_id")
         .union(edges.select("src"))
         .union(edges.select("dst"))
+        .where("device_id IS NOT NULL")
         .distinct()
     )
 
 
 def node_degree(devices: DataFrame, edges: DataFrame) -> DataFrame:
     """Degree and connectivity tier of every node. An edge from a node to itself counts twice."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("device_id"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("device_id")).where("device_id IS NOT NULL")
     marks = devices.select("device_id", F.lit(0).alias("_end")).unionByName(
         ends.withColumn("_end", F.lit(1))
     )

@@ -133,7 +133,7 @@ DAISY = _edges("y.p = x.p + 1")
 DAISY_APPEARANCE = _edges("y.a = x.a + 1")
 STAR = _edges("x.a = 1 AND y.a > 1")
 
-LINKS = "SELECT DISTINCT least(from_device, to_device) AS src, greatest(from_device, to_device) AS dst FROM pr"
+LINKS = "SELECT DISTINCT least(from_device, to_device) AS src, greatest(from_device, to_device) AS dst FROM pr WHERE from_device IS NOT NULL AND to_device IS NOT NULL"
 
 LOG_LINES = f"""{TIMING_EVENTS},
 ln AS (SELECT * FROM te WHERE NOT (ord % 29 = 6 OR ord % 31 = 7 OR ord % 37 = 8))"""
@@ -234,11 +234,12 @@ SELECT from_device, round(regr_slope(time_ns, hops), -6) AS slope_ns,
     "q_topo_mesh": f"WITH {DEVICES} {_edges('x.a < y.a')}",
     "q_topo_custom": f"WITH {PROPAGATION} {LINKS}",
     "q_topo_edit": f"""WITH {DEVICES},
-chain AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS n FROM ({DAISY})),
-star AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS n FROM ({STAR})
-         WHERE (src, dst) NOT IN (SELECT (src, dst) FROM chain)),
-edited AS (SELECT * FROM chain UNION ALL SELECT src, dst, n + (SELECT max(n) FROM chain) FROM star)
-SELECT src AS source, dst AS target, n AS edge_ord FROM edited WHERE n < (SELECT max(n) FROM edited)""",
+chain AS (SELECT x.device_id AS source, y.device_id AS target, x.p AS n FROM pl x JOIN pl y ON y.p = x.p + 1),
+star AS (SELECT source, target, row_number() OVER (ORDER BY a) AS n
+         FROM (SELECT x.device_id AS source, y.device_id AS target, y.a FROM pl x JOIN pl y ON x.a = 1 AND y.a > 1)
+         WHERE (source, target) NOT IN (SELECT (source, target) FROM chain)),
+edited AS (SELECT * FROM chain UNION ALL SELECT source, target, n + (SELECT max(n) FROM chain) FROM star)
+SELECT source, target, n AS edge_ord FROM edited WHERE n < (SELECT max(n) FROM edited)""",
     "q_node_degree": f"""WITH {DEVICES},
 e AS ({DAISY} UNION {STAR}),
 dg AS (

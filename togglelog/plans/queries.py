@@ -183,8 +183,8 @@ def topo_custom(spark, sf_dir):
 def topo_edit(spark, sf_dir):
     """The daisy chain as a connection list, with the star's connections added and the last removed."""
     devices = small_table(_devices(spark, sf_dir))
-    chain = op.connection_list(op.build_topology(devices, "daisy"))
-    star = op.connection_list(op.build_topology(devices, "star", "appearance"))
+    chain = op.connection_list(devices, "daisy")
+    star = op.connection_list(devices, "star", "appearance")
     return op.remove_last_connection(op.add_connections(chain, star))
 
 
