@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ def feistel_slots(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def sequence_writer(tokenizer_path: str, end_id: int, pad_id: int, length: int) -> Callable:
-    names = ["part", "number", "ids", "n_tokens", "first_doc", "n_docs"]
+    names = ["part", "number", "ids", "n_tokens", "first_doc", "n_docs", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, width = TokenCache(tokenizer_path), 2 * length
@@ -55,7 +56,8 @@ def sequence_writer(tokenizer_path: str, end_id: int, pad_id: int, length: int)
 
         def rows(found: list) -> pa.RecordBatch:
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32())
-            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*found), kinds)], names)
+            columns = [pa.array(x, t) for x, t in zip(zip(*found), kinds)]
+            return pa.record_batch([*columns, pa.array([crc32(x[2]) for x in found], pa.int64())], names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -98,7 +100,7 @@ def materialise(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part")
     ).mapInArrow(
         sequence_writer(tokenizer_path, end_id, pad_id, length),
-        "part int, number long, ids binary, n_tokens int, first_doc long, n_docs int",
+        "part int, number long, ids binary, n_tokens int, first_doc long, n_docs int, ids_crc32 long",
     )
     numbered = written(numbered, "sequences")
     counts = numbered.groupBy("part").count().orderBy("part").toPandas()  # one row for each task
@@ -107,7 +109,8 @@ def materialise(
     before = docs.sparkSession.createDataFrame(
         [(int(p), int(n)) for p, n in zip(counts["part"], first)], "part int, before long"
     )
-    ordered = numbered.join(before, "part").withColumn("slot", slot_of(F.col("before") + F.col("number"), total, key))
+    # one row for each task that read texts, which the driver has at hand
+    ordered = numbered.join(F.broadcast(before), "part").withColumn("slot", slot_of(F.col("before") + F.col("number"), total, key))
     ordered = ordered.withColumn("shard", F.floor(F.col("slot") / shard_records))
     partitions = max(1, -(-total // shard_records))
     shards = ordered.repartitionByRange(partitions, "shard").sortWithinPartitions("shard", "slot")
@@ -120,7 +123,7 @@ def materialise(
         "n_tokens",
         "first_doc",
         "n_docs",
-        F.crc32("ids").alias("ids_crc32"),
+        "ids_crc32",
     )
 
 
