@@ -80,7 +80,7 @@ def test_fleet_sync(spark):
         assert (row["mean_diff_ns"], row["std_diff_ns"]) == pytest.approx((np.mean(diffs), np.std(diffs)))
     assert sync_pairs(ranked).count() == 4
     assert sync_summary(ranked).first().asDict() == {
-        "sync_pulses": 2, "devices": 4, "max_diff_ns": 70, "mean_diff_ns": pytest.approx((4 + 33 + 29 + 70) / 4)
+        "sync_pulses": 2, "devices": 4, "max_diff_ns": 70, "mean_diff_ns": pytest.approx(((4 + 33 + 29) / 3 + 70) / 2)
     }
 
 
