@@ -146,6 +146,8 @@ def test_device_reports(spark, fleet):
     cells = {r["event"]: (r["west"], r["well"]) for r in matrix.collect()}
     assert cells["Fill"] == pytest.approx((0.042, 0.061))
     assert cells["Sample"] == (None, pytest.approx(0.0145))
+    whole = device_matrix(stats)
+    assert set(whole.columns) - {"event"} == set(got)
 
 
 def test_hot_keys_and_ranks(spark):

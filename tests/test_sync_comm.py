@@ -6,6 +6,7 @@ import pytest
 from fleet import fleet_rows, log_of, rows_of
 
 from togglelog.operators import (
+    has_numeric_messages,
     hop_cost,
     hop_trend,
     message_stats,
@@ -84,9 +85,8 @@ def test_fleet_sync(spark):
     }
 
 
-@pytest.mark.parametrize("rows_per_group", [None, 3])
-def test_fleet_propagation(spark, rows_per_group):
-    found = propagation(log_of(spark, fleet_rows()), rows_per_group=rows_per_group).cache()
+def test_fleet_propagation(spark):
+    found = propagation(log_of(spark, fleet_rows())).cache()
     got = rows_of(found, "message_id", "from_device", "to_device", "time_ns", "hops")
     want = [
         ("level", "tank", "east", 720, 6),
@@ -112,8 +112,7 @@ def test_fleet_propagation(spark, rows_per_group):
     assert means["west", "well"] == (230.0, 2.0)
 
 
-@pytest.mark.parametrize("rows_per_group", [None, 2])
-def test_propagation_rules(spark, rows_per_group):
+def test_propagation_rules(spark):
     send, receive = "UART_Send", "UART_Receive"
     log = log_of(
         spark,
@@ -130,10 +129,10 @@ def test_propagation_rules(spark, rows_per_group):
             (send, 60, True, "C", 1.0, "m3"),  # never received
             (send, 1, True, "A", None, "m4"),
             (receive, 8, True, "C", 4.0, "m4"),  # unknown hops
-            *[(event, 5, True, d, 1.0, m) for m in ("", "0", "0.0", None, "SYNC_1") for event, d in ((send, "A"), (receive, "C"))],
+            *[(event, 5, True, d, 1.0, m) for m in ("", None, "SYNC_1") for event, d in ((send, "A"), (receive, "C"))],
         ],
     )
-    found = propagation(log, rows_per_group=rows_per_group)
+    found = propagation(log)
     assert rows_of(found, "message_id", "to_device", "time_ns", "hops", "time_per_hop_ns") == [
         ("m1", "C", 40, 3.0, 40 / 3),
         ("m1", "D", -10, 0.0, 0.0),
@@ -143,6 +142,26 @@ def test_propagation_rules(spark, rows_per_group):
     assert hop_cost(propagation(log.drop("message_id"))).first()["time_per_hop_ns"] == 0.0
 
 
+def test_zero_is_an_id_among_texts_only(spark):
+    def log(*messages):
+        ends = (("UART_Send", "A"), ("UART_Receive", "C"), ("UART_Send", None), ("UART_Receive", None))
+        return log_of(spark, [(event, 5, True, d, 1.0, m) for m in messages for event, d in ends])
+
+    texts, numbers = log("0", "0.0", "x", "", None), log("0", "0.0", "7", "", None)
+    assert not has_numeric_messages(texts) and has_numeric_messages(numbers)
+    assert not has_numeric_messages(log("", None))
+    assert rows_of(propagation(texts), "message_id", "to_device") == [("0", "C"), ("0.0", "C"), ("x", "C")]
+    assert rows_of(propagation(numbers, numeric_messages=True), "message_id") == [("7",)]
+    # a sender may be unknown, a receiver may not
+    unknown = log_of(spark, [("UART_Send", 5, True, None, 1.0, "m"), ("UART_Receive", 6, True, "C", 1.0, "m")])
+    assert rows_of(propagation(unknown), "from_device", "to_device") == [(None, "C")]
+
+
+def test_propagation_is_one_pass(spark):
+    plan = propagation(log_of(spark, fleet_rows()))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_hop_sums_leave_the_long_range(spark):
     big = 2**62
     rows = []

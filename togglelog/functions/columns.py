@@ -9,7 +9,6 @@ SYNC_EVENT = "Sync_Pulse"
 SEND_EVENT = "UART_Send"
 RECEIVE_EVENT = "UART_Receive"
 SYNC_PREFIX = "SYNC_"
-UNUSABLE_MESSAGES = ("", "0", "0.0")
 
 
 def is_sync_message(message: str | Column = "message_id") -> Column:
@@ -18,10 +17,12 @@ def is_sync_message(message: str | Column = "message_id") -> Column:
     return message.startswith(SYNC_PREFIX)
 
 
-def is_usable_message(message: str | Column = "message_id") -> Column:
-    """A message id that is present and not empty or zero."""
+def is_usable_message(message: str | Column = "message_id", numeric: bool = False) -> Column:
+    """A message id that is present and not empty. In a column of numbers (`numeric`) zero is no id
+    either; among text ids '0' is one like any other."""
     message = F.col(message) if isinstance(message, str) else message
-    return message.isNotNull() & ~message.isin(*UNUSABLE_MESSAGES)
+    usable = message.isNotNull() & (message != "")
+    return usable & F.coalesce(message.try_cast("double") != 0, F.lit(True)) if numeric else usable
 
 
 def to_us(nanoseconds: str | Column) -> Column:

@@ -1,6 +1,7 @@
 from togglelog.operators.comm import (
     first_receives,
     first_sends,
+    has_numeric_messages,
     hop_cost,
     hop_trend,
     message_rows,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from togglelog.functions.columns import (
     RECEIVE_EVENT,
@@ -12,16 +12,27 @@ from togglelog.functions.columns import (
     is_usable_message,
     per_hop,
 )
-from togglelog.operators.skew import ROWS_PER_GROUP, find_hot_keys
 from togglelog.schema import normalise
 
 
-def message_rows(log: DataFrame, send: str = SEND_EVENT, receive: str = RECEIVE_EVENT) -> DataFrame:
-    """Rising edges of the two message events, with a usable message id that is no sync pulse."""
+def has_numeric_messages(log: DataFrame) -> bool:
+    """Whether all message ids of a log are numbers. One job over the column; a log without ids has none."""
+    number = F.col("message_id").try_cast("double")
+    given = normalise(log).where("message_id IS NOT NULL AND message_id <> ''")
+    return bool(given.agg(F.bool_and(number.isNotNull()).alias("numeric")).first()["numeric"])
+
+
+def message_rows(
+    log: DataFrame, send: str = SEND_EVENT, receive: str = RECEIVE_EVENT, numeric_messages: bool = False
+) -> DataFrame:
+    """Rising edges of the two message events, with a usable message id that is no sync pulse.
+
+    `numeric_messages`: the ids are numbers (see `has_numeric_messages`), so that zero means none.
+    """
     return (
         normalise(log)
         .where(F.col("event").isin(send, receive) & F.col("toggled") & F.col("time_ns").isNotNull())
-        .where(is_usable_message() & ~is_sync_message())
+        .where(is_usable_message(numeric=numeric_messages) & ~is_sync_message())
         .select("event", "message_id", "device_id", "position", "time_ns", "ord")
     )
 
@@ -62,23 +73,33 @@ def propagation(
     log: DataFrame,
     send: str = SEND_EVENT,
     receive: str = RECEIVE_EVENT,
-    rows_per_group: int | None = ROWS_PER_GROUP,
+    numeric_messages: bool = False,
 ) -> DataFrame:
     """One row per message and device that received it, other than the sender.
 
-    The rows are shuffled once, by message: both first-row aggregates and their join run on that
-    partitioning. A message with very many rows takes another way: its receives stay spread by
-    (message, device), and its send, one row per such message, is broadcast.
+    The rows are read once and come down, before they are shuffled, to the first send and the first
+    receive of each message on each device. The send of a message is found among these: a message has
+    no more of them than there are devices, however many rows it has.
     """
-    rows = message_rows(log, send, receive)
-    hot_keys = find_hot_keys(rows, ["message_id"], rows_per_group)
-    cold = rows if hot_keys is None else rows.where(~hot_keys.matches())
-    by_message = cold.repartition("message_id")
-    joined = first_receives(by_message, receive).join(first_sends(by_message, send), "message_id")
-    if hot_keys is not None:
-        hot = rows.where(hot_keys.matches())
-        sends = F.broadcast(first_sends(hot, send))  # at most MAX_HOT_KEYS rows
-        joined = joined.unionByName(first_receives(hot, receive).join(sends, "message_id"))
+    rows = message_rows(log, send, receive, numeric_messages)
+    event = F.col("event")
+    ends = rows.groupBy("message_id", "device_id").agg(
+        F.min(F.when(event == send, F.struct("ord", "time_ns", "device_id", "position"))).alias("_own"),
+        F.min(F.when(event == receive, F.struct("ord", "time_ns", "position"))).alias("_r"),
+    )
+    joined = (
+        ends.withColumn("_s", F.min("_own").over(Window.partitionBy("message_id")))
+        .where("_s IS NOT NULL AND _r IS NOT NULL AND device_id IS NOT NULL")
+        .select(
+            "message_id",
+            F.col("_s.device_id").alias("from_device"),
+            F.col("device_id").alias("to_device"),
+            F.col("_s.position").alias("from_position"),
+            F.col("_r.position").alias("to_position"),
+            F.col("_s.time_ns").alias("send_ns"),
+            F.col("_r.time_ns").alias("receive_ns"),
+        )
+    )
 
     hops = F.abs(F.col("to_position") - F.col("from_position"))
     time = F.col("receive_ns") - F.col("send_ns")

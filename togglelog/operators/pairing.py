@@ -121,10 +121,20 @@ def _pair_plain(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _pair_matched(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The window shuffles and sorts the rows by group; the fold streams over them in that order."""
+    """The window shuffles and sorts the rows by group; the fold streams over them in that order.
+
+    A True after a True and a False after a False with the same message id change nothing, whatever
+    state they meet: they are dropped before the fold.
+    """
     window = Window.partitionBy(*keys).orderBy(*TIME_ORDER)
+    before = F.col("_before")
+    same = (before["toggled"] == F.col("toggled")) & (
+        F.col("toggled") | before["message_id"].eqNullSafe(F.col("message_id"))
+    )
     ordered = (
-        rows.withColumn("first", F.lag("toggled").over(window).isNull())
+        rows.withColumn("_before", F.lag(F.struct("toggled", "message_id")).over(window))
+        .where(before.isNull() | ~same)
+        .withColumn("first", before.isNull())
         .sortWithinPartitions(*keys, *TIME_ORDER)
         .select(*keys, "time_ns", "ord", "toggled", "message_id", "first")
     )

@@ -10,7 +10,6 @@ one summary row per chunk. Which groups are split changes the plan, never the re
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -70,16 +69,12 @@ def find_hot_keys(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; only a local session may fall back to its own."""
+    """Use the shared folder the session names, or a folder in its warehouse, which is shared as well."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="togglelog-checkpoint-")
-    context.setCheckpointDir(folder)
+    context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

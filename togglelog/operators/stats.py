@@ -92,9 +92,10 @@ def trends(
 
 def histogram(executions: DataFrame, bins: int = 30) -> DataFrame:
     """Durations per event in equal bins over the range of all durations; the last bin is closed."""
-    ends = F.struct(F.min("duration_ns").alias("low"), F.max("duration_ns").alias("high"))
-    # one scalar subquery for both ends of the range
-    ranged = executions.select("event", "duration_ns", executions.agg(ends).scalar().alias("_range"))
+    counts = executions.groupBy("event", "duration_ns").agg(F.count("*").alias("_n"))
+    # The range is taken from the same counts, all their columns used, so that Spark works them out once.
+    ends = F.struct(F.min("duration_ns").alias("low"), F.max("duration_ns").alias("high"), F.sum("_n"))
+    ranged = counts.withColumn("_range", counts.agg(ends).scalar())
     low, width = F.col("_low"), F.col("_width")
     offset = (F.col("duration_ns") - low).cast("double")
     return (
@@ -102,7 +103,7 @@ def histogram(executions: DataFrame, bins: int = 30) -> DataFrame:
         .withColumn("_width", (F.col("_range.high") - low) / F.lit(float(bins)))
         .withColumn("bin", F.when(width > 0, F.least(F.floor(offset / width), F.lit(bins - 1))).otherwise(F.lit(0)))
         .groupBy("event", "bin", "_low", "_width")
-        .agg(F.count("*").alias("count"))
+        .agg(F.sum("_n").alias("count"))
         .select("event", "bin", (low + F.col("bin") * width).alias("bin_start_ns"), "count")
     )
 
@@ -206,16 +207,19 @@ def device_comparison(stats: DataFrame, devices: Sequence[str] | DataFrame | Non
 
 def device_matrix(
     stats: DataFrame,
-    columns: Sequence[str],
+    columns: Sequence[str] | None = None,
     across: str = "device_id",
 ) -> DataFrame:
     """The comparison as a matrix. `columns` are the chosen devices, or, with `across="event"`, the
-    chosen events; they are passed in, so no extra job has to look for them."""
+    chosen events; None takes all there are, which costs a job that looks for them (an error beyond
+    `spark.sql.pivotMaxValues`)."""
     if across not in ("device_id", "event"):
         raise ValueError("across must be 'device_id' or 'event'")
     down = "event" if across == "device_id" else "device_id"
-    cells = stats.where(F.col(across).isin(*columns))
-    return cells.groupBy(down).pivot(across, list(columns)).agg(F.first(to_us("mean_ns")))
+    mean = F.first(to_us("mean_ns"))
+    if columns is None:
+        return stats.where(F.col(across).isNotNull()).groupBy(down).pivot(across).agg(mean)
+    return stats.where(F.col(across).isin(*columns)).groupBy(down).pivot(across, list(columns)).agg(mean)
 
 
 def device_summary(stats: DataFrame, devices: Sequence[str] | DataFrame | None = None) -> DataFrame:

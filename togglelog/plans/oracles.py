@@ -203,7 +203,15 @@ FROM st GROUP BY device_id""",
     "q_device_summary": f"""WITH RECURSIVE {MATCHED}, {STATS}
 SELECT device_id, CAST(sum(count) AS BIGINT) AS total_executions, round(avg(mean_ns), -4) AS mean_of_means_ns
 FROM st GROUP BY device_id""",
+    "q_device_summary_chosen": f"""WITH RECURSIVE {MATCHED}, {STATS}
+SELECT device_id, CAST(sum(count) AS BIGINT) AS total_executions, round(avg(mean_ns), -4) AS mean_of_means_ns
+FROM st WHERE device_id IN (SELECT device_id FROM te WHERE event = 'error') GROUP BY device_id""",
     "q_sync_starts": f"WITH {STARTS} SELECT * FROM starts",
+    "q_ranked_starts": f"""WITH {STARTS}
+SELECT message_id, device_id, start_ns, row_number() OVER w AS rank,
+       count(*) OVER (PARTITION BY message_id) AS device_count, start_ns - first_value(start_ns) OVER w AS offset_ns,
+       start_ns - lag(start_ns) OVER w AS gap_ns
+FROM starts WINDOW w AS (PARTITION BY message_id ORDER BY start_ns, device_id)""",
     "q_sync_pairs": f"WITH {STARTS} SELECT * FROM prs",
     "q_sync_stats": f"""WITH {STARTS}
 SELECT message_id, device_count, max_diff_ns, min_diff_ns, round(mean_diff_ns, -4) AS mean_diff_ns,

@@ -15,9 +15,6 @@ from togglelog.operators.skew import ensure_checkpoint_dir
 from togglelog.plans import views
 from togglelog.sources import parse_lines
 
-# The event types of the `events` table.
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
-
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({name: F.round(name, n) for name, n in digits.items()})
@@ -100,14 +97,20 @@ def device_comparison(spark, sf_dir):
 
 
 def device_matrix(spark, sf_dir):
-    matrix = op.device_matrix(_stats(spark, sf_dir), EVENT_TYPES, across="event")
-    return rounded(matrix, **dict.fromkeys(EVENT_TYPES, 1))
+    matrix = op.device_matrix(_stats(spark, sf_dir), across="event")
+    return rounded(matrix, **dict.fromkeys(matrix.columns[1:], 1))
 
 
 def device_summary(spark, sf_dir):
     return rounded(op.device_summary(_stats(spark, sf_dir)), mean_of_means_ns=-4)
 
 
+def device_summary_chosen(spark, sf_dir):
+    """The summary of the devices that ever logged an error."""
+    chosen = views.timing_events(spark, sf_dir).where("event = 'error'").select("device_id").distinct()
+    return rounded(op.device_summary(_stats(spark, sf_dir), chosen), mean_of_means_ns=-4)
+
+
 def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.ranked_starts(views.sync_pulses(spark, sf_dir))
 
@@ -116,6 +119,11 @@ def sync_starts(spark, sf_dir):
     return op.sync_starts(views.sync_pulses(spark, sf_dir))
 
 
+def ranked_starts(spark, sf_dir):
+    """The linear form of the pairs: any two devices' difference is that of their offsets."""
+    return _starts(spark, sf_dir)
+
+
 def sync_pairs(spark, sf_dir):
     return op.sync_pairs(_starts(spark, sf_dir))
 
@@ -252,7 +260,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_device_comparison": device_comparison,
     "q_device_matrix": device_matrix,
     "q_device_summary": device_summary,
+    "q_device_summary_chosen": device_summary_chosen,
     "q_sync_starts": sync_starts,
+    "q_ranked_starts": ranked_starts,
     "q_sync_pairs": sync_pairs,
     "q_sync_stats": sync_stats,
     "q_sync_summary": sync_summary,
