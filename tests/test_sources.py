@@ -80,6 +80,25 @@ def test_folder_of_files_with_different_headers(spark, tmp_path):
     assert "Note" in log.rows.columns
 
 
+def test_many_layouts(spark, tmp_path):
+    """Each file has its own order, its own extra column with a quoted name, and one line too long."""
+    names = ["Event", "Time", "Toggled", "Device_ID", "Message_ID"]
+    cells = {"Event": "e", "Time": "7", "Toggled": "no", "Device_ID": "D", "Message_ID": "m"}
+    for i in range(12):
+        order = names[i % 5 :] + names[: i % 5]
+        line = ",".join(cells[n] for n in order)
+        (tmp_path / f"{i}.csv").write_text(f'{",".join(order)},"x,{i}"\n{line},v{i}\n{line}\n{line},v,more\n')
+    log = read_timing_log(spark, str(tmp_path))
+    want = ("e", 7, False, "D", "m")
+    assert rows_of(log.rows, "event", "time_ns", "toggled", "device_id", "message_id") == [want] * 24
+    for i in range(12):
+        assert rows_of(log.rows.where(f"`x,{i}` IS NOT NULL"), f"`x,{i}`") == [(f"v{i}",)]
+    assert rows_of(log.quarantine, "reason") == [("extra_fields",)] * 12
+    (tmp_path / "headless.csv").write_text("e,1,True\n")
+    with pytest.raises(ValueError, match="Missing required columns: Event, Time, Toggled"):
+        read_timing_log(spark, str(tmp_path))
+
+
 def test_refused_files(spark, tmp_path):
     path = tmp_path / "log.csv"
     path.write_text("# only\nEvent,When\ne,1\n")

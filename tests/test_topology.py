@@ -9,6 +9,7 @@ from togglelog.operators import (
     connection_list,
     device_count,
     device_table,
+    mesh_summary,
     node_degree,
     placed_edges,
     remove_last_connection,
@@ -56,6 +57,11 @@ def test_fleet_topologies(spark):
     assert topology_size(devices, build_topology(devices, "ring")).first().asDict() == {"nodes": 4, "edges": 4}
 
 
+def test_mesh_summary(spark):
+    sizes = [tuple(mesh_summary(devices_of(spark, n)).first()) for n in (0, 1, 2, 7)]
+    assert sizes == [(0, 0, 0), (1, 0, 0), (2, 1, 1), (7, 6, 21)]
+
+
 def test_device_table(spark):
     got = rows_of(device_table(log_of(spark, fleet_rows())), "device_id", "position", "first_ord", "rising_edges")
     assert got == [("east", 1.0, 4, 5), ("tank", 7.0, 2, 5), ("well", 4.0, 6, 6), ("west", 2.0, 0, 5)]

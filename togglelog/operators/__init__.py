@@ -37,6 +37,7 @@ from togglelog.operators.topology import (
     add_connections,
     build_topology,
     connection_list,
+    mesh_summary,
     device_count,
     device_table,
     node_degree,

@@ -167,6 +167,33 @@ def _arrow_readers():
     return values, texts
 
 
+def _walker(message: str = "message_id"):
+    """The state machine over one batch of rows sorted by group; `message` is the column that must agree."""
+    values, _ = _arrow_readers()
+
+    def walk(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[int], int]:
+        """Places of starts and their ends, of starts their group leaves open, and of the start that is
+        open at the end of the batch (-1: none)."""
+        codes = batch.column(message).dictionary_encode().indices.fill_null(-1)
+        steps = zip(values(batch.column("first")), values(batch.column("toggled")), values(codes))
+        starts, ends, left = [], [], []
+        start, opened = -1, None
+        for i, (first, toggled, code) in enumerate(steps):
+            if first and start >= 0:
+                left.append(start)
+                start = -1
+            if toggled:
+                if start < 0:
+                    start, opened = i, code
+            elif start >= 0 and code == opened:
+                starts.append(start)
+                ends.append(i)
+                start = -1
+        return starts, ends, left, start
+
+    return walk
+
+
 def _fold(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Message-matched pairing of rows sorted by group; `first` marks where a group begins.
 
@@ -174,7 +201,7 @@ def _fold(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     is open at the end of a batch is put in front of the next one.
     """
     keys = list(keys)
-    values, _ = _arrow_readers()
+    walk = _walker()
 
     def paired(batch: pa.RecordBatch, starts: list[int], ends: list[int], left: list[int]) -> pa.RecordBatch:
         opening = pa.array(starts + left, pa.int64())
@@ -192,21 +219,7 @@ def _fold(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         for batch in batches:
             if held is not None:
                 batch = pa.concat_batches([held, batch])
-            message_codes = batch.column("message_id").dictionary_encode().indices.fill_null(-1)
-            steps = zip(values(batch.column("first")), values(batch.column("toggled")), values(message_codes))
-            starts, ends, left = [], [], []
-            start, message = -1, None
-            for i, (first, toggled, code) in enumerate(steps):
-                if first and start >= 0:
-                    left.append(start)
-                    start = -1
-                if toggled:
-                    if start < 0:
-                        start, message = i, code
-                elif start >= 0 and code == message:
-                    starts.append(start)
-                    ends.append(i)
-                    start = -1
+            starts, ends, left, start = walk(batch)
             if starts or left:
                 yield paired(batch, starts, ends, left)
             held = batch.slice(start, 1) if start >= 0 else None
@@ -216,6 +229,45 @@ def _fold(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.mapInArrow(pair, _paired_schema(rows, keys))
 
 
+def fold_roles(rows: DataFrame, keys: Sequence[str], match_message: bool) -> DataFrame:
+    """Usable rows with their role in pairing, for groups that fit a task: one shuffle, one fold.
+
+    The row of a start that is open at the end of a batch waits for its role."""
+    columns = [*keys, "time_ns", "ord", "toggled", "message_id"]
+    window = Window.partitionBy(*keys).orderBy(*TIME_ORDER)
+    matched = F.col("message_id") if match_message else F.lit(None)
+    ordered = (
+        rows.withColumn("first", F.lag("toggled").over(window).isNull())
+        .withColumn("matched", matched.cast("string"))
+        .sortWithinPartitions(*keys, *TIME_ORDER)
+        .select(*columns, "first", "matched")
+    )
+    walk = _walker("matched")
+
+    def labelled(batch: pa.RecordBatch, roles: list[str | None]) -> pa.RecordBatch:
+        out = [batch.column(c) for c in columns] + [pa.array(roles, pa.string())]
+        found = pa.RecordBatch.from_arrays(out, names=[*columns, "role"])
+        return found.filter(found.column("role").is_valid())
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            starts, ends, left, start = walk(batch)
+            roles: list[str | None] = ["ignored"] * batch.num_rows
+            for places, role in ((starts, "start"), (ends, "end"), (left, "unclosed"), ([start] if start >= 0 else [], None)):
+                for place in places:
+                    roles[place] = role
+            yield labelled(batch, roles)
+            held = batch.slice(start, 1) if start >= 0 else None
+        if held is not None:
+            yield labelled(held, ["unclosed"])
+
+    fields = ", ".join(f"`{c}` {type_of(ordered, c)}" for c in columns)
+    return ordered.mapInArrow(label, f"{fields}, role string")
+
+
 # --- groups cut into chunks -------------------------------------------------------------------
 
 

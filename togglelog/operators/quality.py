@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from togglelog.operators.pairing import BY_DEVICE, BY_EVENT, pair_or_open, usable_rows
-from togglelog.operators.skew import ROWS_PER_GROUP, join_null_safe
+from togglelog.operators.pairing import BY_DEVICE, BY_EVENT, fold_roles, pair_or_open, usable_rows
+from togglelog.operators.skew import ROWS_PER_GROUP, find_hot_keys, join_null_safe
 from togglelog.schema import normalise
 
 
@@ -50,19 +50,26 @@ def label_rows(
 ) -> DataFrame:
     """What pairing did with each row: start, end, ignored, or unclosed (opened, never closed).
 
-    `ord` must be unique in a group. The roles are joined on (group, ord), which spreads even one
-    big group.
+    Rows of groups that are too big for one task are paired in chunks, and their roles joined on
+    (group, ord), which spreads even one big group; there `ord` must be unique in a group.
     """
     keys = list(BY_DEVICE if by_device else BY_EVENT)
-    paired = pair_or_open(log, by_device, match_message, rows_per_group)
+    match_message = by_device if match_message is None else match_message
+    rows = usable_rows(log, by_device)
+    hot_keys = find_hot_keys(rows, keys, rows_per_group)
+    if hot_keys is None:
+        return fold_roles(rows, keys, match_message)
+    cold = fold_roles(rows.where(~hot_keys.matches()), keys, match_message)
+    hot = rows.where(hot_keys.matches())
+    paired = pair_or_open(hot, by_device, match_message, rows_per_group)
     start = F.when(F.col("end_ord").isNull(), F.lit("unclosed")).otherwise(F.lit("start"))
     marks = F.array(
         F.struct(F.col("start_ord").alias("ord"), start.alias("role")),
         F.struct(F.col("end_ord").alias("ord"), F.lit("end").alias("role")),
     )
     roles = paired.select(*keys, F.inline(marks)).where("ord IS NOT NULL")
-    labelled = usable_rows(log, by_device).join(roles, [*keys, "ord"], "left")
-    return labelled.fillna("ignored", ["role"])
+    labelled = hot.join(roles, [*keys, "ord"], "left").fillna("ignored", ["role"])
+    return cold.unionByName(labelled)
 
 
 def groups_without_execution(

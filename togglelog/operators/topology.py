@@ -71,6 +71,11 @@ def build_topology(
         if connections is None:
             raise ValueError("a custom topology needs connections")
         return simple_edges(connections)
+    if mode == "star":
+        # only the centre's place matters: nothing is ranked
+        centre = devices.agg(F.min_by("device_id", F.struct(*ORDERS[order_by]))).scalar()
+        others = devices.where(F.col("device_id") != centre)
+        return _undirected(others.select(centre.alias("source"), F.col("device_id").alias("target")))
     pairs = _placed_pairs(devices, mode, order_by, rows_per_group)
     # only a ring of two devices names an edge twice
     return simple_edges(pairs) if mode == "ring" else _undirected(pairs)
@@ -114,6 +119,12 @@ def _placed_pairs(devices: DataFrame, mode: str, order_by: str, rows_per_group:
     return left.join(right, "target_place").select("source", "source_place", "target", "target_place")
 
 
+def mesh_summary(devices: DataFrame) -> DataFrame:
+    """Devices, degree of each, and edges of a full mesh, without listing its n(n-1)/2 edges."""
+    counted = devices.agg(F.count("*").alias("devices"))
+    return counted.select("devices", F.expr("greatest(devices - 1, 0L) AS degree"), F.expr("devices * (devices - 1) DIV 2 AS edges"))
+
+
 def connection_list(
     devices: DataFrame, mode: str, order_by: str = "position", rows_per_group: int | None = ROWS_PER_GROUP
 ) -> DataFrame:

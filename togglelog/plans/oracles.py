@@ -292,4 +292,21 @@ SELECT ord,
        || ',' || device_id || ',' || CAST(position AS VARCHAR) || ',' || coalesce(message_id, '') AS value,
        CASE WHEN ord % 17 = 3 THEN 'bad_time' ELSE 'bad_toggle' END AS reason
 FROM ln WHERE ord % 17 = 3 OR ord % 23 = 5""",
+    "q_parse_files": f"""WITH {LOG_LINES}
+SELECT ord, event, time_ns, toggled, device_id, position, message_id, CASE WHEN ord % 2 = 1 THEN 'n' || ord END AS "Note"
+FROM ln WHERE NOT (ord % 17 = 3 OR ord % 23 = 5)""",
+    "q_mesh_summary": f"""WITH {TIMING_EVENTS}, n AS (SELECT count(DISTINCT device_id) AS n FROM te)
+SELECT n AS devices, n - 1 AS degree, n * (n - 1) // 2 AS edges FROM n""",
+    "q_trends_basic": f"""WITH {BASIC}
+SELECT event, row_number() OVER (PARTITION BY event ORDER BY start_ns, end_ns, start_ord) - 1 AS instance,
+       start_ns, duration_ns FROM ex""",
+    "q_label_rows_basic": f"""WITH {BASIC},
+run_heads AS (
+  SELECT event, ord, lead(ord) OVER (PARTITION BY event ORDER BY time_ns, ord) AS next, toggled
+  FROM (SELECT event, ord, time_ns, toggled, lag(toggled) OVER (PARTITION BY event ORDER BY time_ns, ord) AS before FROM te)
+  WHERE before IS NULL OR before <> toggled)
+SELECT event, time_ns, ord, toggled,
+       CASE WHEN ord IN (SELECT start_ord FROM ex) THEN 'start' WHEN ord IN (SELECT end_ord FROM ex) THEN 'end'
+            WHEN ord IN (SELECT ord FROM run_heads WHERE toggled AND next IS NULL) THEN 'unclosed' ELSE 'ignored' END AS role
+FROM te""",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from togglelog import operators as op
 from togglelog.operators.skew import ensure_checkpoint_dir
 from togglelog.plans import views
-from togglelog.sources import parse_lines
+from togglelog.sources import parse_files, parse_lines
 
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
@@ -243,6 +243,26 @@ def quarantined_lines(spark, sf_dir):
     return parse_lines(views.log_lines(spark, sf_dir), views.LOG_HEADER).quarantine
 
 
+def parsed_files(spark, sf_dir):
+    """Lines of two files with different layouts."""
+    return parse_files(views.layout_lines(spark, sf_dir)).rows
+
+
+def mesh_summary(spark, sf_dir):
+    """The linear form of the mesh: its size by formula."""
+    return op.mesh_summary(_devices(spark, sf_dir))
+
+
+def trends_basic(spark, sf_dir):
+    log = views.timing_events(spark, sf_dir)
+    return op.trends(op.pair_executions(log, by_device=False), log=log).drop("device_id")
+
+
+def label_rows_basic(spark, sf_dir):
+    labelled = op.label_rows(views.timing_events(spark, sf_dir), by_device=False)
+    return labelled.select("event", "time_ns", "ord", "toggled", "role")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_executions": executions,
     "q_executions_msg": executions_msg,
@@ -290,4 +310,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_groups_without_execution": groups_without_execution,
     "q_parse_lines": parsed_lines,
     "q_quarantine": quarantined_lines,
+    "q_parse_files": parsed_files,
+    "q_mesh_summary": mesh_summary,
+    "q_trends_basic": trends_basic,
+    "q_label_rows_basic": label_rows_basic,
 }

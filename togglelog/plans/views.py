@@ -111,3 +111,16 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # `inline`, so that each line is put together once, as if it had been read from a file
     return rows.select(F.inline(F.array(F.struct(line.alias("value"), "ord"))))
+
+
+def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log_lines with headers, as if from two files: the lines of odd events are in one whose columns
+    are in another order, with a note besides; its header comes twice."""
+    lines = log_lines(spark, sf_dir).withColumn("file", F.when(F.col("ord") % 2 == 1, "odd").otherwise("even"))
+    cell = F.split("value", ",")
+    moved = F.concat_ws(",", cell[3], cell[0], F.concat(F.lit("n"), "ord"), cell[2], cell[1], cell[4], cell[5])
+    text = F.col("value").rlike(r"^\s*(//|#)") | (F.trim("value") == "")
+    lines = lines.withColumn("value", F.when((F.col("file") == "odd") & ~text, moved).otherwise(F.col("value")))
+    other = "Device_ID,Event,Note,Toggled,Time,Position,Message_ID"
+    headers = [(LOG_HEADER, -1, "even"), (other, -2, "odd"), (other, -1, "odd")]
+    return lines.unionByName(spark.createDataFrame(headers, "value string, ord long, file string"))

@@ -1,2 +1,2 @@
-from togglelog.sources.csv_log import TimingLog, parse_lines, read_first_log, read_timing_log
+from togglelog.sources.csv_log import TimingLog, parse_files, parse_lines, read_first_log, read_timing_log
 from togglelog.sources.sinks import export_topology, write_result

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from togglelog.operators.skew import ensure_checkpoint_dir
+
 # The log format.
 REQUIRED_COLUMNS = ("Event", "Time", "Toggled")
 MODEL_NAMES = {
@@ -24,7 +26,7 @@ MODEL_NAMES = {
     "Message_ID": "message_id",
 }
 COMMENT = r"^\s*(//|#)"
-# Texts that mean "no value" in a field.
+# Texts that mean "no value" in a field, the default null markers of a public library.
 NULL_TEXTS = (
     "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
@@ -55,31 +57,12 @@ def read_timing_log(spark: SparkSession, paths: str | Sequence[str], time_type:
     )
     if not lines.inputFiles():
         raise ValueError("Please give a CSV file")
-    kept = content_lines(lines)
-    if len(lines.inputFiles()) == 1:
-        first = kept.select("value").first()
-        headers = [first["value"]] if first else []
-    else:
-        by_file = kept.groupBy("file").agg(F.min_by("value", "ord").alias("header"))
-        # the distinct layouts of the log, not its files: a handful
-        headers = sorted(r["header"] for r in by_file.select("header").distinct().collect())
-    if not headers:
+    if len(lines.inputFiles()) > 1:
+        return parse_files(lines, time_type)
+    first = content_lines(lines).select("value").first()
+    if first is None:
         raise ValueError(f"Missing required columns: {', '.join(REQUIRED_COLUMNS)}")
-    if len(headers) == 1:
-        return parse_lines(kept, headers[0], time_type)
-    parts = [
-        parse_lines(
-            kept.join(by_file.where(F.col("header") == header).select("file"), "file", "left_semi"),
-            header,
-            time_type,
-        )
-        for header in headers
-    ]
-    rows, quarantine = parts[0].rows, parts[0].quarantine
-    for part in parts[1:]:
-        rows = rows.unionByName(part.rows, allowMissingColumns=True)
-        quarantine = quarantine.unionByName(part.quarantine)
-    return TimingLog(rows, quarantine, any(part.has_devices for part in parts))
+    return parse_lines(lines, first["value"], time_type)
 
 
 def read_first_log(spark: SparkSession, candidates: Sequence[str], time_type: str = "long") -> TimingLog:
@@ -111,6 +94,47 @@ def parse_lines(lines: DataFrame, header: str, time_type: str = "long") -> Timin
     # column that uses them.
     parsed = content_lines(lines).where(F.col("value") != header)
     parsed = parsed.select("value", "ord", F.inline(F.array(F.from_csv("value", fields))))
+    return _typed(parsed, names, time_type)
+
+
+def parse_files(lines: DataFrame, time_type: str = "long") -> TimingLog:
+    """Parse lines (value, ord, file) of files that may each have a layout of their own.
+
+    The first line of a file that is neither comment nor blank is its header. A file's lines are joined
+    with the places of its columns and read in one scan, whatever the number of layouts. A column that a
+    file lacks is NULL in its rows.
+    """
+    if time_type not in ("long", "double"):
+        raise ValueError("time_type must be 'long' or 'double'")
+    ensure_checkpoint_dir(lines.sparkSession)
+    kept = content_lines(lines)
+    # one row for each file, worked out once
+    headers = kept.groupBy("file").agg(F.min_by("value", "ord").alias("header")).checkpoint()
+    width = headers.agg(F.max(F.regexp_count("header", F.lit(",")))).first()[0]
+    if width is None:
+        raise ValueError(f"Missing required columns: {', '.join(REQUIRED_COLUMNS)}")
+    cells = [f"c{i}" for i in range(width + 2)]
+    fields = ", ".join(f"{c} STRING" for c in cells)
+    row = F.from_csv(F.regexp_replace("header", "^\ufeff+", ""), fields)
+    headers = headers.withColumn("names", F.array_compact(F.array(*(row[c] for c in cells))))
+    lacks = F.filter(F.array(*map(F.lit, REQUIRED_COLUMNS)), lambda n: ~F.array_contains("names", n))
+    bad = headers.select(lacks.alias("lacks")).where(F.size("lacks") > 0).first()
+    if bad is not None:
+        raise ValueError(f"Missing required columns: {', '.join(bad['lacks'])}")
+    # the columns of the result; every file is known to have a real header
+    names = sorted(r[0] for r in headers.select(F.explode("names")).distinct().collect())
+    places = F.struct(*((F.array_position("names", n) - 1).cast("int").alias(f"p{i}") for i, n in enumerate(names)))
+    headers = headers.select("file", "header", places.alias("places"), F.size("names").alias("extra"))
+    split = kept.join(headers, "file").where(F.col("value") != F.col("header"))
+    split = split.withColumn("row", F.from_csv("value", fields))
+    split = split.select("value", "ord", "places", "extra", F.array(*(F.col("row")[c] for c in cells)).alias("cells"))
+    picked = [F.get("cells", F.col("places")[f"p{i}"]).alias(n) for i, n in enumerate(names)]
+    parsed = F.struct(*picked, F.get("cells", F.col("extra")).alias(EXTRA))
+    return _typed(split.select("value", "ord", F.inline(F.array(parsed))), names, time_type)
+
+
+def _typed(parsed: DataFrame, names: Sequence[str], time_type: str) -> TimingLog:
+    """Rows and quarantine of split lines: value, ord, a text column for each name, and EXTRA."""
     model = {MODEL_NAMES[n]: _read(n, time_type) for n in MODEL_NAMES if n in names}
     for name, kind in (("device_id", "string"), ("position", "double"), ("message_id", "string")):
         model.setdefault(name, F.lit(None).cast(kind))
