@@ -141,9 +141,13 @@ def test_fold_crosses_arrow_batches(spark):
     try:
         got = rows_of(pair_or_open(log, rows_per_group=None), *COLUMNS)
         split = rows_of(pair_or_open(log, rows_per_group=50), *COLUMNS)
+        labels = rows_of(label_rows(log, rows_per_group=None), "role")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert got == split == pair_by_hand(rows, True)
+    closed = sum(r[-1] is not None for r in got)
+    assert (labels.count(("start",)), labels.count(("end",))) == (closed, closed)
+    assert labels.count(("unclosed",)) == len(got) - closed
 
 
 @pytest.mark.parametrize("rows_per_group", [None, 80])
