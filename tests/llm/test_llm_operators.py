@@ -1,5 +1,7 @@
 """The training-data operators against brute force, on small tables with odd rows."""
 
+import hashlib
+import math
 import random
 from collections import Counter
 
@@ -247,6 +249,31 @@ def test_mixing(spark, docs):
     assert found.count() == docs.count() and mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mixing_oversized(spark):
+    """Documents behind some longer than `near` at the cut get their turn."""
+    def key(doc):
+        digest = int(hashlib.md5(f"mix:{doc}".encode()).hexdigest()[:13], 16)
+        return -math.log((digest + 0.5) / (1 << 52))
+
+    order = sorted(range(400), key=key)
+    # for a budget of 10,000: one too long for it, two too long for what is left when they come, and small ones
+    sizes = [20_000, 10, 9_995, 20, 9_975, 30] + [50] * 394
+    rows = [(doc, " ".join(["w"] * n), "s") for doc, n in zip(order, sizes)]
+    rows.append((order[10], *rows[10][1:]))
+    some = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    share = 10_000.5 / (sum(sizes) + 50)
+    for cells in (1, 64, 65_536):
+        got = mixing.mix(some, quality=F.lit(1.0), share=share, near=1000, cells=cells).collect()
+        assert len(got) == 401
+        copies = {r["doc_id"]: r["copies"] for r in got}
+        left, want = 10_000.5, {}
+        for i, (doc, n) in enumerate(zip(order, sizes)):
+            unit = 2 * n if i == 10 else n
+            want[doc] = int(unit <= left)
+            left -= unit * want[doc]
+        assert left < 50 and copies == want
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     data = rng.normal(size=(900, 16)).astype(np.float32)

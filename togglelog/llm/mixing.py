@@ -10,17 +10,22 @@ cut into cells, the same for every source; sums of cells are accumulated per sou
 rows each), and only documents of the cells around the cut are put in order one by one.
 
 Documents are whole: when the next one would exceed what is left, the prefix sum starts again over
-the later documents that still fit, twice. That uses only documents near the cut (`NEAR` words).
+the later documents that still fit, twice, and again for as long as more than `NEAR` words are missing
+(that is, after each document of more than `NEAR` words). Each start sums the cells of the whole rest
+without the documents that don't fit, and puts one cell in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from togglelog.llm.storage import written
 from togglelog.llm.words import WORD
 
 CELLS = 65_536
+# Restarts after the second need more than so many words missing.
 NEAR = 500_000
 # Broadcast the per-source table up to so many sources; join it with a shuffle beyond.
 BROADCAST_SOURCES = 10_000
@@ -87,9 +92,9 @@ def mix(
     """docs with size, source_size, target, copies (times a document is taken) and taken (words).
 
     Sizes are words; a null text has none. `quality` is a positive weight per document (default:
-    `text_quality`). A null source is a source. Documents without words are taken with the whole
-    epochs and cost nothing. Rows equal in doc_id, source, size and weight are taken or left
-    together. Reruns agree, whatever the partitions. Other columns are passed on, those named like a
+    `text_quality`). A null source is a source. Documents without words are taken with every epoch, the
+    last one that is cut too, and cost nothing. Rows equal in doc_id, source, size and weight are one
+    unit, taken or left together. Reruns agree, whatever the partitions. Other columns are passed on, those named like a
     new column are replaced; an empty table stays empty.
     """
     made = ("size", "source_size", "target", "copies", "taken")
@@ -99,8 +104,10 @@ def mix(
     # a key's cell: the distribution function of the key under weight 1, in equal steps
     cell = F.least(F.floor((1 - F.exp(-F.col("_key"))) * cells), F.lit(cells - 1))
     sized = sized.withColumn("_cell", cell.cast("int"))
-    light = written(sized.select("doc_id", "source", "size", "_key", "_cell"), "mix")
-    sums = written(light.groupBy("source", "_cell").agg(F.sum("size").alias("words")), "mix-cells")
+    keys = ["doc_id", "source", "size", "_key"]
+    units = sized.groupBy(*keys, "_cell").agg((F.count(F.lit(1)) * F.col("size")).alias("unit"))
+    light = written(units, "mix")
+    sums = written(light.groupBy("source", "_cell").agg(F.sum("unit").alias("words")), "mix-cells")
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, weights)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("epochs", epochs.cast("long"))
@@ -108,26 +115,18 @@ def mix(
     targets = written(targets, "mix-targets")
     small = targets.count() <= BROADCAST_SOURCES
 
-    def with_targets(df: DataFrame, *columns: str) -> DataFrame:
-        side = targets.select(F.col("source").alias("_source"), *columns)
-        return df.join(F.broadcast(side) if small else side, df["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
+    def with_sources(df: DataFrame, side: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
+        side = side.select(F.col("source").alias("_source"), *columns)
+        return df.join(F.broadcast(side) if small else side, df["source"].eqNullSafe(F.col("_source")), how).drop("_source")
 
-    # cells wholly before the cut, and cells near it
     running = Window.partitionBy("source").orderBy("_cell")
-    sums = with_targets(sums.withColumn("upto", F.sum("words").over(running)), "budget")
-    cuts = sums.groupBy("source").agg(
-        F.max(F.when(F.col("upto") <= F.col("budget"), F.col("_cell"))).alias("full"),
-        F.max(F.when(F.col("upto") <= F.col("budget"), F.col("upto"))).alias("full_words"),
-        F.max(F.when(F.col("upto") - F.col("words") < F.col("budget") + near, F.col("_cell"))).alias("last"),
-    )
-    cuts = cuts.select("source", F.coalesce("full", F.lit(-1)).alias("full"), F.coalesce("full_words", F.lit(0)).alias("full_words"), F.coalesce("last", F.lit(-1)).alias("last"))
-    side = targets.join(cuts.withColumnRenamed("source", "_cut"), targets["source"].eqNullSafe(F.col("_cut")), "left").drop("_cut")
-    targets = written(side, "mix-cuts")
-    chosen = _near_the_cut(with_targets(light, "full", "full_words", "last", "budget"), near)
-    taken = with_targets(sized, "source_size", "target", "epochs", "full")
-    keys = ["doc_id", "source", "size", "_key"]
+    sums = with_sources(sums.withColumn("upto", F.sum("words").over(running)), targets, "budget")
+    cuts = written(_cuts(sums.withColumnRenamed("budget", "gap")), "mix-cuts")
+    chosen = _after_the_cut(light, cuts.where("gap > 0"), with_sources, near)
+    taken = with_sources(with_sources(sized, targets, "source_size", "target", "epochs", how="left"), cuts, "full", how="left")
     on = [taken[k].eqNullSafe(chosen[k]) for k in keys]
-    extra = F.when(F.col("budget_left") & ((F.col("_cell") <= F.col("full")) | F.col("chosen")), 1).otherwise(0)
+    at_cut = (F.col("_cell") <= F.col("full")) | F.col("chosen") | (taken["size"] == 0)
+    extra = F.when(F.col("budget_left") & at_cut, 1).otherwise(0)
     copies = (F.col("epochs") + extra).cast("long")
     return (
         taken.withColumn("budget_left", F.col("target") > F.col("epochs") * F.col("source_size"))
@@ -143,24 +142,39 @@ def mix(
     )
 
 
-def _near_the_cut(light: DataFrame, near: int) -> DataFrame:
-    """(doc_id, source, size, _key, chosen = true): documents after the full cells that are taken."""
+def _cuts(sums: DataFrame) -> DataFrame:
+    """(source, gap, full, words, cell): the last cell that ends within the gap, the words up to there, the next cell."""
+    within = F.col("upto") <= F.col("gap")
+    return sums.groupBy("source", "gap").agg(
+        F.coalesce(F.max(F.when(within, F.col("_cell"))), F.lit(-1)).alias("full"),
+        F.coalesce(F.max(F.when(within, F.col("upto"))), F.lit(0)).alias("words"),
+        F.min(F.when(~within, F.col("_cell"))).alias("cell"),
+    )
+
+
+def _after_the_cut(light: DataFrame, cuts: DataFrame, with_sources: Callable, near: int) -> DataFrame:
+    """(doc_id, source, size, _key, chosen = true): units after the first full cells that are taken."""
     keys = ["doc_id", "source", "size", "_key"]
-    rows = light.where("_cell > full AND _cell <= last AND budget > 0")
-    # equal rows are one unit
-    unit = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("full_words", "budget")))
-    unit = unit.withColumn("unit", F.col("n") * F.col("size"))
+    place = F.struct("_key", "doc_id", "size")
     order = Window.partitionBy("source").orderBy("_key", "doc_id", "size")
-    upto = F.col("full_words") + F.sum("unit").over(order)
-    unit = unit.withColumn("upto", upto).where(F.col("upto") - F.col("unit") < F.col("budget") + near)
-    by_source = Window.partitionBy("source")
-    unit = unit.withColumn("round", F.when(F.col("upto") <= F.col("budget"), 0))
-    start = F.max(F.when(F.col("round") == 0, F.col("upto"))).over(by_source)
-    unit = unit.withColumn("gap", F.col("budget") - F.coalesce(start, F.col("full_words")))
-    for k in (1, 2):
-        fits = F.col("round").isNull() & (F.col("unit") <= F.col("gap"))
-        unit = unit.withColumn("sum", F.sum(F.when(fits, F.col("unit")).otherwise(0)).over(order))
-        unit = unit.withColumn("round", F.when(fits & (F.col("sum") <= F.col("gap")), F.lit(k)).otherwise(F.col("round")))
-        used = F.coalesce(F.sum(F.when(F.col("round") == k, F.col("unit"))).over(by_source), F.lit(0))
-        unit = unit.withColumn("gap", F.col("gap") - used)
-    return written(unit.where("round IS NOT NULL").select(*keys, F.lit(True).alias("chosen")), "mix-near")
+    by_cell = Window.partitionBy("source").orderBy("_cell")
+    known = ["gap", "full", "words", "cell"]
+    rest, chosen, start = with_sources(light, cuts, *known), light.where("false").select(*keys), 0
+    while True:
+        at_cut = rest.where("_cell = cell").withColumn("upto", F.col("words") + F.sum("unit").over(order))
+        at_cut = written(at_cut.select(*keys, "gap", "words", "upto"), "mix-near")
+        chosen = chosen.union(at_cut.where("upto <= gap").select(*keys))
+        # the first that doesn't fit, and what is left for those after it
+        used = F.coalesce(F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))), F.col("words"))
+        at = F.min(F.when(F.col("upto") > F.col("gap"), place)).alias("at")
+        state = at_cut.groupBy("source", "gap", "words").agg(used.alias("used"), at)
+        state = state.select("source", (F.col("gap") - F.col("used")).alias("gap"), "at")
+        start += 1
+        state = written(state.where(F.col("gap") > (0 if start <= 2 else near)), "mix-left")
+        if state.isEmpty():
+            return chosen.withColumn("chosen", F.lit(True))
+        later = with_sources(light, state, "gap", "at").where((F.col("unit") > 0) & (F.col("unit") <= F.col("gap")) & (place > F.col("at")))
+        sums = later.groupBy("source", "gap", "_cell").agg(F.sum("unit").alias("upto"))
+        cuts = written(_cuts(sums.withColumn("upto", F.sum("upto").over(by_cell))), "mix-cuts")
+        rest = with_sources(later.drop("gap"), cuts, *known)
+        chosen = chosen.union(written(rest.where("_cell <= full").select(*keys), "mix-whole"))
