@@ -167,6 +167,28 @@ def test_language_model(spark, docs):
     assert lang_id.predict(docs.where("false"), model).count() == 0
 
 
+def test_language_sample(spark, monkeypatch):
+    """Copies neither use up the sample of a language nor outweigh its other texts."""
+    rows = [("copied text", "xx")] * 3000 + [(f"own{chr(97 + i // 26)}{chr(97 + i % 26)}", "xx") for i in range(60)]
+    rows += [(f"{i}", "yy") for i in range(3000)] + [("einzig", "yy"), ("123", "zz"), (None, "xx"), ("text", None)]
+    labelled = spark.createDataFrame(rows, "text string, lang string").repartition(7)
+    kept, real = [], lang_id.written
+    monkeypatch.setattr(lang_id, "written", lambda df, name: kept.append((name, real(df, name))) or kept[-1][1])
+
+    def words(train_docs):
+        kept.clear()
+        model = lang_id.train(labelled, tokenizer("piece_bpe_32k.model"), rounds=1, train_docs=train_docs)
+        counted = {(r["lang"], r["word"]): r["n"] for r in dict(kept)["lang-words"].collect()}
+        return model.languages, counted
+
+    languages, all_words = words(100)
+    assert languages == ["xx", "yy"]  # zz has no text with a letter
+    assert all_words == {**{("xx", "▁" + t): 1 for t in {w for t, k in rows[:3060] for w in t.split()}}, ("yy", "▁einzig"): 1}
+    _, some = words(20)
+    copied = ("xx", "▁copied") in some
+    assert len([k for k in some if k[0] == "xx"]) == 20 + copied and set(some.values()) == {1}
+
+
 def test_forward_sums_all_segmentations():
     pieces = {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}
     p = np.array([[0.3], [0.2], [0.1], [0.15], [0.25], [1e-9], [0]])

@@ -18,12 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from togglelog.llm.storage import texts_of, written
 from togglelog.llm.words import BASE, mixed
 
-# Bounds of the training sample: documents of each language (on average), and languages.
+# Bounds of the training sample: distinct texts of each language, and languages.
 TRAIN_DOCS = 1000
 MAX_LANGUAGES = 1000
 ROUNDS = 2
@@ -212,13 +212,13 @@ def by_length(words: list[str], cells: int = 1_000_000) -> Iterator[np.ndarray]:
 def train(docs: DataFrame, model_path: str, rounds: int = ROUNDS, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """Fit a model on docs (text, lang): rows with a lang and a letter in the text.
 
-    At most about `train_docs` documents of each language are used, taken by a hash of their text.
-    Without any such row the model has no language.
+    Of each language `train_docs` distinct texts are used, or all if there are fewer, each once however
+    often it is repeated: those with the least hashes. Without any such row the model has no language.
     """
-    labelled = texts_of(docs).where("lang IS NOT NULL AND text IS NOT NULL").select(
-        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
-    )
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
+    labelled = texts_of(docs).where("lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    labelled = labelled.where(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("text"))
+    distinct = written(labelled.select("lang", "hash").distinct(), "lang-texts")
+    sizes = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(sizes, key=lambda x: x.encode("utf-8", "surrogatepass"))
@@ -229,9 +229,17 @@ def train(docs: DataFrame, model_path: str, rounds: int = ROUNDS, train_docs: in
     if not languages:
         return LanguageModel(languages, pieces, probability)
     place = {x: i for i, x in enumerate(languages)}
+    # a share of the hashes that holds the least `train_docs` of them for sure, and those
     grid = 1 << 30
-    part = F.create_map(*[F.lit(y) for x in languages for y in (x, min(grid, int(train_docs / sizes[x] * grid)))])
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(grid)) < part[F.col("lang")])
+    share = {x: min(grid, int((2 * train_docs + 200) / n * grid)) for x, n in sizes.items()}
+    part = F.create_map(*[F.lit(y) for x in languages for y in (x, share[x])])
+    drawn = F.pmod("hash", F.lit(grid))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(drawn, "hash"))
+    least = distinct.where(drawn < part[F.col("lang")]).withColumn("turn", turn).where(F.col("turn") <= train_docs)
+    least = written(least.select("lang", "hash"), "lang-sample")
+    sample = labelled.where(drawn < part[F.col("lang")]).join(F.broadcast(least), ["lang", "hash"], "left_semi")
+    sample = sample.select("lang", "hash", "text").mapInArrow(first_of_each, "lang string, hash long, text string")
+    sample = sample.groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
     counted = written(sample.mapInArrow(count_words(), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     for _ in range(rounds):
         found = counted.mapInArrow(expectation(pieces, place, probability), "lang int, piece int, n double")
@@ -243,6 +251,19 @@ def train(docs: DataFrame, model_path: str, rounds: int = ROUNDS, train_docs: in
     return LanguageModel(languages, pieces, probability)
 
 
+def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each (lang, hash) that a task meets; it remembers no more than the sample has."""
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        new = []
+        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if key not in seen:
+                seen.add(key)
+                new.append(i)
+        if new:
+            yield batch.take(pa.array(new, pa.int64()))
+
+
 def count_words() -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
