@@ -323,6 +323,27 @@ def test_neighbours(spark):
     assert permutation_index.nearest(vectors.where("vec_id < 4"), F.lit(True)).count() == 12
 
 
+def test_neighbours_of_copies(spark):
+    """A vector that a third of the rows hold takes one place among those compared."""
+    rng = np.random.default_rng(5)
+    data = 0.2 * rng.normal(size=(1200, 16)) + np.eye(16)[0]
+    data = (data / np.linalg.norm(data, axis=1)[:, None]).astype(np.float32)
+    data[rng.permutation(1200)[:400]] = 4 * np.eye(16)[0]  # pivots in the order of the middle, but far away
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    got = permutation_index.nearest(vectors, F.col("vec_id") % 10 == 0, pivots=64, places=32).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    exact, hits = data.astype(np.float64), 0
+    alone = [q for q in found if data[q, 0] < 2]
+    for q in alone:
+        answers = found[q]
+        far = np.sqrt(((exact - exact[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        hits += len(answers & set(np.lexsort((np.arange(1200), far))[:10].tolist()))
+    assert len(found) == 120 and hits / (10 * len(alone)) >= 0.95
+
+
 def test_feistel():
     for n in (1, 2, 3, 5, 64, 1000):
         slots = training_order.feistel_slots(np.arange(n), n, 7)

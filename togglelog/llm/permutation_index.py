@@ -4,8 +4,9 @@ A vector is represented by its nearest pivots in order of distance. Each block o
 inverted files, one per pivot, with the pivot's place in each vector's order. A query reads the files
 of its own nearest pivots and adds up, vector by vector, how far the two orders agree: with places
 counted from 0 and a missing pivot at place L, the footrule distance of two orders of L pivots is
-L (L + 1) - 2 * (sum over shared pivots of L - the later place). The best of each block by footrule are
-compared by exact distance.
+L (L + 1) - 2 * (sum over shared pivots of L - the later place). The best of each batch of a block by
+footrule are compared by exact distance. Equal vectors of a batch are one posting with their ids, so copies
+take one place among the best, however many there are.
 
 Vectors and queries meet in blocks: a task has one block of queries in memory and streams one block of
 vectors past it, so memory is bounded and no key decides where a row goes. Every vector is indexed.
@@ -25,7 +26,7 @@ from togglelog.llm.storage import written
 PIVOTS = 256
 PLACES = 128
 MAX_PIVOTS = 4096
-# Of each batch of vectors this share, but at least so many, is compared exactly.
+# Of each batch as many distinct vectors as this share of its rows, but at least so many, are compared exactly.
 RERANK_SHARE = 0.1
 RERANK_LEAST = 100
 # Rows of a block of vectors, of a batch of it, and of a block of queries.
@@ -127,15 +128,17 @@ def searcher(centres: np.ndarray, places: int, k: int, share: float) -> Callable
     def search(ids: list, vectors: list, asked: tuple, best: list) -> None:
         """Look through one batch of a block; best[q] keeps the k nearest so far."""
         query_ids, query_vectors, query_orders = asked
-        ids, data = np.array(ids, np.int64), np.concatenate(vectors)
+        ids, (data, groups) = np.array(ids, np.int64), equal_vectors(np.concatenate(vectors))
+        # k + 1 ids are enough: the query itself may be one of them
+        holders = [np.unique(ids[rows])[: k + 1].tolist() for rows in groups]
         files = InvertedFiles(pivot_orders(data, centres, places), len(centres))
-        most = min(len(ids), max(RERANK_LEAST, k + 1, int(share * len(ids))))
+        most = min(len(data), max(RERANK_LEAST, k + 1, int(share * len(ids))))
         for q, order in enumerate(query_orders):
             near = np.argsort(-files.agreement(order), kind="stable")[:most]
-            near = near[ids[near] != query_ids[q]]
             far = np.sqrt(((data[near] - query_vectors[q]) ** 2).sum(axis=1))
-            found = sorted({*zip(far.tolist(), ids[near].tolist()), *best[q]} if len(far) <= 4 * k else {*_least(far, ids[near], k), *best[q]})
-            best[q] = found[:k]
+            some = _least(far, k)
+            found = {(d, v) for d, g in zip(far[some].tolist(), near[some].tolist()) for v in holders[g] if v != query_ids[q]}
+            best[q] = sorted(found.union(best[q]))[:k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = None
@@ -191,8 +194,20 @@ def searcher(centres: np.ndarray, places: int, k: int, share: float) -> Callable
     return run
 
 
-def _least(far: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[float, int]]:
-    """The k least (distance, id), all equal distances looked at."""
-    edge = np.partition(far, min(k, len(far) - 1))[min(k, len(far) - 1)]
-    some = np.flatnonzero(far <= edge)
-    return sorted(zip(far[some].tolist(), ids[some].tolist()))[:k]
+def equal_vectors(data: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct vectors in the order they come in, and the rows of each."""
+    data = np.ascontiguousarray(data + 0.0)  # no negative zeros
+    whole = data.view(np.dtype((np.void, data.itemsize * data.shape[1]))).ravel()
+    _, first, group = np.unique(whole, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    group = place[group.ravel()]
+    rows = np.argsort(group, kind="stable")
+    return data[first[order]], np.split(rows, np.cumsum(np.bincount(group))[:-1])
+
+
+def _least(far: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k + 1 least distances, and of all equal to the last of these."""
+    last = min(k, len(far) - 1)
+    return np.flatnonzero(far <= np.partition(far, last)[last])
