@@ -167,6 +167,12 @@ def test_language_model(spark, docs):
     assert lang_id.predict(docs.where("false"), model).count() == 0
 
 
+def test_language_bounds():
+    pieces = lang_id.vocabulary(tokenizer("piece_bpe_32k.model"))
+    assert len(pieces) == 25_628 and "▁accommodation" in pieces  # long ones too
+    assert lang_id.TRAIN_DOCS == 2000
+
+
 def test_language_sample(spark, monkeypatch):
     """Copies neither use up the sample of a language nor outweigh its other texts."""
     rows = [("copied text", "xx")] * 3000 + [(f"own{chr(97 + i // 26)}{chr(97 + i % 26)}", "xx") for i in range(60)]

@@ -24,11 +24,12 @@ from togglelog.llm.storage import texts_of, written
 from togglelog.llm.words import BASE, mixed
 
 # Bounds of the training sample: distinct texts of each language, and languages.
-TRAIN_DOCS = 1000
+TRAIN_DOCS = 2000
 MAX_LANGUAGES = 1000
 ROUNDS = 2
-# Characters of the longest piece that is used, and the share of a character that no piece covers.
-LONGEST_PIECE = 12
+# Characters of the longest piece of the vocabulary (for the size of arrays only), and the share of a
+# character that no piece covers.
+LONGEST_PIECE = 16
 UNKNOWN = 1e-9
 # Pseudo-count of every piece in every language.
 SMOOTHING = 0.1
@@ -58,7 +59,7 @@ def vocabulary(model_path: str) -> dict[str, int]:
         for i in kinds
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
     )
-    return {p: i for i, p in enumerate(sorted({p for p in pieces if 0 < len(p) <= LONGEST_PIECE}))}
+    return {p: i for i, p in enumerate(sorted({p for p in pieces if p}))}
 
 
 def text_parts(text: str) -> list[str]:
