@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from togglelog.llm import (
+    hard_negatives,
     jaccard_join,
+    kd_shards,
     lang_id,
     mixing,
     packing,
@@ -17,8 +19,9 @@ from togglelog.llm import (
     token_rollup,
     tool_calls,
     training_order,
+    turn_repair,
 )
-from togglelog.llm.storage import new_path
+from togglelog.llm.storage import new_path, written
 
 
 def tokenizer(name: str) -> str:
@@ -166,6 +169,37 @@ def rollup(spark, sf_dir):
     return token_rollup.totals(spark, path)
 
 
+def negatives(spark, sf_dir):
+    """Five hard negatives for each of five positives of every vector whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def repaired(spark, sf_dir):
+    """Faults of every damaged conversation, and its cheapest repair."""
+    conversations = table(spark, sf_dir, "conversations")
+    rows = turn_repair.ordered_rows(turn_repair.damaged(conversations))
+    figures = written(turn_repair.repair(rows), "figures")
+    digests = turn_repair.repaired_digests(rows, figures).withColumnRenamed("conv_id", "_digest_of")
+    found = figures.join(digests, figures["conv_id"].eqNullSafe(F.col("_digest_of"))).withColumnRenamed("conv_id", "_conv")
+    everyone = conversations.select("conv_id").distinct()
+    nothing = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return everyone.join(found, everyone["conv_id"].eqNullSafe(F.col("_conv")), "left").select(
+        everyone["conv_id"],
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        *[F.coalesce(c, value).alias(c) for c, value in nothing.items()],
+    )
+
+
+def sharded(spark, sf_dir):
+    """Every document in one of eight shards of near equal bytes."""
+    found = kd_shards.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return found.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 def pipeline(spark, sf_dir):
     """The corpus pipeline over documents."""
     import corpus_pipeline
@@ -184,5 +218,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packed": packed,
     "op9_near_duplicates": near_duplicates,
     "op10_rollup": rollup,
+    "op11_hard_negatives": negatives,
+    "op12_turn_repair": repaired,
+    "op13_kd_shards": sharded,
     "pipeline": pipeline,
 }
