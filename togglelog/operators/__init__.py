@@ -17,10 +17,12 @@ from togglelog.operators.quality import (
     profile,
     unbalanced_groups,
 )
+from togglelog.operators.sketches import approximate_boxes, merge_states, quantile_states, sketch_quantiles
 from togglelog.operators.stats import (
     box_summary,
     device_comparison,
     device_matrix,
+    device_matrix_blocks,
     device_summary,
     event_distribution,
     event_means,
@@ -28,11 +30,19 @@ from togglelog.operators.stats import (
     fastest_slowest,
     histogram,
     kpis,
+    matrix_columns,
     pooled_stats,
     select_devices,
     trends,
 )
-from togglelog.operators.sync import ranked_starts, sync_pairs, sync_starts, sync_stats, sync_summary
+from togglelog.operators.sync import (
+    ranked_starts,
+    sync_pairs,
+    sync_pairs_beyond,
+    sync_starts,
+    sync_stats,
+    sync_summary,
+)
 from togglelog.operators.topology import (
     add_connections,
     build_topology,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from togglelog.functions.columns import (
     RECEIVE_EVENT,
@@ -38,11 +38,15 @@ def message_rows(
 
 
 def first_sends(rows: DataFrame, send: str = SEND_EVENT) -> DataFrame:
-    """First send of each message in file order; later sends do not count."""
+    """First send of each message in file order; later sends do not count.
+
+    Grouped by a hash besides the message, which changes no group: so a join on the message shuffles both of its
+    sides anew, and only then does adaptive execution split the side of a message that is large there.
+    """
     first = F.min_by(F.struct("device_id", "position", "time_ns"), F.struct("ord", "time_ns"))
     return (
         rows.where(F.col("event") == send)
-        .groupBy("message_id")
+        .groupBy("message_id", F.xxhash64("message_id"))
         .agg(first.alias("_s"))
         .select(
             "message_id",
@@ -77,29 +81,13 @@ def propagation(
 ) -> DataFrame:
     """One row per message and device that received it, other than the sender.
 
-    The rows are read once and come down, before they are shuffled, to the first send and the first
-    receive of each message on each device. The send of a message is found among these: a message has
-    no more of them than there are devices, however many rows it has.
+    Sends come down to the first of each message, receives to the first of each message on each device,
+    in partial minima before they are shuffled: a message that reaches any number of devices is no larger in the first
+    shuffle than the tasks that read it, and its receives are spread by device. They meet in a join on the message, whose large partitions
+    adaptive execution splits; no window holds a message's rows.
     """
     rows = message_rows(log, send, receive, numeric_messages)
-    event = F.col("event")
-    ends = rows.groupBy("message_id", "device_id").agg(
-        F.min(F.when(event == send, F.struct("ord", "time_ns", "device_id", "position"))).alias("_own"),
-        F.min(F.when(event == receive, F.struct("ord", "time_ns", "position"))).alias("_r"),
-    )
-    joined = (
-        ends.withColumn("_s", F.min("_own").over(Window.partitionBy("message_id")))
-        .where("_s IS NOT NULL AND _r IS NOT NULL AND device_id IS NOT NULL")
-        .select(
-            "message_id",
-            F.col("_s.device_id").alias("from_device"),
-            F.col("device_id").alias("to_device"),
-            F.col("_s.position").alias("from_position"),
-            F.col("_r.position").alias("to_position"),
-            F.col("_s.time_ns").alias("send_ns"),
-            F.col("_r.time_ns").alias("receive_ns"),
-        )
-    )
+    joined = first_receives(rows, receive).join(first_sends(rows, send), "message_id")
 
     hops = F.abs(F.col("to_position") - F.col("from_position"))
     time = F.col("receive_ns") - F.col("send_ns")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from togglelog.functions.columns import type_of
+from togglelog.operators.carry import states_by_tree
 from togglelog.operators.skew import (
     ROWS_PER_GROUP,
     find_hot_keys,
@@ -30,6 +31,8 @@ from togglelog.schema import TIME_ORDER, normalise
 
 BY_DEVICE = ("device_id", "event")
 BY_EVENT = ("event",)
+# One task follows a group through its chunks' exits up to so many; beyond, they are combined as a tree.
+CARRY_EXITS = 200_000
 
 
 def pair_executions(
@@ -37,6 +40,7 @@ def pair_executions(
     by_device: bool = True,
     match_message: bool | None = None,
     rows_per_group: int | None = ROWS_PER_GROUP,
+    carry_exits: int = CARRY_EXITS,
 ) -> DataFrame:
     """Executions (device_id, event, start_ns, end_ns, duration_ns, message_id, start_ord, end_ord).
 
@@ -44,7 +48,7 @@ def pair_executions(
     NULL. `match_message` defaults to `by_device`. Persist or write the result when several reports
     use it.
     """
-    executions = pair_or_open(log, by_device, match_message, rows_per_group)
+    executions = pair_or_open(log, by_device, match_message, rows_per_group, carry_exits)
     return executions.where(F.col("end_ns").isNotNull()).select(
         "device_id",
         "event",
@@ -62,8 +66,12 @@ def pair_or_open(
     by_device: bool = True,
     match_message: bool | None = None,
     rows_per_group: int | None = ROWS_PER_GROUP,
+    carry_exits: int = CARRY_EXITS,
 ) -> DataFrame:
-    """Executions, plus one row with NULL end for the start a group may leave open."""
+    """Executions, plus one row with NULL end for the start a group may leave open.
+
+    `carry_exits` bounds what one task reads of a group that is cut into chunks; it never changes the result.
+    """
     match_message = by_device if match_message is None else match_message
     keys = BY_DEVICE if by_device else BY_EVENT
     rows = usable_rows(log, by_device)
@@ -75,9 +83,9 @@ def pair_or_open(
     if hot_keys is None:
         paired = cold(rows, keys)
     else:
-        hot = _pair_matched_chunks if match_message else _pair_plain_chunks
         chunked = split_into_chunks(rows.where(hot_keys.matches()), hot_keys, TIME_ORDER)
-        paired = cold(rows.where(~hot_keys.matches()), keys).unionByName(hot(chunked, keys))
+        hot = pair_chunks(chunked, keys, match_message, carry_exits)
+        paired = cold(rows.where(~hot_keys.matches()), keys).unionByName(hot)
     return paired if by_device else paired.withColumn("device_id", F.lit(None).cast("string"))
 
 
@@ -271,6 +279,11 @@ def fold_roles(rows: DataFrame, keys: Sequence[str], match_message: bool) -> Dat
 # --- groups cut into chunks -------------------------------------------------------------------
 
 
+def pair_chunks(chunked: DataFrame, keys: Sequence[str], match_message: bool, carry_exits: int = CARRY_EXITS) -> DataFrame:
+    """Pairs, and the starts left open, of groups cut into chunks by `split_into_chunks`."""
+    return _pair_matched_chunks(chunked, keys, carry_exits) if match_message else _pair_plain_chunks(chunked, keys)
+
+
 def _pair_plain_chunks(chunked: DataFrame, keys: Sequence[str]) -> DataFrame:
     at = [*keys, "chunk"]
     heads = _run_heads(chunked, Window.partitionBy(*at).orderBy(*TIME_ORDER)).drop("_before")
@@ -310,15 +323,9 @@ def _open_rows(chunks: DataFrame, keys: Sequence[str], start: str, like: DataFra
     )
 
 
-def _pair_matched_chunks(chunked: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _pair_matched_chunks(chunked: DataFrame, keys: Sequence[str], carry_exits: int = CARRY_EXITS) -> DataFrame:
+    states = _states(chunked, keys, carry_exits)
     at = [*keys, "chunk"]
-    exits = _chunk_exits(chunked, keys).checkpoint()
-
-    # A chunk can only be entered idle, or open with a message that some chunk leaves open.
-    left_open = exits.where("open").select(*keys, F.col("message_id").alias("entry")).distinct()
-    entered = join_null_safe(exits.where("NOT idle"), left_open, [*keys, "entry"], "left_semi")
-    states = _carry_states(exits.where("idle").unionByName(entered), keys)
-
     carried = states.where("chunk IS NOT NULL").select(
         *at, "time_ns", "ord", "message_id", F.lit(True).alias("toggled"), F.lit(0).alias("_seq")
     )
@@ -337,6 +344,18 @@ def _pair_matched_chunks(chunked: DataFrame, keys: Sequence[str]) -> DataFrame:
     return closed.unionByName(_open_rows(still_open, keys, "_open", closed))
 
 
+def _states(chunked: DataFrame, keys: Sequence[str], carry_exits: int) -> DataFrame:
+    """The start that is open when a chunk is entered, and, with a NULL chunk, when a group ends."""
+    exits = _chunk_exits(chunked, keys).checkpoint()
+    # A chunk can only be entered idle, or open with a message that some chunk leaves open.
+    left_open = exits.where("open").select(*keys, F.col("message_id").alias("entry")).distinct()
+    entered = join_null_safe(exits.where("NOT idle"), left_open, [*keys, "entry"], "left_semi")
+    exits = exits.where("idle").unionByName(entered).checkpoint()
+    if exits.groupBy(*keys).count().where(F.col("count") > carry_exits).isEmpty():
+        return _carry_states(exits, keys)
+    return states_by_tree(exits, keys)
+
+
 def _chunk_exits(chunked: DataFrame, keys: Sequence[str]) -> DataFrame:
     """How every chunk is left, for each way of entering it.
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from togglelog.operators.pairing import BY_DEVICE, BY_EVENT, fold_roles, pair_or_open, usable_rows
-from togglelog.operators.skew import ROWS_PER_GROUP, find_hot_keys, join_null_safe
-from togglelog.schema import normalise
+from togglelog.operators.pairing import BY_DEVICE, BY_EVENT, fold_roles, pair_chunks, usable_rows
+from togglelog.operators.skew import ROWS_PER_GROUP, find_hot_keys, join_null_safe, rank_chunks, split_into_chunks
+from togglelog.schema import TIME_ORDER, normalise
 
 
 def profile(log: DataFrame) -> DataFrame:
@@ -50,8 +50,8 @@ def label_rows(
 ) -> DataFrame:
     """What pairing did with each row: start, end, ignored, or unclosed (opened, never closed).
 
-    Rows of groups that are too big for one task are paired in chunks, and their roles joined on
-    (group, ord), which spreads even one big group; there `ord` must be unique in a group.
+    Rows of groups that are too big for one task are numbered and paired in chunks, and their roles joined on
+    (group, number), which spreads even one big group. Rows with the same time and `ord` have no order among them.
     """
     keys = list(BY_DEVICE if by_device else BY_EVENT)
     match_message = by_device if match_message is None else match_message
@@ -61,15 +61,18 @@ def label_rows(
         return fold_roles(rows, keys, match_message)
     cold = fold_roles(rows.where(~hot_keys.matches()), keys, match_message)
     hot = rows.where(hot_keys.matches())
-    paired = pair_or_open(hot, by_device, match_message, rows_per_group)
+    chunked = split_into_chunks(hot, hot_keys, TIME_ORDER)
+    # checkpointed, so that pairing and the join see the same numbers
+    placed = rank_chunks(chunked, keys, TIME_ORDER, "_place").checkpoint()
+    paired = pair_chunks(placed.withColumn("ord", F.col("_place")).drop("_place"), keys, match_message)
     start = F.when(F.col("end_ord").isNull(), F.lit("unclosed")).otherwise(F.lit("start"))
     marks = F.array(
-        F.struct(F.col("start_ord").alias("ord"), start.alias("role")),
-        F.struct(F.col("end_ord").alias("ord"), F.lit("end").alias("role")),
+        F.struct(F.col("start_ord").alias("_place"), start.alias("role")),
+        F.struct(F.col("end_ord").alias("_place"), F.lit("end").alias("role")),
     )
-    roles = paired.select(*keys, F.inline(marks)).where("ord IS NOT NULL")
-    labelled = hot.join(roles, [*keys, "ord"], "left").fillna("ignored", ["role"])
-    return cold.unionByName(labelled)
+    roles = paired.select(*keys, F.inline(marks)).where("_place IS NOT NULL")
+    labelled = placed.join(roles, [*keys, "_place"], "left").fillna("ignored", ["role"])
+    return cold.unionByName(labelled.select(*cold.columns))
 
 
 def groups_without_execution(

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from togglelog.functions.columns import to_us
+from togglelog.functions.columns import to_us, type_of
 from togglelog.operators.skew import (
     ROWS_PER_GROUP,
+    ensure_checkpoint_dir,
     find_hot_keys,
     join_null_safe,
+    rank_all,
     rank_chunks,
     rank_in_groups,
     split_into_chunks,
@@ -91,21 +93,20 @@ def trends(
 
 
 def histogram(executions: DataFrame, bins: int = 30) -> DataFrame:
-    """Durations per event in equal bins over the range of all durations; the last bin is closed."""
-    counts = executions.groupBy("event", "duration_ns").agg(F.count("*").alias("_n"))
-    # The range is taken from the same counts, all their columns used, so that Spark works them out once.
-    ends = F.struct(F.min("duration_ns").alias("low"), F.max("duration_ns").alias("high"), F.sum("_n"))
-    ranged = counts.withColumn("_range", counts.agg(ends).scalar())
-    low, width = F.col("_low"), F.col("_width")
-    offset = (F.col("duration_ns") - low).cast("double")
-    return (
-        ranged.withColumn("_low", F.col("_range.low"))
-        .withColumn("_width", (F.col("_range.high") - low) / F.lit(float(bins)))
-        .withColumn("bin", F.when(width > 0, F.least(F.floor(offset / width), F.lit(bins - 1))).otherwise(F.lit(0)))
-        .groupBy("event", "bin", "_low", "_width")
-        .agg(F.sum("_n").alias("count"))
-        .select("event", "bin", (low + F.col("bin") * width).alias("bin_start_ns"), "count")
-    )
+    """Durations per event in equal bins over the range of all durations; the last bin is closed.
+
+    The two columns are checkpointed once and read twice, for the range and for the counts: only (event, bin)
+    is shuffled. Executions without a duration don't count.
+    """
+    ensure_checkpoint_dir(executions.sparkSession)
+    narrow = executions.where("duration_ns IS NOT NULL").select("event", "duration_ns").checkpoint()
+    low, high = narrow.agg(F.min("duration_ns"), F.max("duration_ns")).first()
+    width = (high - low) / float(bins) if low is not None else 0.0
+    start, step = F.lit(low).cast(type_of(narrow, "duration_ns")), F.lit(width)
+    place = F.floor((F.col("duration_ns") - start).cast("double") / step)
+    number = F.least(place, F.lit(bins - 1)).cast("long") if width > 0 else F.lit(0).cast("long")
+    counts = narrow.groupBy("event", number.alias("bin")).agg(F.count("*").alias("count"))
+    return counts.select("event", "bin", (start + F.col("bin") * step).alias("bin_start_ns"), "count")
 
 
 def box_summary(
@@ -212,16 +213,42 @@ def device_matrix(
 ) -> DataFrame:
     """The comparison as a matrix. `columns` are the chosen devices, or, with `across="event"`, the
     chosen events; None takes all there are, which costs a job that looks for them (an error beyond
-    `spark.sql.pivotMaxValues`)."""
+    `spark.sql.pivotMaxValues`). `device_matrix_blocks` has no such limit."""
     if across not in ("device_id", "event"):
         raise ValueError("across must be 'device_id' or 'event'")
     down = "event" if across == "device_id" else "device_id"
     mean = F.first(to_us("mean_ns"))
     if columns is None:
+        ensure_checkpoint_dir(stats.sparkSession)
+        stats = stats.select(down, across, "mean_ns").checkpoint()  # read twice
         return stats.where(F.col(across).isNotNull()).groupBy(down).pivot(across).agg(mean)
     return stats.where(F.col(across).isin(*columns)).groupBy(down).pivot(across, list(columns)).agg(mean)
 
 
+def matrix_columns(stats: DataFrame, block: int = 1024, rows_per_group: int | None = ROWS_PER_GROUP) -> DataFrame:
+    """(device_id, block, place): the devices of a matrix numbered by name, `block` of them side by side."""
+    devices = stats.where("device_id IS NOT NULL").select("device_id").distinct()
+    number = F.col("_number") - 1
+    return rank_all(devices, ["device_id"], "_number", rows_per_group).select(
+        "device_id", F.floor(number / block).alias("block"), (number % block).cast("int").alias("place")
+    )
+
+
+def device_matrix_blocks(
+    stats: DataFrame, columns: DataFrame | None = None, block: int = 1024, rows_per_group: int | None = ROWS_PER_GROUP
+) -> DataFrame:
+    """The comparison as a matrix with devices across, for any number of devices: (event, block, means_us).
+
+    A row holds the means of one event for the devices of one block, as a map from their place in it; devices
+    without a mean have no entry, and a block in which an event has none has no row. `columns`
+    (device_id, block, place) are the chosen devices, by default all (`matrix_columns`).
+    """
+    columns = matrix_columns(stats, block, rows_per_group) if columns is None else columns
+    cells = stats.join(columns, "device_id").select("event", "block", "place", to_us("mean_ns").alias("mean_us"))
+    entries = F.sort_array(F.collect_list(F.struct("place", "mean_us")))
+    return cells.groupBy("event", "block").agg(F.map_from_entries(entries).alias("means_us"))
+
+
 def device_summary(stats: DataFrame, devices: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """Per chosen device: completed executions, and the mean of its events' means."""
     return (

@@ -16,6 +16,7 @@ from togglelog.operators.skew import (
     ROWS_PER_GROUP,
     find_hot_keys,
     rank_chunks,
+    rank_in_groups,
     split_into_chunks,
 )
 from togglelog.schema import normalise
@@ -153,3 +154,30 @@ def sync_pairs(ranked: DataFrame) -> DataFrame:
         F.greatest("device_id", "_device").alias("device2"),
         F.abs(F.col("start_ns") - F.col("_start")).alias("time_diff_ns"),
     )
+
+
+def sync_pairs_beyond(ranked: DataFrame, limit_ns: int, rows_per_group: int | None = ROWS_PER_GROUP) -> DataFrame:
+    """The pairs of `sync_pairs` that differ by more than `limit_ns` (0 or more), without building the others.
+
+    In a pulse's ranked starts the partners of a start are all from some rank on: the first whose offset is
+    more than the limit above its own. That rank comes from one ranking of offsets together with offsets
+    plus limit; then each start meets its partners by an equi-join on (pulse, rank). Rows are made
+    for pairs of the result only, besides two for each start.
+    """
+    points = ranked.where("device_count >= 2").select("message_id", "rank", "device_id", "start_ns", "offset_ns", "device_count")
+    asked = points.select("message_id", "rank", (F.col("offset_ns") + limit_ns).alias("value"), F.lit(1).alias("kind"))
+    both = points.select("message_id", "rank", F.col("offset_ns").alias("value"), F.lit(0).alias("kind")).unionByName(asked)
+    # of what is ranked up to a question, as many are questions as its own rank says; the rest are starts
+    placed = rank_in_groups(both, ["message_id"], ["value", "kind", "rank"], "among", rows_per_group).where("kind = 1")
+    first = placed.select("message_id", "rank", (F.col("among") - F.col("rank") + 1).alias("first"))
+    left = points.join(first, ["message_id", "rank"]).where(F.col("first") <= F.col("device_count"))
+    left = left.select("message_id", "device_id", "start_ns", F.explode(F.sequence("first", "device_count")).alias("_meets"))
+    right = points.select(
+        "message_id", F.col("rank").alias("_meets"), F.col("device_id").alias("_device"), F.col("start_ns").alias("_start")
+    )
+    return left.join(right, ["message_id", "_meets"]).select(
+        "message_id",
+        F.least("device_id", "_device").alias("device1"),
+        F.greatest("device_id", "_device").alias("device2"),
+        F.abs(F.col("start_ns") - F.col("_start")).alias("time_diff_ns"),
+    )

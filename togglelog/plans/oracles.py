@@ -156,6 +156,13 @@ BASIC_STATS = """SELECT event, count(*) AS count, round(avg(duration_ns), -2) AS
   round(stddev_pop(duration_ns), -3) AS std_ns, min(duration_ns) AS min_ns, max(duration_ns) AS max_ns
   FROM ex GROUP BY ALL"""
 
+# Duration buckets: whole values below 256, then 128 for each power of two; a bucket stands for its middle.
+BUCKETS = """
+bk AS (
+  SELECT event, device_id, start_ns // 86400000000000 AS day, duration_ns, shift * 128 + (duration_ns >> shift) AS bucket,
+         (duration_ns >> shift)::DOUBLE * power(2::DOUBLE, shift) + (power(2::DOUBLE, shift) - 1) / 2 AS middle
+  FROM (SELECT *, greatest(length(bin(duration_ns)) - 8, 0) AS shift FROM ex))"""
+
 ORACLES: dict[str, str] = {
     "q_executions": f"""WITH {PLAIN}
 SELECT device_id, event, start_ns, end_ns, duration_ns, message_id, start_ord, end_ord FROM ex""",
@@ -309,4 +316,46 @@ SELECT event, time_ns, ord, toggled,
        CASE WHEN ord IN (SELECT start_ord FROM ex) THEN 'start' WHEN ord IN (SELECT end_ord FROM ex) THEN 'end'
             WHEN ord IN (SELECT ord FROM run_heads WHERE toggled AND next IS NULL) THEN 'unclosed' ELSE 'ignored' END AS role
 FROM te""",
+    "q_executions_stored": f"""WITH RECURSIVE {MATCHED} SELECT * FROM ex""",
+    "q_executions_stream": f"""WITH RECURSIVE {MATCHED} SELECT * FROM ex""",
+    "q_nested_log": f"""WITH {TIMING_EVENTS}
+SELECT event, time_ns, toggled, device_id, position, message_id, ord FROM te""",
+    "q_nested_executions": f"""WITH RECURSIVE {MATCHED}
+SELECT device_id, event, start_ns, end_ns, duration_ns, message_id FROM ex""",
+    "q_nested_messages": f"WITH {PROPAGATION} SELECT message_id, from_device, to_device, hops, time_ns FROM pr",
+    "q_box_approximate": f"""WITH RECURSIVE {MATCHED}, {BUCKETS},
+vl AS (
+  SELECT *, sum(n) OVER (PARTITION BY event ORDER BY bucket) AS upto FROM (
+    SELECT event, bucket, count(*) AS n, least(greatest(any_value(middle), any_value(lo)::DOUBLE), any_value(hi)::DOUBLE) AS v,
+           any_value(total) AS total, any_value(lo) AS lo, any_value(hi) AS hi
+    FROM bk JOIN (SELECT event, count(*) AS total, min(duration_ns) AS lo, max(duration_ns) AS hi FROM ex GROUP BY event) USING (event)
+    GROUP BY event, bucket)),
+ends AS (
+  SELECT event, p, min(CASE WHEN upto > floor((total - 1) * p) THEN v END) AS low,
+         min(CASE WHEN upto > ceil((total - 1) * p) THEN v END) AS high, any_value((total - 1) * p) AS place
+  FROM vl, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) ps(p) GROUP BY event, p),
+q AS (
+  SELECT event, max(CASE WHEN p = 0.25 THEN x END) AS q1, max(CASE WHEN p = 0.5 THEN x END) AS q2, max(CASE WHEN p = 0.75 THEN x END) AS q3
+  FROM (SELECT event, p, low + (high - low) * (place - floor(place)) AS x FROM ends) GROUP BY event)
+SELECT event, any_value(total) AS count, any_value(lo) AS min_ns, round(any_value(q1), 0) AS q1_ns, round(any_value(q2), 0) AS median_ns,
+       round(any_value(q3), 0) AS q3_ns, any_value(hi) AS max_ns,
+       round(min(CASE WHEN inside THEN v END), 0) AS low_whisker_ns, round(max(CASE WHEN inside THEN v END), 0) AS high_whisker_ns,
+       CAST(coalesce(sum(CASE WHEN NOT inside THEN n END), 0) AS BIGINT) AS outliers
+FROM (SELECT *, v BETWEEN q1 - (q3 - q1) * 1.5::DOUBLE AND q3 + (q3 - q1) * 1.5::DOUBLE AS inside FROM vl JOIN q USING (event))
+GROUP BY event""",
+    "q_quantile_buckets": f"""WITH RECURSIVE {MATCHED}, {BUCKETS}
+SELECT event, CAST(day AS INT) AS day, min(min(duration_ns)) OVER w AS min_ns, max(max(duration_ns)) OVER w AS max_ns,
+       CAST(bucket AS INT) AS bucket, count(*) AS n
+FROM bk GROUP BY event, day, bucket WINDOW w AS (PARTITION BY event, day)""",
+    "q_device_matrix_wide": f"""WITH RECURSIVE {MATCHED}, {STATS},
+nr AS (SELECT device_id, row_number() OVER (ORDER BY device_id) - 1 AS i FROM (SELECT DISTINCT device_id FROM st))
+SELECT event, i // 64 AS block, count(*) AS devices,
+       string_agg((i % 64) || '=' || CAST(round(round(mean_ns / 1000.0::DOUBLE, 1) * 10) AS BIGINT), ' ' ORDER BY i) AS means
+FROM st JOIN nr USING (device_id) GROUP BY event, i // 64""",
+    "q_sync_pairs_beyond": f"WITH {STARTS} SELECT * FROM prs WHERE time_diff_ns > 30 * 86400000000000",
+    "q_log_files": f"WITH {TIMING_EVENTS} SELECT event, time_ns, toggled, device_id, position, message_id FROM te",
+    "q_basic_files": f"WITH {BASIC} SELECT event, start_ns, end_ns, duration_ns FROM ex",
+    "q_topology_files": f"WITH {DEVICES} SELECT src, dst, 'daisy' AS mode FROM ({DAISY})",
+    "q_sorted_report": f"""WITH RECURSIVE {MATCHED}, {STATS}
+SELECT device_id, event, count, row_number() OVER (ORDER BY device_id, event) AS place FROM st""",
 }

@@ -6,12 +6,14 @@ rounded here (not in the operators) before they are compared with another engine
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from togglelog import operators as op
 from togglelog.operators.skew import ensure_checkpoint_dir
+from togglelog import sources, streaming
 from togglelog.plans import views
 from togglelog.sources import parse_files, parse_lines
 
@@ -26,6 +28,12 @@ def small_table(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path that nothing has used, in the folder that all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.pair_executions(views.timing_events(spark, sf_dir))
 
@@ -263,6 +271,118 @@ def label_rows_basic(spark, sf_dir):
     return labelled.select("event", "time_ns", "ord", "toggled", "role")
 
 
+def executions_stored(spark, sf_dir):
+    """Pairing of the log as a bucketed table: no shuffle after the write."""
+    table = f"stored_log_{uuid.uuid4().hex}"
+    sources.write_stored_log(views.timing_events(spark, sf_dir), table, scratch(spark, "stored"), buckets=8)
+    return op.pair_executions(sources.read_stored_log(spark, table), rows_per_group=None)
+
+
+# How late rows of the stream below may be: its files come in no order, and the log is shorter than that.
+STREAM_DAYS = 400
+
+
+def executions_stream(spark, sf_dir):
+    """Pairing of the log as a stream of files, each a quarter of the time, with its rows in no order; a
+    heartbeat comes last. State partitions are fixed for a stream's life: eight for this log's groups."""
+    folder = scratch(spark, "stream")
+    log = views.timing_events(spark, sf_dir)
+    log.repartitionByRange(4, "time_ns").sortWithinPartitions("message_id", "ord").write.parquet(f"{folder}/log")
+    last = log.agg((F.max("time_ns") + (STREAM_DAYS + 1) * views.DAY_NS).alias("time_ns")).where("time_ns IS NOT NULL")
+    last.unionByName(log.where("false"), allowMissingColumns=True).select(*log.columns).write.mode("append").parquet(f"{folder}/log")
+    session = spark.newSession()
+    streaming.use_rocks_db(session)
+    session.conf.set("spark.sql.shuffle.partitions", "8")
+    stream = session.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log")
+    found = streaming.stream_executions(stream, f"{STREAM_DAYS} days")
+    sink = found.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/executions")
+    sink.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/executions")
+
+
+def nested_log(spark, sf_dir):
+    """The log written as JSON documents, one for each device and day, and read back."""
+    path = scratch(spark, "nested-log")
+    sources.nest_log(views.timing_events(spark, sf_dir)).write.text(path)
+    return sources.read_nested_log(spark, path).rows
+
+
+def nested_executions(spark, sf_dir):
+    """Executions out of nested results."""
+    path = scratch(spark, "nested-executions")
+    sources.nest_executions(_executions(spark, sf_dir)).write.text(path)
+    return sources.flatten_executions(sources.json_lines(spark, path))
+
+
+def nested_messages(spark, sf_dir):
+    """Details of messages out of nested results."""
+    path = scratch(spark, "nested-messages")
+    sources.nest_messages(_propagation(spark, sf_dir)).write.text(path)
+    return sources.flatten_messages(sources.json_lines(spark, path))
+
+
+def box_approximate(spark, sf_dir):
+    """Boxes of events from the states of every device and day."""
+    states = op.quantile_states(_executions(spark, sf_dir), ("event", "device_id"))
+    return rounded(op.approximate_boxes(states, ("event",)), q1_ns=0, median_ns=0, q3_ns=0, low_whisker_ns=0, high_whisker_ns=0)
+
+
+def quantile_buckets(spark, sf_dir):
+    """The states of every event and day, bucket by bucket."""
+    states = op.quantile_states(_executions(spark, sf_dir), ("event",))
+    return states.select("event", "day", "min_ns", "max_ns", F.inline("buckets"))
+
+
+def device_matrix_wide(spark, sf_dir):
+    """The matrix with devices across, in blocks of 64; each block's means (tenths of a microsecond) as text."""
+    stats = small_table(_stats(spark, sf_dir).select("device_id", "event", "mean_ns"))
+    blocks = op.device_matrix_blocks(stats, block=64)
+    tenths = F.transform(F.map_entries("means_us"), lambda x: F.concat_ws("=", x["key"], F.round(F.round(x["value"], 1) * 10).cast("long")))
+    return blocks.select("event", "block", F.size("means_us").cast("long").alias("devices"), F.array_join(tenths, " ").alias("means"))
+
+
+def sync_pairs_beyond(spark, sf_dir):
+    """Pairs of devices that start a pulse more than 30 days apart."""
+    return op.sync_pairs_beyond(_starts(spark, sf_dir), 30 * views.DAY_NS)
+
+
+LOG_NAMES = {"event": "Event", "time_ns": "Time", "toggled": "Toggled", "device_id": "Device_ID", "position": "Position", "message_id": "Message_ID"}
+
+
+def log_files(spark, sf_dir):
+    """The log written as CSV files among others, and read from the first of two paths that exists."""
+    path, log = scratch(spark, "csv-log"), views.timing_events(spark, sf_dir)
+    named = log.select(*[F.col(c).alias(n) for c, n in LOG_NAMES.items()])
+    sources.write_result(named, path, "csv")
+    sources.write_result(named, path, "json", mode="append")  # no log file by its name
+    return sources.read_first_log(spark, [f"{path}-missing", path]).rows.drop("ord")
+
+
+def basic_files(spark, sf_dir):
+    """Executions of a log in the basic format, told by its columns, from CSV files."""
+    path, log = scratch(spark, "basic-log"), views.timing_events(spark, sf_dir)
+    sources.write_result(log.select(*[F.col(c).alias(LOG_NAMES[c]) for c in ("time_ns", "event", "toggled")]), path, "csv")
+    read = sources.read_timing_log(spark, path)
+    return op.pair_executions(read.rows, by_device=read.has_devices).select("event", "start_ns", "end_ns", "duration_ns")
+
+
+def topology_files(spark, sf_dir):
+    """An exported topology, read back."""
+    path, devices = scratch(spark, "topology"), small_table(_devices(spark, sf_dir))
+    sources.export_topology(devices, op.build_topology(devices, "daisy"), path, "daisy")
+    return spark.read.schema("src string, dst string, mode string").json(f"{path}/connections")
+
+
+def sorted_report(spark, sf_dir):
+    """A result table in the order it was written in: its rows' places from its files."""
+    path = scratch(spark, "report")
+    sources.write_result(_stats(spark, sf_dir).select("device_id", "event", "count"), path, order_by=["device_id", "event"])
+    # a report for people: few rows, numbered together
+    place = F.row_number().over(Window.orderBy("file_name", "row_index"))
+    found = spark.read.parquet(path).select("*", "_metadata.file_name", "_metadata.row_index")
+    return found.withColumn("place", place.cast("long")).drop("file_name", "row_index")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_executions": executions,
     "q_executions_msg": executions_msg,
@@ -314,4 +434,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_mesh_summary": mesh_summary,
     "q_trends_basic": trends_basic,
     "q_label_rows_basic": label_rows_basic,
+    "q_executions_stored": executions_stored,
+    "q_executions_stream": executions_stream,
+    "q_nested_log": nested_log,
+    "q_nested_executions": nested_executions,
+    "q_nested_messages": nested_messages,
+    "q_box_approximate": box_approximate,
+    "q_quantile_buckets": quantile_buckets,
+    "q_device_matrix_wide": device_matrix_wide,
+    "q_sync_pairs_beyond": sync_pairs_beyond,
+    "q_log_files": log_files,
+    "q_basic_files": basic_files,
+    "q_topology_files": topology_files,
+    "q_sorted_report": sorted_report,
 }
