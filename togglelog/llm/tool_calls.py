@@ -10,6 +10,7 @@ white space, no escapes but those that JSON asks for.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -31,9 +32,10 @@ def is_of_type(value, kind: str) -> bool:
 
 
 def argument_errors(arguments: str | None, schema: dict | None) -> tuple[object, list[str]]:
-    """Parsed arguments (None if unreadable), and what is wrong with them.
+    """Parsed arguments (None if they can't be written again as JSON), and what is wrong with them.
 
-    A schema is {"properties": {name: type}, "required": [name, ...]}; other names are not allowed.
+    A schema is {"properties": {name: type}, "required": [name, ...]}; other names are not allowed, nor
+    are numbers beyond the range of a double and halves of surrogate pairs, wherever they stand.
     """
     if schema is None:
         return None, ["unknown tool"]
@@ -43,14 +45,38 @@ def argument_errors(arguments: str | None, schema: dict | None) -> tuple[object,
         return None, ["not JSON"]
     if not isinstance(value, dict):
         return None, ["not an object"]
-    errors = [f"missing {k}" for k in schema.get("required", ()) if k not in value]
+    flaws = _flaws(value)
+    errors = flaws + [f"missing {k}" for k in schema.get("required", ()) if k not in value]
     for k in sorted(value):
+        if not _is_text(k):
+            continue  # a flaw already
         kind = schema["properties"].get(k)
         if kind is None:
             errors.append(f"unexpected {k}")
         elif not is_of_type(value[k], kind):
             errors.append(f"{k} is not {kind}")
-    return value, errors
+    return None if flaws else value, errors
+
+
+def _is_text(value: str) -> bool:
+    """Whether a string can be written as UTF-8."""
+    return not any("\ud800" <= c <= "\udfff" for c in value)
+
+
+def _flaws(value) -> list[str]:
+    """What makes parsed JSON impossible to write again."""
+    found, todo = set(), [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            todo += [*x, *x.values()]
+        elif isinstance(x, list):
+            todo += x
+        elif isinstance(x, float) and not math.isfinite(x):
+            found.add("number out of range")
+        elif isinstance(x, str) and not _is_text(x):
+            found.add("half of a surrogate pair")
+    return sorted(found)
 
 
 def _no_constant(name: str):
