@@ -22,7 +22,7 @@ from togglelog.llm import (
     training_order,
 )
 from togglelog.llm.components import connected_components
-from togglelog.llm.queries import tokenizer
+from togglelog.llm.queries import QUERIES, tokenizer
 from togglelog.llm.storage import new_path
 from togglelog.llm.words import gram_hashes, span_hashes, text_words, word_hashes
 
@@ -263,8 +263,8 @@ def test_mixing_targets(spark):
 def test_mixing(spark, docs):
     rows = [(i, prose(RNG.randrange(1, 80)), f"s{i % 4 if i % 3 else 0}") for i in range(600)]
     some = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    first = mixing.mix(some, near=200, cells=64).collect()
-    again = mixing.mix(some.repartition(5), near=200, cells=64).collect()
+    first = mixing.mix(some, cells=64).collect()
+    again = mixing.mix(some.repartition(5), cells=64).collect()
     assert sorted(map(tuple, first)) == sorted(map(tuple, again))
     taken, target = Counter(), {}
     for r in first:
@@ -291,7 +291,7 @@ def test_mixing_oversized(spark):
     some = spark.createDataFrame(rows, "doc_id long, text string, source string")
     share = 10_000.5 / (sum(sizes) + 50)
     for cells in (1, 64, 65_536):
-        got = mixing.mix(some, quality=F.lit(1.0), share=share, near=1000, cells=cells).collect()
+        got = mixing.mix(some, quality=F.lit(1.0), share=share, cells=cells).collect()
         assert len(got) == 401
         copies = {r["doc_id"]: r["copies"] for r in got}
         left, want = 10_000.5, {}
@@ -434,3 +434,75 @@ def test_rollup(spark):
     assert totals(new) == want and not token_rollup.apply_batch(spark, new, "2", two)
     with pytest.raises(Exception, match="unknown kind"):
         token_rollup.apply_batch(spark, path, "4", one.withColumn("kind", F.lit("move")))
+
+
+def test_compaction_that_fails_midway(spark):
+    schema = "source string, lang string, tokenizer_version string, kind string, tokens long, old_tokens long"
+    path, new = new_path(spark, "test-rollup"), new_path(spark, "test-rollup")
+    one = spark.createDataFrame([("a", "en", "v1", "insert", 10, None)], schema)
+    token_rollup.apply_batch(spark, path, "base-1", one)
+    marker, store = token_rollup._hadoop_path(spark, f"{new}/folded/base-1")
+    store.create(marker).close()  # the names are there, the totals are not
+    with pytest.raises(RuntimeError, match="do it again"):
+        token_rollup.totals(spark, new)
+    token_rollup.compact(spark, path, new)
+    assert not token_rollup.apply_batch(spark, new, "base-1", one)
+    assert [r["tokens"] for r in token_rollup.totals(spark, new).collect()] == [10]
+    again = new_path(spark, "test-rollup")
+    token_rollup.compact(spark, new, again)
+    assert not token_rollup.apply_batch(spark, again, "base-1", one)
+    assert [r["tokens"] for r in token_rollup.totals(spark, again).collect()] == [10]
+
+
+def test_rollup_of_tokens(spark, tmp_path):
+    """The registered query against tokenizers called text by text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [(r[1], r[2], r[3]) for r in ROWS if r[1] is None or len(r[1]) < 4000] + [("<|endoftext|> " * 60, None, "web")]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    words, small = Tokenizer.from_file(tokenizer("word_bpe_49k.json")), Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    assert public_tokenizers.PATTERN
+    small.encode_special_tokens = True
+    want = Counter()
+    for text, lang, source in texts:
+        text = text or ""
+        if len(text_words(text)) >= 50:
+            for version, n in (("word-49k", len(words.encode(text, add_special_tokens=False).ids) + 1), ("byte-50k", len(small.encode(text, add_special_tokens=False).ids))):
+                want[source, lang, version, "docs"] += 1
+                want[source, lang, version, "tokens"] += n
+    got = QUERIES["op10_rollup"](spark, str(tmp_path)).collect()
+    assert {(*r[:3], k): r[k] for r in got for k in ("docs", "tokens")} == want
+
+
+@pytest.mark.parametrize("sizes, target", [([80_000, 1, 10_000, 1, 9_999, *[5] * 200], 50_000)])
+def test_mixing_goes_on_while_something_fits(spark, sizes, target):
+    """Documents that don't fit are passed over as often as it takes."""
+    rows = [(i, "word " * n, "s") for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    total = sum(sizes)
+    for share in (target / total, 1.5):
+        for seed in ("a", "b", "c"):
+            got = mixing.mix(df, quality=F.lit(1.0), share=share, seed=seed).collect()
+            left = got[0]["target"] - sum(r["taken"] for r in got)
+            epochs = got[0]["target"] // total
+            assert left >= 0
+            assert all(r["size"] > left for r in got if r["copies"] == epochs)
+
+
+CLASHES = (
+    "row doc_ text_crc span_doc span_crc cut guess _guess _key _cell _source epochs full chosen budget_left unit gap words place part spans_ "
+    "lang_pred_ seed around first last"
+).split()
+
+
+def test_names_that_operators_use_themselves(spark):
+    """Extra columns pass through op2, op3, op7 under any name."""
+    values = {c: f"v-{c}" for c in CLASHES}
+    rows = [(i, prose(80), "en", f"s{i % 2}", *values.values()) for i in range(6)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {', '.join(f'`{c}` string' for c in CLASHES)}")
+    model = lang_id.train(df.select("text", "lang"), tokenizer("piece_bpe_32k.model"))
+    for found in (lang_id.predict(df, model), substring_dedup.remove_repeats(df), mixing.mix(df)):
+        got = found.select(*CLASHES).collect()
+        assert len(got) == 6 and all(r.asDict() == values for r in got)

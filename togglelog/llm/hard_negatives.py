@@ -18,6 +18,7 @@ Rows equal in label and vector are one entry of a list and stand for as many ids
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ FIRST_DEPTH = 16
 # A window reaches from LOW/HIGH of the positive's score to the score itself.
 LOW, HIGH = 80, 100
 LONG = 2**63 - 1
+# Scores between blocks; larger ones count as the largest.
+SCORE, LARGEST = "decimal(38,0)", 10**38 - 1
 
 
 def usable(vector: Column) -> Column:
@@ -54,7 +57,7 @@ def mine(
     null vec_id, label or vector, or with a null or non-finite component, take no part. Of rows with the
     same vec_id the one with the smallest (label, vector) counts. Vectors of different lengths meet as if the shorter one
     were filled up with zeros; an empty one scores 0. Scores outside the range of a long are ordered
-    exactly and reported as its nearest end. Other columns are ignored; an empty table gives an empty result.
+    exactly below 10**38 and reported as its nearest end. Other columns are ignored; an empty table gives an empty result.
     """
     whole = rows.select(
         F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("vector")
@@ -76,7 +79,7 @@ def mine(
 
     score = F.col("score")
     best = Window.partitionBy("anchor_id").orderBy(score.desc(), "vec_id")
-    found = _search(*deal, asking.withColumn("targets", F.lit(None).cast("array<long>")), positives_of(positives))
+    found = _search(*deal, asking.withColumn("targets", F.lit(None).cast(f"array<{SCORE}>")), positives_of(positives))
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= positives)
     found = written(found.select("anchor_id", F.col("vec_id").alias("positive_id"), score.alias("positive_score")), "positives")
 
@@ -88,8 +91,14 @@ def mine(
     negatives = negatives.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     same = (found["anchor_id"] == negatives["anchor_id"]) & (found["positive_score"] == negatives["target"])
     return found.join(negatives, same).select(
-        found["anchor_id"], "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", score.alias("negative_score")
-    )
+        found["anchor_id"], "positive_id", "rank", F.col("vec_id").alias("negative_id"), _as_long("positive_score"),
+        _as_long("score").alias("negative_score"),
+    )
+
+
+def _as_long(score: str) -> Column:
+    low, high = (F.lit(str(x)).cast(SCORE) for x in (-LONG - 1, LONG))
+    return F.least(F.greatest(F.col(score), low), high).cast("long").alias(score)
 
 
 def _search(entries: DataFrame, blocks: int, batches: int, asking: DataFrame, search: Callable) -> DataFrame:
@@ -105,7 +114,7 @@ def _search(entries: DataFrame, blocks: int, batches: int, asking: DataFrame, se
     )
     keys = ["block", "batch"]
     met = listed.groupBy(*keys).cogroup(asked.groupBy(*keys))
-    return met.applyInArrow(search, "anchor_id long, target long, vec_id long, score long")
+    return met.applyInArrow(search, f"anchor_id long, target {SCORE}, vec_id long, score {SCORE}")
 
 
 class Lists:
@@ -181,16 +190,17 @@ def _block(entries: pa.Table, asked: pa.Table) -> tuple[Lists, np.ndarray]:
     width = max((len(x) for side in sides for x in side), default=0)
     largest = max((float(np.abs(x).max()) for side in sides for x in side if len(x)), default=0.0)
     # products, sums and hundredfold sums below 2**53 are exact in doubles
-    exact = not HIGH * (SCALE * largest + 1) ** 2 * max(width, 1) < 2.0**53
+    exact = not SCALE * largest + 1 < (2.0**53 / (HIGH * max(width, 1))) ** 0.5
     data, anchors = (integers(side, width, exact) for side in sides)
     labels = np.array(entries.column("label").to_pylist(), object)
     return Lists(data, labels, entries.column("ids").to_pylist()), anchors
 
 
 def _rows(found: list[tuple]) -> pa.Table:
-    columns = zip(*found) if found else ((), (), (), ())
-    names = ["anchor_id", "target", "vec_id", "score"]
-    return pa.table([pa.array([x if x is None else max(-LONG - 1, min(LONG, x)) for x in c], pa.int64()) for c in columns], names)
+    columns = list(zip(*found)) if found else ((), (), (), ())
+    scores = [pa.array([x if x is None else Decimal(max(-LARGEST, min(LARGEST, x))) for x in c], pa.decimal128(38)) for c in (columns[1], columns[3])]
+    ids = [pa.array(c, pa.int64()) for c in (columns[0], columns[2])]
+    return pa.table([ids[0], scores[0], ids[1], scores[1]], ["anchor_id", "target", "vec_id", "score"])
 
 
 def positives_of(k: int) -> Callable:
@@ -240,10 +250,10 @@ def negatives_of(k: int) -> Callable:
                 return kth is not None and threshold < kth
 
             def enough(rows, scores, threshold) -> bool:
-                return all(done(rows, scores, threshold, t) for t in targets)
+                return all(done(rows, scores, threshold, int(t)) for t in targets)
 
             rows, scores = lists.read(anchor, enough)
-            for target in targets:
+            for target in map(int, targets):
                 best = lists.first(*inside(rows, scores, target), k, own_id)
                 found += [(own_id, target, i, s) for s, i in best]
         return _rows(found)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from togglelog.llm.storage import texts_of, written
+from togglelog.llm.storage import as_row, from_row, texts_of, written
 from togglelog.llm.words import BASE, mixed
 
 # Bounds of the training sample: distinct texts of each language, and languages.
@@ -299,14 +299,15 @@ def expectation(pieces: dict[str, int], place: dict[str, int], probability: np.n
 
 
 class WordScores:
-    """Log probabilities of words in all languages, remembered for at most `limit` words."""
+    """Log probabilities of words in all languages, remembered for at most `limit` words, `numbers` in all."""
 
-    limit = 200_000
+    limit, numbers = 200_000, 4_000_000
 
     def __init__(self, model: LanguageModel):
         self.languages, self.probability = model.languages, model.probability
         self.table = PieceTable(model.pieces)
         self.rows: dict[str, int] = {}
+        self.limit = min(self.limit, max(2000, self.numbers // max(1, len(model.languages))))
         self.scores = np.empty((self.limit, len(model.languages)))
 
     def of(self, words: set[str]) -> tuple[dict[str, int], np.ndarray]:
@@ -356,4 +357,5 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     guess = F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return texts_of(docs).withColumn("_guess", guess(F.col("text").cast("string"))).select(*rest, "_guess.*")
+    guessed = texts_of(docs).select(as_row(rest), guess(F.col("text").cast("string")).alias("guess"))
+    return guessed.select(*from_row(rest), "guess.*")

@@ -10,9 +10,9 @@ cut into cells, the same for every source; sums of cells are accumulated per sou
 rows each), and only documents of the cells around the cut are put in order one by one.
 
 Documents are whole: when the next one would exceed what is left, the prefix sum starts again over
-the later documents that still fit, twice, and again for as long as more than `NEAR` words are missing
-(that is, after each document of more than `NEAR` words). Each start sums the cells of the whole rest
-without the documents that don't fit, and puts one cell in order.
+the later documents that still fit, until none does. So a source misses less than the smallest document that
+comes after its last. Each start sums the cells of these documents, which are written out and so get fewer,
+and puts one cell in order; what is left falls below the document that did not fit, so starts are few.
 """
 
 from __future__ import annotations
@@ -21,12 +21,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from togglelog.llm.storage import written
+from togglelog.llm.storage import as_row, from_row, written
 from togglelog.llm.words import WORD
 
 CELLS = 65_536
-# Restarts after the second need more than so many words missing.
-NEAR = 500_000
 # Broadcast the per-source table up to so many sources; join it with a shuffle beyond.
 BROADCAST_SOURCES = 10_000
 SOURCE_WEIGHTS = (5, 2, 1)
@@ -86,7 +84,6 @@ def mix(
     most: int = 2,
     weights: tuple = SOURCE_WEIGHTS,
     seed: str = "mix",
-    near: int = NEAR,
     cells: int = CELLS,
 ) -> DataFrame:
     """docs with size, source_size, target, copies (times a document is taken) and taken (words).
@@ -100,7 +97,9 @@ def mix(
     made = ("size", "source_size", "target", "copies", "taken")
     rest = [c for c in docs.columns if c not in made]
     weight = text_quality(F.col("text")) if quality is None else quality
-    sized = docs.select(*rest, word_count(F.col("text")).alias("size"), exponential_key(weight, seed).alias("_key"))
+    sized = docs.select(
+        as_row(rest), "doc_id", "source", word_count(F.col("text")).alias("size"), exponential_key(weight, seed).alias("_key")
+    )
     # a key's cell: the distribution function of the key under weight 1, in equal steps
     cell = F.least(F.floor((1 - F.exp(-F.col("_key"))) * cells), F.lit(cells - 1))
     sized = sized.withColumn("_cell", cell.cast("int"))
@@ -122,7 +121,7 @@ def mix(
     running = Window.partitionBy("source").orderBy("_cell")
     sums = with_sources(sums.withColumn("upto", F.sum("words").over(running)), targets, "budget")
     cuts = written(_cuts(sums.withColumnRenamed("budget", "gap")), "mix-cuts")
-    chosen = _after_the_cut(light, cuts.where("gap > 0"), with_sources, near)
+    chosen = _after_the_cut(light, cuts.where("gap > 0"), with_sources)
     taken = with_sources(with_sources(sized, targets, "source_size", "target", "epochs", how="left"), cuts, "full", how="left")
     on = [taken[k].eqNullSafe(chosen[k]) for k in keys]
     at_cut = (F.col("_cell") <= F.col("full")) | F.col("chosen") | (taken["size"] == 0)
@@ -132,7 +131,7 @@ def mix(
         taken.withColumn("budget_left", F.col("target") > F.col("epochs") * F.col("source_size"))
         .join(chosen, on, "left")
         .select(
-            *(taken[c] for c in rest),
+            *from_row(rest),
             taken["size"],
             "source_size",
             "target",
@@ -152,14 +151,15 @@ def _cuts(sums: DataFrame) -> DataFrame:
     )
 
 
-def _after_the_cut(light: DataFrame, cuts: DataFrame, with_sources: Callable, near: int) -> DataFrame:
+def _after_the_cut(light: DataFrame, cuts: DataFrame, with_sources: Callable) -> DataFrame:
     """(doc_id, source, size, _key, chosen = true): units after the first full cells that are taken."""
     keys = ["doc_id", "source", "size", "_key"]
     place = F.struct("_key", "doc_id", "size")
     order = Window.partitionBy("source").orderBy("_key", "doc_id", "size")
     by_cell = Window.partitionBy("source").orderBy("_cell")
     known = ["gap", "full", "words", "cell"]
-    rest, chosen, start = with_sources(light, cuts, *known), light.where("false").select(*keys), 0
+    later, chosen = light, light.where("false").select(*keys)
+    rest = with_sources(light, cuts, *known)
     while True:
         at_cut = rest.where("_cell = cell").withColumn("upto", F.col("words") + F.sum("unit").over(order))
         at_cut = written(at_cut.select(*keys, "gap", "words", "upto"), "mix-near")
@@ -169,12 +169,12 @@ def _after_the_cut(light: DataFrame, cuts: DataFrame, with_sources: Callable, ne
         at = F.min(F.when(F.col("upto") > F.col("gap"), place)).alias("at")
         state = at_cut.groupBy("source", "gap", "words").agg(used.alias("used"), at)
         state = state.select("source", (F.col("gap") - F.col("used")).alias("gap"), "at")
-        start += 1
-        state = written(state.where(F.col("gap") > (0 if start <= 2 else near)), "mix-left")
+        state = written(state.where("gap > 0"), "mix-left")
         if state.isEmpty():
             return chosen.withColumn("chosen", F.lit(True))
-        later = with_sources(light, state, "gap", "at").where((F.col("unit") > 0) & (F.col("unit") <= F.col("gap")) & (place > F.col("at")))
-        sums = later.groupBy("source", "gap", "_cell").agg(F.sum("unit").alias("upto"))
+        fitting = (F.col("unit") > 0) & (F.col("unit") <= F.col("gap")) & (place > F.col("at"))
+        later = written(with_sources(later, state, "gap", "at").where(fitting).drop("at", "gap"), "mix-later")
+        sums = with_sources(later, state, "gap").groupBy("source", "gap", "_cell").agg(F.sum("unit").alias("upto"))
         cuts = written(_cuts(sums.withColumn("upto", F.sum("upto").over(by_cell))), "mix-cuts")
-        rest = with_sources(later.drop("gap"), cuts, *known)
+        rest = with_sources(later, cuts, *known)
         chosen = chosen.union(written(rest.where("_cell <= full").select(*keys), "mix-whole"))

@@ -49,7 +49,7 @@ SELECT *, NOT base_failed AND n_left_words >= 50 AND 100 * n_left_words >= 50 *
 """
 
 MIXTURE = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
     SELECT doc_id, source, coalesce(text, '') AS text FROM documents
 ), sized AS (
     SELECT doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -79,25 +79,23 @@ WITH d AS (
 ), units AS (
     SELECT doc_id, k.source, size, k, count(*) * size AS unit, any_value(target - epochs * b.source_size) AS budget
     FROM keyed k JOIN budgets b ON k.source IS NOT DISTINCT FROM b.source GROUP BY doc_id, k.source, size, k
-), r0 AS (
-    SELECT *, sum(unit) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM units
-), n0 AS (
-    SELECT *, upto <= budget AND budget > 0 AS t0,
-        budget - coalesce(max(CASE WHEN upto <= budget THEN upto END) OVER (PARTITION BY source), 0) AS gap0
-    FROM r0 WHERE upto - unit < budget + 500000
-), r1 AS (
-    SELECT *, sum(CASE WHEN NOT t0 AND unit <= gap0 THEN unit ELSE 0 END)
-        OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS s1 FROM n0
-), n1 AS (
-    SELECT *, NOT t0 AND unit <= gap0 AND s1 <= gap0 AND budget > 0 AS t1 FROM r1
-), g1 AS (
-    SELECT *, gap0 - coalesce(sum(CASE WHEN t1 THEN unit END) OVER (PARTITION BY source), 0) AS gap1 FROM n1
-), r2 AS (
-    SELECT *, sum(CASE WHEN NOT t0 AND NOT t1 AND unit <= gap1 THEN unit ELSE 0 END)
-        OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS s2 FROM g1
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id, size) AS place FROM units WHERE budget > 0
+), starts AS (
+    -- what is left of a source's budget, and the last place that has been looked at
+    SELECT source, max(budget) AS gap, 0::BIGINT AS place, 0 AS step FROM placed GROUP BY source
+    UNION ALL
+    SELECT source, gap - coalesce(max(CASE WHEN upto <= gap THEN upto END), 0), min(CASE WHEN upto > gap THEN place END), step + 1
+    FROM (
+        SELECT s.source, s.gap, s.step, u.place, sum(u.unit) OVER (PARTITION BY s.source ORDER BY u.place ROWS UNBOUNDED PRECEDING) AS upto
+        FROM starts s JOIN placed u ON s.source IS NOT DISTINCT FROM u.source AND u.place > s.place AND (s.step = 0 OR u.unit <= s.gap)
+    )
+    GROUP BY source, gap, step HAVING max(upto) > gap
 ), chosen AS (
-    SELECT doc_id, source, size, k FROM r2
-    WHERE t0 OR t1 OR (unit <= gap1 AND s2 <= gap1 AND budget > 0)
+    SELECT doc_id, source, size, k FROM (
+        SELECT u.*, s.gap, sum(u.unit) OVER (PARTITION BY s.source, s.step ORDER BY u.place ROWS UNBOUNDED PRECEDING) AS upto
+        FROM starts s JOIN placed u ON s.source IS NOT DISTINCT FROM u.source AND u.place > s.place AND (s.step = 0 OR u.unit <= s.gap)
+    ) WHERE upto <= gap
 )
 SELECT k.doc_id, k.size, b.source_size, b.target,
     ((b.epochs + CASE WHEN c.k IS NULL THEN 0 ELSE 1 END) * k.size)::BIGINT AS taken
@@ -138,22 +136,8 @@ SELECT conv_id, call_id, status, depth, false AS cyclic,
 FROM made
 """
 
-ROLLUP = r"""
-WITH d AS (
-    SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
-        len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+')) AS runs,
-        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*')) AS full_words
-    FROM documents
-)
-SELECT source, lang, 'words-1' AS tokenizer_version, count(*)::BIGINT AS docs, sum(full_words)::BIGINT AS tokens
-FROM d WHERE words >= 50 GROUP BY source, lang
-UNION ALL
-SELECT source, lang, 'runs-1', count(*)::BIGINT, sum(runs)::BIGINT FROM d WHERE words >= 50 GROUP BY source, lang
-"""
-
 ORACLES: dict[str, str] = {
     "op1_line_frequency": LINE_FREQUENCY,
     "op5_linked_calls": LINKED_CALLS,
     "op7_mixture": MIXTURE,
-    "op10_rollup": ROLLUP,
 }

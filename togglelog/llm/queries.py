@@ -138,16 +138,16 @@ def neighbours(spark, sf_dir):
 
 
 def rollup(spark, sf_dir):
-    """Totals after four batches of changes to documents, two of them sent twice.
+    """Token totals after four batches of changes to documents, two of them sent twice.
 
-    All documents come with their word counts (words-1), then with counts of runs of letters or digits
-    (runs-1). Documents of fewer than 50 words are deleted under both. Counts of words-1 are revised
-    to leave out words without a letter or digit.
+    All documents come with their counts by two public tokenizers, word-49k and byte-50k. Documents of fewer
+    than 50 words are deleted under both. Counts of word-49k are then revised to include an end token.
     """
-    docs = table(spark, sf_dir, "documents").select("source", "lang", mixing.word_count(F.col("text")).alias("words"), "text")
-    runs = F.coalesce(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).cast("long")
-    full = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*")), F.lit(0)).cast("long")
-    docs = docs.select("source", "lang", "words", runs.alias("runs"), full.alias("full"))
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    counts = token_rollup.count_tokens(docs, tokenizer("word_bpe_49k.json"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    counts = written(counts.withColumn("revised", F.col("word_tokens") + 1), "counts")
 
     def change(rows, version, kind, tokens, old=None):
         old = F.lit(None).cast("long") if old is None else F.col(old)
@@ -156,12 +156,12 @@ def rollup(spark, sf_dir):
             F.col(tokens).alias("tokens"), old.alias("old_tokens"),
         )
 
-    short = docs.where("words < 50")
+    short = counts.where("words < 50")
     batches = {
-        "1-words": change(docs, "words-1", "insert", "words"),
-        "2-runs": change(docs, "runs-1", "insert", "runs"),
-        "3-short": change(short, "words-1", "delete", "words").union(change(short, "runs-1", "delete", "runs")),
-        "4-revised": change(docs.where("words >= 50 AND full <> words"), "words-1", "revise", "full", "words"),
+        "1-words": change(counts, "word-49k", "insert", "word_tokens"),
+        "2-bytes": change(counts, "byte-50k", "insert", "byte_tokens"),
+        "3-short": change(short, "word-49k", "delete", "word_tokens").union(change(short, "byte-50k", "delete", "byte_tokens")),
+        "4-ended": change(counts.where("words >= 50"), "word-49k", "revise", "revised", "word_tokens"),
     }
     path = new_path(spark, "rollup")
     for name in [*batches, "3-short", "1-words"]:

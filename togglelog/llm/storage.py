@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +23,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def as_row(columns: list[str]) -> Column:
+    """A caller's columns in one struct `row`, out of the way of the names that an operator uses itself."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+
+
+def from_row(columns: list[str]) -> list[Column]:
+    """The columns out of `row` again."""
+    return [F.col("row").getField(c).alias(c) for c in columns]
+
+
 # Rows that a Python task gets at once, where rows are whole texts.
 TEXT_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -40,13 +50,13 @@ def texts_of(docs: DataFrame) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back; cuts the lineage and frees its shuffles."""
     spark = df.sparkSession
     path, before = new_path(spark, name), spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

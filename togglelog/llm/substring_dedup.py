@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from togglelog.llm.storage import texts_of, written
+from togglelog.llm.storage import as_row, from_row, texts_of, written
 from togglelog.llm.words import as_long, gram_hashes, in_pieces, mixed, span_hashes, text_words, word_hashes
 
 SEED_WORDS = 12
@@ -44,15 +44,15 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = SEED_WORDS) ->
         raise ValueError("seed must have 1 to `window` words")
     spans = repeated_spans(texts_of(docs), window, seed)
     made = ("n_words", "n_removed", "spans", "kept_text")
-    rest = [c for c in docs.columns if c not in (*made, "text_crc")]
-    keyed = _keyed(docs, rest)
+    rest = [c for c in docs.columns if c not in made]
+    keyed = _keyed(docs.select(as_row(rest), "doc_id", "text"), ["row", "doc_id", "text"])
     joined = keyed.join(
         spans.withColumnsRenamed({"doc_id": "span_doc", "text_crc": "span_crc"}),
         keyed["doc_id"].eqNullSafe(F.col("span_doc")) & (keyed["text_crc"] == F.col("span_crc")),
         "left",
-    ).select(*(keyed[c] for c in rest), "spans")
+    ).select("row", "text", "spans")
     cut = F.pandas_udf(cut_words, "n_words long, n_removed long, kept_text string")
-    return joined.withColumn("cut", cut("text", "spans")).select(*rest, "spans", "cut.*")
+    return joined.withColumn("cut", cut("text", "spans")).select(*from_row(rest), "spans", "cut.*")
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, seed: int = SEED_WORDS) -> DataFrame:

@@ -9,12 +9,55 @@ once however often it is sent. `compact` sums all batches into a new folder that
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from togglelog.llm.packing import TokenCache
+from togglelog.llm.storage import texts_of
+from togglelog.llm.words import kept
+
 KEYS = ("source", "lang", "tokenizer_version")
+# Committed batches have success markers; no batch_id of a caller has the first letter of a base's.
+MARK, BASE = "mapreduce.fileoutputcommitter.marksuccessfuljobs", "@base-"
 DELTAS = "source string, lang string, tokenizer_version string, docs long, tokens long"
 
 
+def count_tokens(docs: DataFrame, word_tokenizer: str, byte_ranks: str, pattern: str) -> DataFrame:
+    """docs' source and lang with words, word_tokens and byte_tokens of their whole texts.
+
+    `word_tokenizer` is the file of a tokenizer as `packing.TokenCache` takes it, `byte_ranks` one of byte-level ranks with
+    the `pattern` that it splits texts by. No special token is added or recognised. A null text has none; halves of
+    surrogate pairs count as question marks. One row for each of docs, in no order; other columns are left out.
+    """
+
+    def encoding():
+        import base64
+
+        import tiktoken
+
+        with open(byte_ranks, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, ranks = TokenCache(word_tokenizer), kept(f"ranks:{byte_ranks}", encoding)
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            known = ["" if t is None else t.encode("utf-8", "replace").decode() for t in texts]
+            counts = (
+                [len(t.encode().split()) for t in known],
+                [len(ids) // 4 for ids in cache.encode(texts)],
+                [len(ranks.encode_ordinary(t)) for t in known],
+            )
+            columns = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts)]
+            yield pa.record_batch(columns, ["source", "lang", "words", "word_tokens", "byte_tokens"])
+
+    rows = texts_of(docs).select(*[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
+    return rows.mapInArrow(run, "source string, lang string, words long, word_tokens long, byte_tokens long")
+
+
 def changes_to_deltas(changes: DataFrame) -> DataFrame:
     """Deltas of changes (source, lang, tokenizer_version, kind, tokens, old_tokens).
 
@@ -58,9 +101,7 @@ def apply_batch(spark: SparkSession, path: str, batch_id: str, changes: DataFram
     if is_committed(spark, path, batch_id) or is_folded(spark, path, batch_id):
         return False
     deltas = changes_to_deltas(changes)
-    deltas.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(
-        f"{path}/batch={batch_id}"
-    )
+    deltas.write.mode("overwrite").option(MARK, "true").parquet(f"{path}/batch={batch_id}")
     return True
 
 
@@ -75,7 +116,10 @@ def committed(spark: SparkSession, path: str) -> list[str]:
     if not store.exists(top):
         return []
     names = sorted(f.getPath().getName() for f in store.listStatus(top))
-    return [n for n in names if n.startswith("batch=") and is_committed(spark, path, n.removeprefix("batch="))]
+    found = [n for n in names if n.startswith("batch=") and is_committed(spark, path, n.removeprefix("batch="))]
+    if "folded" in names and not any(n.startswith(f"batch={BASE}") for n in found):
+        raise RuntimeError(f"the compaction to {path} did not end; do it again")
+    return found
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
@@ -88,11 +132,16 @@ def totals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, new_path: str) -> None:
-    """Start a rollup at `new_path` with the totals of `path`; it knows the batches that it holds."""
+    """Start a rollup at `new_path` with the totals of `path`; it knows the batches that it holds.
+
+    The names of these are written first and the totals last, whose success marker is the commit: a
+    rollup that has names without totals can't be read, and the compaction can be done again.
+    """
     names = [n.removeprefix("batch=") for n in committed(spark, path)]
-    totals(spark, path).write.parquet(f"{new_path}/batch=base-{len(names)}")
     top, store = _hadoop_path(spark, f"{path}/folded")
     names += [f.getPath().getName() for f in store.listStatus(top)] if store.exists(top) else []
     for name in names:
         marker, store = _hadoop_path(spark, f"{new_path}/folded/{name}")
         store.create(marker).close()
+    base = totals(spark, path).write.mode("overwrite").option(MARK, "true")
+    base.parquet(f"{new_path}/batch={BASE}{len(names)}")
