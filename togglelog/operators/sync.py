@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from togglelog.functions.columns import SYNC_EVENT, is_sync_message, is_usable_message
 from togglelog.operators.skew import (
     ROWS_PER_GROUP,
+    ensure_checkpoint_dir,
     find_hot_keys,
     rank_chunks,
     rank_in_groups,
@@ -60,8 +61,10 @@ def ranked_starts(
             .select(*columns)
         )
 
-    # a pulse has no more starts than rows, and the rows are cheaper to look through
-    hot_keys = find_hot_keys(pulse_rows(log, event), ["message_id"], rows_per_group)
+    if rows_per_group is not None:  # worked out once, for the look and for the ranks
+        ensure_checkpoint_dir(log.sparkSession)
+        starts = starts.checkpoint()
+    hot_keys = find_hot_keys(starts, ["message_id"], rows_per_group)
     if hot_keys is None:
         return small(starts)
     chunked = split_into_chunks(starts.where(hot_keys.matches()), hot_keys, ORDER)
