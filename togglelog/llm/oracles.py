@@ -136,8 +136,93 @@ SELECT conv_id, call_id, status, depth, false AS cyclic,
 FROM made
 """
 
+HARD_NEGATIVES = """
+WITH whole AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM whole a JOIN whole b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, n.id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+    AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+# crc32 of `conv_id:turn` byte by byte, with its table made from the polynomial; the repair state by state, one row at a time.
+TURN_REPAIR = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(v ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+        FROM range(256) r(i))
+), keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS codes
+    FROM conversations
+), hashed AS (
+    SELECT *, xor(list_reduce(list_prepend(4294967295, codes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+    FROM keyed, crc_table
+), damaged AS (
+    SELECT conv_id, turn, role AS role0, text AS text0, copy,
+        CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM hashed, (VALUES (1), (2)) copies(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role0, md5(text0), copy) AS i FROM damaged
+), faulty AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+        NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+    FROM placed
+), figures AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank)::BIGINT AS blank,
+        count_if(NOT blank AND again)::BIGINT AS duplicate, count_if(NOT blank AND NOT again AND cut)::BIGINT AS truncated,
+        count_if(pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+    FROM faulty GROUP BY conv_id
+), inserts(s, t, cost, edits, lines) AS (
+    VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+        (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']),
+        (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])
+), moves(s, initial, t) AS (
+    VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)
+), edits AS (
+    SELECT conv_id, i, s, s AS t, 2 AS cost, 'D' AS edit, []::VARCHAR[] AS lines FROM faulty, range(4) r(s)
+    UNION ALL
+    SELECT conv_id, i, s, t, CASE WHEN cut THEN 5 ELSE 0 END, 'K', [role || ':' || text]
+    FROM faulty JOIN moves ON initial = left(role, 1) WHERE NOT blank AND NOT again
+    UNION ALL
+    SELECT conv_id, i, s, t, CASE WHEN cut THEN 6 ELSE 1 END, 'R', [CASE initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text]
+    FROM faulty JOIN moves ON initial IN ('u', 'a') WHERE NOT blank AND NOT again
+), states AS (
+    SELECT conv_id, 0::BIGINT AS i, 0 AS s, {'c': 0::BIGINT, 'a': '', 'l': []::VARCHAR[]} AS best FROM figures
+    UNION ALL
+    SELECT p.conv_id, e.i, e.t, min({'c': p.best.c + x.cost + e.cost, 'a': p.best.a || x.edits || e.edit, 'l': p.best.l || x.lines || e.lines})
+    FROM states p JOIN inserts x ON p.s = x.s JOIN edits e ON p.conv_id IS NOT DISTINCT FROM e.conv_id AND e.i = p.i + 1 AND e.s = x.t
+    GROUP BY p.conv_id, e.i, e.t
+), repaired AS (
+    SELECT p.conv_id, min({'c': p.best.c + x.cost, 'a': p.best.a || x.edits, 'l': p.best.l || x.lines}) AS best
+    FROM states p JOIN figures f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.i = f.n JOIN inserts x ON p.s = x.s AND x.t IN (0, 3)
+    GROUP BY p.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(r.best.c, 0) AS cost, coalesce(r.best.a, '') AS audit,
+    sha256(coalesce(array_to_string(r.best.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures f ON c.conv_id IS NOT DISTINCT FROM f.conv_id
+LEFT JOIN repaired r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_frequency": LINE_FREQUENCY,
     "op5_linked_calls": LINKED_CALLS,
     "op7_mixture": MIXTURE,
+    "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_turn_repair": TURN_REPAIR,
 }

@@ -34,8 +34,10 @@ def is_of_type(value, kind: str) -> bool:
 def argument_errors(arguments: str | None, schema: dict | None) -> tuple[object, list[str]]:
     """Parsed arguments (None if they can't be written again as JSON), and what is wrong with them.
 
-    A schema is {"properties": {name: type}, "required": [name, ...]}; other names are not allowed, nor
-    are numbers beyond the range of a double and halves of surrogate pairs, wherever they stand.
+    A schema is {"properties": {name: kind}, "required": [name, ...]}; other names are not allowed, nor
+    are numbers beyond the range of a double and halves of surrogate pairs, wherever they stand. A kind is one of
+    TYPES, or {"type": one of TYPES} with, as it applies, "enum" (values), "minimum", "maximum", "items" (the kind of an
+    array's items), and "properties" and "required" of an object, which may be left out to allow any names.
     """
     if schema is None:
         return None, ["unknown tool"]
@@ -46,16 +48,37 @@ def argument_errors(arguments: str | None, schema: dict | None) -> tuple[object,
     if not isinstance(value, dict):
         return None, ["not an object"]
     flaws = _flaws(value)
-    errors = flaws + [f"missing {k}" for k in schema.get("required", ()) if k not in value]
-    for k in sorted(value):
-        if not _is_text(k):
-            continue  # a flaw already
-        kind = schema["properties"].get(k)
-        if kind is None:
-            errors.append(f"unexpected {k}")
-        elif not is_of_type(value[k], kind):
-            errors.append(f"{k} is not {kind}")
-    return None if flaws else value, errors
+    return None if flaws else value, flaws + object_errors(value, schema)
+
+
+def object_errors(value: dict, schema: dict, within: str = "") -> list[str]:
+    """What is wrong with an object's names and values; names are given with those they are within."""
+    errors = [f"missing {within}{k}" for k in schema.get("required", ()) if k not in value]
+    for k in sorted(filter(_is_text, value)):  # others are flaws already
+        kind = schema.get("properties", {}).get(k)
+        if kind is not None:
+            errors += value_errors(value[k], kind, within + k)
+        elif "properties" in schema:
+            errors.append(f"unexpected {within}{k}")
+    return errors
+
+
+def value_errors(value, kind: str | dict, name: str) -> list[str]:
+    spec = {"type": kind} if isinstance(kind, str) else kind
+    if "type" in spec and not is_of_type(value, spec["type"]):
+        return [f"{name} is not {spec['type']}"]
+    errors = []
+    # 1, 1.0 and true are different values
+    if "enum" in spec and not any(type(x) is type(value) and x == value for x in spec["enum"]):
+        errors.append(f"{name} is none of its values")
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        errors += [f"{name} is below {spec['minimum']}"] if value < spec.get("minimum", value) else []
+        errors += [f"{name} is above {spec['maximum']}"] if value > spec.get("maximum", value) else []
+    if isinstance(value, list) and "items" in spec:
+        errors += [e for i, x in enumerate(value) for e in value_errors(x, spec["items"], f"{name}[{i}]")]
+    if isinstance(value, dict) and ("properties" in spec or "required" in spec):
+        errors += object_errors(value, spec, f"{name}.")
+    return errors
 
 
 def _is_text(value: str) -> bool:
