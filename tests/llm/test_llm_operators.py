@@ -290,8 +290,8 @@ def test_mixing_oversized(spark):
     rows.append((order[10], *rows[10][1:]))
     some = spark.createDataFrame(rows, "doc_id long, text string, source string")
     share = 10_000.5 / (sum(sizes) + 50)
-    for cells in (1, 64, 65_536):
-        got = mixing.mix(some, quality=F.lit(1.0), share=share, cells=cells).collect()
+    for cells, fold_rows in ((1, 0), (64, 0), (65_536, 0), (64, 200_000)):
+        got = mixing.mix(some, quality=F.lit(1.0), share=share, cells=cells, fold_rows=fold_rows).collect()
         assert len(got) == 401
         copies = {r["doc_id"]: r["copies"] for r in got}
         left, want = 10_000.5, {}
@@ -484,7 +484,7 @@ def test_mixing_goes_on_while_something_fits(spark, sizes, target):
     total = sum(sizes)
     for share in (target / total, 1.5):
         for seed in ("a", "b", "c"):
-            got = mixing.mix(df, quality=F.lit(1.0), share=share, seed=seed).collect()
+            got = mixing.mix(df, quality=F.lit(1.0), share=share, seed=seed, fold_rows=50 if seed == "a" else 200_000).collect()
             left = got[0]["target"] - sum(r["taken"] for r in got)
             epochs = got[0]["target"] // total
             assert left >= 0
@@ -506,3 +506,50 @@ def test_names_that_operators_use_themselves(spark):
     for found in (lang_id.predict(df, model), substring_dedup.remove_repeats(df), mixing.mix(df)):
         got = found.select(*CLASHES).collect()
         assert len(got) == 6 and all(r.asDict() == values for r in got)
+
+
+NESTED = {
+    "properties": {
+        "mode": {"type": "string", "enum": ["a", "b"]},
+        "level": {"type": "integer", "minimum": 1, "maximum": 3},
+        "ids": {"type": "array", "items": {"type": "number", "maximum": 9}},
+        "where": {"type": "object", "properties": {"x": "number", "deep": {"properties": {"y": "boolean"}, "required": ["y"]}}, "required": ["x"]},
+        "flag": {"enum": [1, None]},
+    },
+    "required": ["mode"],
+}
+
+
+@pytest.mark.parametrize(
+    "text, errors",
+    [
+        ('{"mode": "a", "level": 3, "ids": [1, 2.5], "where": {"x": 1, "deep": {"y": true}}, "flag": null}', []),
+        ('{"mode": "c", "level": 0}', ["level is below 1", "mode is none of its values"]),
+        ('{"level": 4, "ids": [1, "2", 10], "flag": true}', ["missing mode", "flag is none of its values", "ids[1] is not number", "ids[2] is above 9", "level is above 3"]),
+        ('{"mode": "a", "where": {"deep": {"z": 1}}}', ["missing where.x", "missing where.deep.y", "unexpected where.deep.z"]),
+        ('{"mode": 1, "level": true, "other": 1}', ["level is not integer", "mode is not string", "unexpected other"]),
+        ('{"mode": "a", "level": 1e999}', ["number out of range", "level is not integer"]),
+        ('{"mode": "\\ud800"}', ["half of a surrogate pair", "mode is none of its values"]),
+        ('{"\\udfff": 1, "mode": "a"}', ["half of a surrogate pair"]),
+        ("[1]", ["not an object"]),
+        (None, ["not JSON"]),
+    ],
+)
+def test_nested_schemas(text, errors):
+    value, found = tool_calls.argument_errors(text, NESTED)
+    assert found == errors
+    if value is not None:
+        tool_calls.canonical_json(value).encode()
+
+
+def test_calls_that_cannot_be_written_again(spark):
+    """They are errors of their rows: the arguments are kept as text."""
+    texts = ['{"a": 1e999}', '{"a": "\\ud800"}', '{"a": 1}', '{"a": ' + "[" * 100_000 + "}", '{"a": ' + "9" * 5000 + "}", "x" * 300_000]
+    rows = [(1, i, "call", f"c{i}", "add", t, None, None, "extra") for i, t in enumerate(texts)] * 2
+    df = spark.createDataFrame(rows, MESSAGES + ", errors string").repartition(2)
+    got = {r["call_id"]: r for r in tool_calls.link_tool_calls(df, SCHEMAS).collect()}
+    assert len(got) == 6 and [got[f"c{i}"]["valid"] for i in range(6)] == [False, False, True, False, False, False]
+    import json
+
+    for i in (0, 1, 5):
+        assert json.loads(got[f"c{i}"]["json"])["arguments"] == texts[i]

@@ -12,13 +12,15 @@ rows each), and only documents of the cells around the cut are put in order one
 Documents are whole: when the next one would exceed what is left, the prefix sum starts again over
 the later documents that still fit, until none does. So a source misses less than the smallest document that
 comes after its last. Each start sums the cells of these documents, which are written out and so get fewer,
-and puts one cell in order; what is left falls below the document that did not fit, so starts are few.
+and puts one cell in order. Once no source has more than FOLD_ROWS of them, one task a source takes the rest of its
+way in order, one by one, which is the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from togglelog.llm.storage import as_row, from_row, written
@@ -28,6 +30,8 @@ CELLS = 65_536
 # Broadcast the per-source table up to so many sources; join it with a shuffle beyond.
 BROADCAST_SOURCES = 10_000
 SOURCE_WEIGHTS = (5, 2, 1)
+# Documents of a source behind its cut that one task goes through.
+FOLD_ROWS = 200_000
 # Characters of junk, by which quality falls.
 JUNK = "#*$%&|<>{}[]=_~^@\\0123456789"
 
@@ -85,6 +89,7 @@ def mix(
     weights: tuple = SOURCE_WEIGHTS,
     seed: str = "mix",
     cells: int = CELLS,
+    fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
     """docs with size, source_size, target, copies (times a document is taken) and taken (words).
 
@@ -121,7 +126,7 @@ def mix(
     running = Window.partitionBy("source").orderBy("_cell")
     sums = with_sources(sums.withColumn("upto", F.sum("words").over(running)), targets, "budget")
     cuts = written(_cuts(sums.withColumnRenamed("budget", "gap")), "mix-cuts")
-    chosen = _after_the_cut(light, cuts.where("gap > 0"), with_sources)
+    chosen = _after_the_cut(light, cuts.where("gap > 0"), with_sources, fold_rows)
     taken = with_sources(with_sources(sized, targets, "source_size", "target", "epochs", how="left"), cuts, "full", how="left")
     on = [taken[k].eqNullSafe(chosen[k]) for k in keys]
     at_cut = (F.col("_cell") <= F.col("full")) | F.col("chosen") | (taken["size"] == 0)
@@ -151,7 +156,7 @@ def _cuts(sums: DataFrame) -> DataFrame:
     )
 
 
-def _after_the_cut(light: DataFrame, cuts: DataFrame, with_sources: Callable) -> DataFrame:
+def _after_the_cut(light: DataFrame, cuts: DataFrame, with_sources: Callable, fold_rows: int) -> DataFrame:
     """(doc_id, source, size, _key, chosen = true): units after the first full cells that are taken."""
     keys = ["doc_id", "source", "size", "_key"]
     place = F.struct("_key", "doc_id", "size")
@@ -174,7 +179,24 @@ def _after_the_cut(light: DataFrame, cuts: DataFrame, with_sources: Callable) ->
             return chosen.withColumn("chosen", F.lit(True))
         fitting = (F.col("unit") > 0) & (F.col("unit") <= F.col("gap")) & (place > F.col("at"))
         later = written(with_sources(later, state, "gap", "at").where(fitting).drop("at", "gap"), "mix-later")
+        most = later.groupBy("source").count().agg(F.max("count")).first()[0]
+        if (most or 0) <= fold_rows:
+            numbered = with_sources(later, state, "gap").select(*keys, "unit", "gap", F.row_number().over(order).alias("n"))
+            kinds = ", ".join(f"{c} {later.schema[c].dataType.simpleString()}" for c in keys)
+            fitted = numbered.groupBy("source").applyInArrow(_one_by_one, kinds)
+            return chosen.union(written(fitted, "mix-last")).withColumn("chosen", F.lit(True))
         sums = with_sources(later, state, "gap").groupBy("source", "gap", "_cell").agg(F.sum("unit").alias("upto"))
         cuts = written(_cuts(sums.withColumn("upto", F.sum("upto").over(by_cell))), "mix-cuts")
         rest = with_sources(later, cuts, *known)
         chosen = chosen.union(written(rest.where("_cell <= full").select(*keys), "mix-whole"))
+
+
+def _one_by_one(units: pa.Table) -> pa.Table:
+    """The units of a source that are taken when each, in the order of `n`, is taken if it still fits."""
+    units = units.sort_by("n")
+    left, taken = units.column("gap")[0].as_py(), []
+    for i, unit in enumerate(units.column("unit").to_pylist()):
+        if unit <= left:
+            taken.append(i)
+            left -= unit
+    return units.take(pa.array(taken, pa.int64())).select(["doc_id", "source", "size", "_key"])
