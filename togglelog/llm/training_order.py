@@ -4,7 +4,7 @@
    They are written once, so that numbers hold; counts by task make the numbers global.
 2. A keyed Feistel permutation of the next power of four, walked until it falls below the number of
    sequences, gives each sequence its slot: no sort by random keys and no table of the order.
-3. Sequences are partitioned by ranges of slots and written by Spark's own committer, one file per
+3. Sequences are partitioned by ranges of slots, one for each shard, and written by Spark's own committer, one file per
    shard. A record is the sequence's ids (little-endian, 2 bytes each) and one end byte, so slot s is
    record s % shard_records of shard s // shard_records, at a known byte: readers start anywhere, read
    on in order, and go on from a slot number alone.
@@ -102,7 +102,7 @@ def materialise(
         sequence_writer(tokenizer_path, end_id, pad_id, length),
         "part int, number long, ids binary, n_tokens int, first_doc long, n_docs int, ids_crc32 long",
     )
-    numbered = written(numbered, "sequences")
+    numbered = written(numbered, "sequences", compression="zstd")
     counts = numbered.groupBy("part").count().orderBy("part").toPandas()  # one row for each task
     total = int(counts["count"].sum())
     first = counts["count"].cumsum() - counts["count"]
@@ -113,7 +113,8 @@ def materialise(
     ordered = numbered.join(F.broadcast(before), "part").withColumn("slot", slot_of(F.col("before") + F.col("number"), total, key))
     ordered = ordered.withColumn("shard", F.floor(F.col("slot") / shard_records))
     partitions = max(1, -(-total // shard_records))
-    shards = ordered.repartitionByRange(partitions, "shard").sortWithinPartitions("shard", "slot")
+    # a shard's number is its partition's: nothing to sample, one task a shard
+    shards = ordered.select("shard", "slot", "ids").repartitionById(partitions, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
     record = F.col("ids").cast("string").alias("value")  # bytes as they are; the writer doesn't decode them
     shards.select("shard", record).write.partitionBy("shard").text(path, compression="none", lineSep="\n")
     return ordered.select(
