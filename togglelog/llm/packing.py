@@ -79,7 +79,7 @@ class TokenCache(dict):
     other. At most `limit` parts are remembered.
     """
 
-    limit = 250_000
+    limit = 500_000
 
     def __init__(self, path: str):
         self.tokenizer = kept(f"tokenizer:{path}", lambda: read_tokenizer(path))
@@ -128,6 +128,11 @@ class TokenCache(dict):
         return out
 
 
+def token_cache(path: str) -> TokenCache:
+    """The cache of this Python worker, which goes on from task to task."""
+    return kept(f"tokens:{path}", lambda: TokenCache(path))
+
+
 def read_tokenizer(path: str):
     import os
 
@@ -245,7 +250,7 @@ def packer(tokenizer_path: str, end_id: int, limits: Limits) -> Callable:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, state = TokenCache(tokenizer_path), Packer(limits)
+        cache, state = token_cache(tokenizer_path), Packer(limits)
         # of the documents with pieces in the pool
         doc_ids: dict[int, int | None] = {}
         ids: dict[int, bytes] = {}

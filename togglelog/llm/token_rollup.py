@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from togglelog.llm.packing import TokenCache
+from togglelog.llm.packing import token_cache
 from togglelog.llm.storage import texts_of
 from togglelog.llm.words import kept
 
@@ -42,7 +42,7 @@ def count_tokens(docs: DataFrame, word_tokenizer: str, byte_ranks: str, pattern:
         return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, ranks = TokenCache(word_tokenizer), kept(f"ranks:{byte_ranks}", encoding)
+        cache, ranks = token_cache(word_tokenizer), kept(f"ranks:{byte_ranks}", encoding)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             known = ["" if t is None else t.encode("utf-8", "replace").decode() for t in texts]
