@@ -79,7 +79,7 @@ class TokenCache(dict):
     other. At most `limit` parts are remembered.
     """
 
-    limit = 500_000
+    limit = 250_000
 
     def __init__(self, path: str):
         self.tokenizer = kept(f"tokenizer:{path}", lambda: read_tokenizer(path))
@@ -129,8 +129,13 @@ class TokenCache(dict):
 
 
 def token_cache(path: str) -> TokenCache:
-    """The cache of this Python worker, which goes on from task to task."""
-    return kept(f"tokens:{path}", lambda: TokenCache(path))
+    """The cache of this Python worker, which goes on from task to task and holds twice as much.
+
+    It takes memory for as long as the worker lives: not for a pipeline whose other stages have caches of their own.
+    """
+    cache = kept(f"tokens:{path}", lambda: TokenCache(path))
+    cache.limit = 2 * TokenCache.limit
+    return cache
 
 
 def read_tokenizer(path: str):
@@ -250,7 +255,7 @@ def packer(tokenizer_path: str, end_id: int, limits: Limits) -> Callable:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, state = token_cache(tokenizer_path), Packer(limits)
+        cache, state = TokenCache(tokenizer_path), Packer(limits)
         # of the documents with pieces in the pool
         doc_ids: dict[int, int | None] = {}
         ids: dict[int, bytes] = {}
