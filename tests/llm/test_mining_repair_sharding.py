@@ -80,6 +80,54 @@ def test_hard_negatives_of_nothing(spark):
     assert hard_negatives.mine(alone, F.col("vec_id") == 0).count() == 0
 
 
+def by_hand_of_every_row(rows, k=5):
+    """The contract of op11, row by row: ids that repeat are rows of their own, null ids come last among equal scores."""
+    whole = []
+    for vec_id, vector, label in rows:
+        if label is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        label = (label + 1) % 10 if vec_id is not None and vec_id % 7 == 0 else label
+        whole.append((vec_id, label, [256 * p // q for p, q in (x.as_integer_ratio() for x in vector)]))
+    out = []
+    for n, (a, label, v) in enumerate(whole):
+        if a is None or a % 100:
+            continue
+        others = [(sum(x * y for x, y in zip(v, w)), i, l) for m, (i, l, w) in enumerate(whole) if m != n]
+        others.sort(key=lambda r: (-r[0], r[1] is None, r[1] or 0))
+        for p, positive, _ in [r for r in others if r[2] == label][:k]:
+            found = [(s, i) for s, i, other in others if other != label and 80 * p <= 100 * s <= 100 * p][:k]
+            out += [(a, positive, r, i, p, s) for r, (s, i) in enumerate(found, 1)]
+    clip = 2**63 - 1
+    return Counter(tuple(x if x is None else max(-clip - 1, min(clip, x)) for x in row) for row in out)
+
+
+def repeating_rows(rng):
+    common = [rng.gauss(0, 0.2) for _ in range(4)]
+    vectors = [common if rng.random() < 0.3 else [rng.gauss(0, 0.2) for _ in range(4)] for _ in range(700)]
+    rows = [(rng.choice([i % 250, i, None]), v, rng.randrange(4)) for i, v in enumerate(vectors)]
+    # anchors that repeat, whole or with another label, and the largest label
+    return rows + 3 * [(100, common, 1)] + [(100, common, 2), (100, vectors[5], 1), (200, common, 1), (7, common, 2**31 - 1)]
+
+
+def numbers_beyond_decimals(rng):
+    return [(i, [rng.gauss(0, 1) * rng.choice([1, 1e18, 1e300]) for _ in range(3)], i % 2) for i in range(250)]
+
+
+@pytest.mark.parametrize("make", [repeating_rows, numbers_beyond_decimals])
+def test_hard_negatives_of_every_row(spark, tmp_path, make):
+    rows = make(random.Random(15))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    df.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["op11_hard_negatives"](spark, str(tmp_path))
+    assert Counter(map(tuple, got.collect())) == by_hand_of_every_row(rows)
+
+
+def test_sortable_integers():
+    numbers = sorted([0, 1, -1, 255, 256, -255, -256, -257, 2**63, -(2**63), 10**400, -(10**400), -(10**400) - 1])
+    assert sorted(map(hard_negatives.sortable, numbers)) == list(map(hard_negatives.sortable, numbers))
+    assert [hard_negatives.unsorted(hard_negatives.sortable(x)) for x in numbers] == numbers
+
+
 def test_reading_stops_early():
     """The lists are not read to their end where scores are spread out."""
     import numpy as np

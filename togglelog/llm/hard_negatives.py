@@ -18,7 +18,6 @@ Rows equal in label and vector are one entry of a list and stand for as many ids
 from __future__ import annotations
 
 from collections.abc import Callable
-from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +35,10 @@ FIRST_DEPTH = 16
 # A window reaches from LOW/HIGH of the positive's score to the score itself.
 LOW, HIGH = 80, 100
 LONG = 2**63 - 1
-# Scores between blocks; larger ones count as the largest.
-SCORE, LARGEST = "decimal(38,0)", 10**38 - 1
+# Doubles hold all integers up to this; a block that counts in doubles has no score that comes near.
+EXACT = 2**53
+# What a block finds for an anchor, which is told by its row: ids may repeat. Scores of any size as `sortable` bytes.
+FOUND = "row long, anchor_id long, target binary, vec_id long, score binary, as_long long"
 
 
 def usable(vector: Column) -> Column:
@@ -45,9 +46,24 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
+def sortable(x: int) -> bytes:
+    """An integer of any size as bytes that have its order."""
+    size = (abs(x).bit_length() + 7) // 8
+    if x < 0:
+        return (2**15 - size).to_bytes(2) + (256**size - 1 + x).to_bytes(size)
+    return (2**15 + size).to_bytes(2) + x.to_bytes(size)
+
+
+def unsorted(data: bytes) -> int:
+    """The integer again."""
+    x = int.from_bytes(data[2:])
+    return x if data[0] >> 7 else x + 1 - 256 ** (len(data) - 2)
+
+
 def mine(
     rows: DataFrame, anchors: Column, k: int = 5, positives: int = 5,
     block_entries: int = BLOCK_ENTRIES, batch_anchors: int = BATCH_ANCHORS, least_block: int = LEAST_BLOCK,
+    every_row: bool = False,
 ) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for rows (vec_id, embedding, label).
 
@@ -55,72 +71,72 @@ def mine(
     `positives` other rows of the same label, by higher score, then smaller vec_id; for each of them come
     the first `k` rows of other labels, in that order, whose score is from 80 % to 100 % of the positive's. Rows with a
     null vec_id, label or vector, or with a null or non-finite component, take no part. Of rows with the
-    same vec_id the one with the smallest (label, vector) counts. Vectors of different lengths meet as if the shorter one
-    were filled up with zeros; an empty one scores 0. Scores outside the range of a long are ordered
-    exactly below 10**38 and reported as its nearest end. Other columns are ignored; an empty table gives an empty result.
+    same vec_id the one with the smallest (label, vector) counts. With `every_row` each of them counts, for itself and
+    for the others, and so do rows with a null vec_id, which come last among equal scores. Vectors of different lengths
+    meet as if the shorter one were filled up with zeros; an empty one scores 0. Scores outside the range of a long are
+    ordered exactly and reported as its nearest end. Other columns are ignored; an empty table gives an empty result.
     """
     whole = rows.select(
         F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("vector")
-    ).where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector")))
-    one = whole.groupBy("vec_id").agg(F.min(F.struct("label", "vector")).alias("row"))
-    one = written(one.select("vec_id", "row.label", "row.vector", anchors.alias("asks")), "anchored")
+    ).where(F.col("label").isNotNull() & usable(F.col("vector")))
+    if not every_row:
+        whole = whole.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min(F.struct("label", "vector")).alias("least"))
+        whole = whole.select("vec_id", "least.label", "least.vector")
+    # written, and so a row keeps its number
+    one = written(whole.select("*", anchors.alias("asks"), F.monotonically_increasing_id().alias("row")), "anchored")
 
     # No search returns more ids of equal rows than these; the limit of the rank cuts them before the shuffle.
-    most = max(k, positives) + 1
-    rank = F.row_number().over(Window.partitionBy("label", "vector").orderBy("vec_id"))
+    most, by_id = max(k, positives) + 1, F.col("vec_id").asc_nulls_last()
+    rank = F.row_number().over(Window.partitionBy("label", "vector").orderBy(by_id))
     first = one.withColumn("rank", rank).where(F.col("rank") <= most)
-    entries = first.groupBy("label", "vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    entries = written(entries.withColumn("h", F.xxhash64(F.col("ids")[0])), "entries")
-    asking = one.where("asks").select("vec_id", "label", "vector", F.xxhash64("vec_id").alias("h"))
+    entries = first.groupBy("label", "vector").agg(F.collect_list(F.struct("vec_id", "row")).alias("all"))
+    entries = entries.select("label", "vector", F.col("all.vec_id").alias("ids"), F.col("all.row").alias("rows"))
+    entries = written(entries.withColumn("h", F.xxhash64(F.array_min("rows"))), "entries")
+    asking = one.where("asks").select("row", "vec_id", "label", "vector", F.xxhash64("row").alias("h"))
     n_entries, n_anchors = entries.count(), asking.count()
     blocks = max(-(-n_entries // block_entries), min(32, -(-n_entries // least_block)), 1)
     batches = max(1, -(-n_anchors // batch_anchors))
     deal = (entries, blocks, batches)
 
     score = F.col("score")
-    best = Window.partitionBy("anchor_id").orderBy(score.desc(), "vec_id")
-    found = _search(*deal, asking.withColumn("targets", F.lit(None).cast(f"array<{SCORE}>")), positives_of(positives))
+    best = Window.partitionBy("row").orderBy(score.desc(), by_id)
+    found = _search(*deal, asking.withColumn("targets", F.lit(None).cast("array<binary>")), positives_of(positives))
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= positives)
-    found = written(found.select("anchor_id", F.col("vec_id").alias("positive_id"), score.alias("positive_score")), "positives")
+    names = {"vec_id": "positive_id", "score": "positive", "as_long": "positive_score"}
+    found = written(found.drop("rank", "target").withColumnsRenamed(names), "positives")
 
     # a window of scores is above zero or at zero, never below
-    targets = found.where("positive_score >= 0").groupBy("anchor_id").agg(F.sort_array(F.collect_set("positive_score")).alias("targets"))
-    windowed = asking.join(targets, asking["vec_id"] == targets["anchor_id"]).drop("anchor_id")
-    negatives = _search(*deal, windowed, negatives_of(k))
-    best = Window.partitionBy("anchor_id", "target").orderBy(score.desc(), "vec_id")
+    targets = found.where("positive_score >= 0").groupBy("row").agg(F.sort_array(F.collect_set("positive")).alias("targets"))
+    negatives = _search(*deal, asking.join(targets, "row"), negatives_of(k))
+    best = Window.partitionBy("row", "target").orderBy(score.desc(), by_id)
     negatives = negatives.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    same = (found["anchor_id"] == negatives["anchor_id"]) & (found["positive_score"] == negatives["target"])
+    same = (found["row"] == negatives["row"]) & (found["positive"] == negatives["target"])
     return found.join(negatives, same).select(
-        found["anchor_id"], "positive_id", "rank", F.col("vec_id").alias("negative_id"), _as_long("positive_score"),
-        _as_long("score").alias("negative_score"),
+        found["anchor_id"], "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score",
+        F.col("as_long").alias("negative_score"),
     )
 
 
-def _as_long(score: str) -> Column:
-    low, high = (F.lit(str(x)).cast(SCORE) for x in (-LONG - 1, LONG))
-    return F.least(F.greatest(F.col(score), low), high).cast("long").alias(score)
-
-
 def _search(entries: DataFrame, blocks: int, batches: int, asking: DataFrame, search: Callable) -> DataFrame:
-    """(anchor_id, target, vec_id, score): what each block has for each anchor. Anchors meet blocks batch by batch."""
+    """What each block has for each anchor (FOUND). Anchors meet blocks batch by batch."""
 
     def spread(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    listed = entries.select(F.pmod("h", F.lit(blocks)).alias("block"), spread(batches).alias("batch"), "label", "vector", "ids")
+    listed = entries.select(F.pmod("h", F.lit(blocks)).alias("block"), spread(batches).alias("batch"), "label", "vector", "ids", "rows")
     asked = asking.select(
-        spread(blocks).alias("block"), F.pmod("h", F.lit(batches)).alias("batch"), "vec_id", F.col("label").alias("own"),
+        spread(blocks).alias("block"), F.pmod("h", F.lit(batches)).alias("batch"), "row", "vec_id", F.col("label").alias("own"),
         F.col("vector").alias("anchor"), "targets",
     )
     keys = ["block", "batch"]
     met = listed.groupBy(*keys).cogroup(asked.groupBy(*keys))
-    return met.applyInArrow(search, f"anchor_id long, target {SCORE}, vec_id long, score {SCORE}")
+    return met.applyInArrow(search, FOUND)
 
 
 class Lists:
-    """Entries of one block, with the order of each dimension."""
+    """Entries of one block, with the order of each dimension. Their ids are any values that sort; rows are told apart by them."""
 
-    def __init__(self, data: np.ndarray, labels: np.ndarray, ids: list[list[int]]):
+    def __init__(self, data: np.ndarray, labels: np.ndarray, ids: list[list]):
         self.data, self.labels, self.ids = data, labels, ids
         self.sizes = np.array([len(x) for x in ids], np.int64)
         self.orders = np.argsort(data, axis=0, kind="stable").astype(np.int32)
@@ -157,7 +173,7 @@ class Lists:
         top = np.argsort(-scores, kind="stable")[:k] if len(scores) <= 64 else _top(scores, k)
         return scores[top[np.searchsorted(np.cumsum(self.sizes[rows[top]]), k)]]
 
-    def first(self, rows: np.ndarray, scores: np.ndarray, k: int, but: int) -> list[tuple[int, int]]:
+    def first(self, rows: np.ndarray, scores: np.ndarray, k: int, but: tuple) -> list[tuple[int, tuple]]:
         """(score, id) of the first k ids by score, then id, without the id `but`."""
         kth = self.kth(rows, scores, k + 1)
         if kth is not None:
@@ -190,17 +206,37 @@ def _block(entries: pa.Table, asked: pa.Table) -> tuple[Lists, np.ndarray]:
     width = max((len(x) for side in sides for x in side), default=0)
     largest = max((float(np.abs(x).max()) for side in sides for x in side if len(x)), default=0.0)
     # products, sums and hundredfold sums below 2**53 are exact in doubles
-    exact = not SCALE * largest + 1 < (2.0**53 / (HIGH * max(width, 1))) ** 0.5
+    exact = not SCALE * largest + 1 < (EXACT / (HIGH * max(width, 1))) ** 0.5
     data, anchors = (integers(side, width, exact) for side in sides)
     labels = np.array(entries.column("label").to_pylist(), object)
-    return Lists(data, labels, entries.column("ids").to_pylist()), anchors
+    ids = [list(map(_id, *x)) for x in zip(entries.column("ids").to_pylist(), entries.column("rows").to_pylist())]
+    return Lists(data, labels, ids), anchors
+
+
+def _id(vec_id: int | None, row: int) -> tuple[bool, int, int]:
+    """A row's place among equal scores: null ids last."""
+    return vec_id is None, vec_id or 0, row
+
+
+def _rows(found: list[tuple[tuple, int | None, int, tuple]]) -> pa.Table:
+    """FOUND of (anchor's id, target, score, id)."""
+
+    def vec_id(x: tuple) -> int | None:
+        return None if x[0] else x[1]
+
+    columns = [
+        pa.array([a[2] for a, *_ in found], pa.int64()),
+        pa.array([vec_id(a) for a, *_ in found], pa.int64()),
+        pa.array([None if t is None else sortable(t) for _, t, _, _ in found], pa.binary()),
+        pa.array([vec_id(i) for *_, i in found], pa.int64()),
+        pa.array([sortable(s) for _, _, s, _ in found], pa.binary()),
+        pa.array([max(-LONG - 1, min(LONG, s)) for _, _, s, _ in found], pa.int64()),
+    ]
+    return pa.table(columns, [x.split()[0] for x in FOUND.split(", ")])
 
 
-def _rows(found: list[tuple]) -> pa.Table:
-    columns = list(zip(*found)) if found else ((), (), (), ())
-    scores = [pa.array([x if x is None else Decimal(max(-LARGEST, min(LARGEST, x))) for x in c], pa.decimal128(38)) for c in (columns[1], columns[3])]
-    ids = [pa.array(c, pa.int64()) for c in (columns[0], columns[2])]
-    return pa.table([ids[0], scores[0], ids[1], scores[1]], ["anchor_id", "target", "vec_id", "score"])
+def _own(asked: pa.Table) -> list[tuple]:
+    return list(map(_id, asked.column("vec_id").to_pylist(), asked.column("row").to_pylist()))
 
 
 def positives_of(k: int) -> Callable:
@@ -212,7 +248,7 @@ def positives_of(k: int) -> Callable:
         lists, anchors = _block(entries, asked)
         parts: dict = {}
         found = []
-        for anchor, own_id, label in zip(anchors, asked.column("vec_id").to_pylist(), asked.column("own").to_pylist()):
+        for anchor, own_id, label in zip(anchors, _own(asked), asked.column("own").to_pylist()):
             if label not in parts:
                 parts[label] = lists.part(np.flatnonzero(lists.labels == label))
             part = parts[label]
@@ -221,7 +257,7 @@ def positives_of(k: int) -> Callable:
                 kth = part.kth(rows, scores, k + 1)  # one of them may be the anchor itself
                 return kth is not None and threshold < kth
 
-            found += [(own_id, None, i, s) for s, i in part.first(*part.read(anchor, enough), k, own_id)]
+            found += [(own_id, None, s, i) for s, i in part.first(*part.read(anchor, enough), k, own_id)]
         return _rows(found)
 
     return run
@@ -234,10 +270,11 @@ def negatives_of(k: int) -> Callable:
         if not (entries.num_rows and asked.num_rows):
             return _rows([])
         lists, anchors = _block(entries, asked)
-        columns = (asked.column(c).to_pylist() for c in ("vec_id", "own", "targets"))
+        columns = (asked.column(c).to_pylist() for c in ("own", "targets"))
         found = []
-        for anchor, own_id, label, targets in zip(anchors, *columns):
-            other = lists.labels != label
+        for anchor, own_id, label, targets in zip(anchors, _own(asked), *columns):
+            other, targets = lists.labels != label, list(map(unsorted, targets))
+            bounds = targets if anchors.dtype == object else [min(t, EXACT) for t in targets]
 
             def inside(rows, scores, target) -> tuple[np.ndarray, np.ndarray]:
                 some = other[rows] & (HIGH * scores >= LOW * target) & (scores <= target)
@@ -250,12 +287,12 @@ def negatives_of(k: int) -> Callable:
                 return kth is not None and threshold < kth
 
             def enough(rows, scores, threshold) -> bool:
-                return all(done(rows, scores, threshold, int(t)) for t in targets)
+                return all(done(rows, scores, threshold, t) for t in bounds)
 
             rows, scores = lists.read(anchor, enough)
-            for target in map(int, targets):
-                best = lists.first(*inside(rows, scores, target), k, own_id)
-                found += [(own_id, target, i, s) for s, i in best]
+            for target, bound in zip(targets, bounds):
+                best = lists.first(*inside(rows, scores, bound), k, own_id)
+                found += [(own_id, target, s, i) for s, i in best]
         return _rows(found)
 
     return run
