@@ -244,6 +244,24 @@ def test_packing(docs, limits):
     assert packing.pack_texts(docs.where("false"), tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_goes_on_with_what_a_worker_knows(monkeypatch):
+    import pyarrow as pa
+
+    rng, learned, learn = random.Random(21), [], packing.TokenCache.learn
+    monkeypatch.setattr(packing.TokenCache, "learn", lambda self, parts: (learned.append(len(parts)), learn(self, parts)))
+    texts = [" ".join("".join(rng.choices("qxzjw", k=9)) for _ in range(60)) for _ in range(20)] + [None, "caf\u00e9 \u4e16", ""]
+    zeros = [0] * len(texts)
+    batch = pa.record_batch([list(range(len(texts))), texts, zeros, zeros], ["doc_id", "text", "prompt", "part"])
+
+    def task(**how):
+        found = packing.packer(tokenizer("word_bpe_49k.json"), 1, packing.Limits(), **how)(iter([batch]))
+        return pa.Table.from_batches(found).to_pylist()
+
+    alone = task()
+    assert task(keep_cache=True) == task(keep_cache=True) == alone
+    assert learned[0] == learned[1] > 1000 and learned[2:] == [0]
+
+
 def test_mixing_targets(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 1000), (None, 10), ("d", 0)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}

@@ -40,8 +40,9 @@ class Limits:
 
 
 def pack_texts(
-    docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), prompt_tokens: Column | None = None
-) -> DataFrame:
+    docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), prompt_tokens: Column | None = None,
+    keep_cache: bool = False,
+) -> DataFrame:
     """Pieces of tokenised texts and their places: SCHEMA, one row for each piece.
 
     `ids` are little-endian unsigned 32-bit ids; a document's pieces together are its ids and
@@ -49,7 +50,8 @@ def pack_texts(
     `prompt_tokens` ids of a document bear no loss (default: all bear loss; null or negative: none
     are prompt). A null or empty text is `end_id` alone. Repeated rows are packed one by one; a null
     doc_id is passed on; other columns are ignored; an empty table gives an empty result.
-    Tokens, segments and loss-bearing tokens stay within the limits in every sequence.
+    Tokens, segments and loss-bearing tokens stay within the limits in every sequence. With `keep_cache`
+    a worker's tasks share the ids they have looked up (see `token_cache`), which saves time and takes memory.
     """
     prompt = F.lit(0) if prompt_tokens is None else F.greatest(F.coalesce(prompt_tokens, F.lit(0)), F.lit(0))
     columns = [
@@ -59,7 +61,7 @@ def pack_texts(
         # tells tasks apart in sequence_id; a task that is repeated has the same number
         F.spark_partition_id().cast("long").alias("part"),
     ]
-    return texts_of(docs).select(*columns).mapInArrow(packer(tokenizer_path, end_id, limits), SCHEMA)
+    return texts_of(docs).select(*columns).mapInArrow(packer(tokenizer_path, end_id, limits, keep_cache), SCHEMA)
 
 
 # The tokenizer's own split of lower-cased text, spelled out for characters below U+0180,
@@ -251,11 +253,12 @@ def at_powers_of_two(sequence: list[tuple[int, int, int, int]], prompts: dict[in
         yield out
 
 
-def packer(tokenizer_path: str, end_id: int, limits: Limits) -> Callable:
+def packer(tokenizer_path: str, end_id: int, limits: Limits, keep_cache: bool = False) -> Callable:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, state = TokenCache(tokenizer_path), Packer(limits)
+        cache = token_cache(tokenizer_path) if keep_cache else TokenCache(tokenizer_path)
+        state = Packer(limits)
         # of the documents with pieces in the pool
         doc_ids: dict[int, int | None] = {}
         ids: dict[int, bytes] = {}

@@ -63,7 +63,7 @@ def mixture(spark, sf_dir):
 
 def packed(spark, sf_dir):
     """Pieces of every document in sequences of at most 2048 tokens."""
-    found = packing.pack_texts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    found = packing.pack_texts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), keep_cache=True)
     return found.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
