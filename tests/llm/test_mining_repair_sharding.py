@@ -63,6 +63,22 @@ def test_hard_negatives(spark, least_block, batch):
     assert sorted(map(tuple, got.collect())) == by_hand_negatives(rows, lambda i: i % 4 == 0)
 
 
+def test_hard_negatives_in_many_partitions(spark):
+    """Lists and anchors of a block meet, whatever the partitions are: not only where adaptive execution joins them all."""
+    rows = vector_rows(random.Random(8))
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        got = hard_negatives.mine(df, F.col("vec_id") % 4 == 0, least_block=40, batch_anchors=7).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sorted(map(tuple, got)) == by_hand_negatives(rows, lambda i: i % 4 == 0)
+
+
 def test_hard_negatives_of_large_numbers(spark):
     rng = random.Random(6)
     rows = [(i, i % 2, [rng.choice([1e15, -3.5e9, 2.0**50 + 0.25, 1e-5, 0.5]) for _ in range(3)], 1, 2, 3, 4, "x") for i in range(40)]

@@ -120,12 +120,16 @@ def mine(
 def _search(entries: DataFrame, blocks: int, batches: int, asking: DataFrame, search: Callable) -> DataFrame:
     """What each block has for each anchor (FOUND). Anchors meet blocks batch by batch."""
 
+    # One type on both sides: a cogroup doesn't make keys alike, and an int and a long hash to different partitions.
     def spread(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    listed = entries.select(F.pmod("h", F.lit(blocks)).alias("block"), spread(batches).alias("batch"), "label", "vector", "ids", "rows")
+    def dealt(n: int) -> Column:
+        return F.pmod("h", F.lit(n)).cast("int")
+
+    listed = entries.select(dealt(blocks).alias("block"), spread(batches).alias("batch"), "label", "vector", "ids", "rows")
     asked = asking.select(
-        spread(blocks).alias("block"), F.pmod("h", F.lit(batches)).alias("batch"), "row", "vec_id", F.col("label").alias("own"),
+        spread(blocks).alias("block"), dealt(batches).alias("batch"), "row", "vec_id", F.col("label").alias("own"),
         F.col("vector").alias("anchor"), "targets",
     )
     keys = ["block", "batch"]

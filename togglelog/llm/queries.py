@@ -172,8 +172,8 @@ def rollup(spark, sf_dir):
 def negatives(spark, sf_dir):
     """Five hard negatives for each of five positives of every row whose id is divisible by 100."""
     rows = table(spark, sf_dir, "embeddings")
-    label = F.col("label").cast("long")
-    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    label = F.col("label")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + F.lit(1).cast("long")) % 10).otherwise(label)
     return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0, every_row=True)
 
 
