@@ -158,6 +158,16 @@ def test_reading_stops_early():
     assert sorted(scores)[-k:] == sorted(data @ anchor)[-k:]
 
 
+def test_reading_stops_when_all_rows_are_met():
+    import numpy as np
+
+    data, asked = np.floor(np.random.default_rng(4).normal(size=(500, 64)) * 256), []
+    lists = hard_negatives.Lists(data, np.zeros(500), [[i] for i in range(500)])
+    rows, scores = lists.read(data[3], lambda r, s, t: asked.append(len(r)))
+    assert sorted(rows) == list(range(500)) and (scores == data[rows] @ data[3]).all()
+    assert all(n < 500 for n in asked)
+
+
 # --- conversation repair ------------------------------------------------------------------------
 
 

@@ -149,7 +149,7 @@ class Lists:
         return Lists(self.data[rows], self.labels[rows], [self.ids[i] for i in rows.tolist()])
 
     def read(self, anchor: np.ndarray, enough: Callable) -> tuple[np.ndarray, np.ndarray]:
-        """Rows met and their scores, read until enough(rows, scores, threshold) or to the end of the lists."""
+        """Rows met and their scores, read until enough(rows, scores, threshold) or until all are met."""
         n = len(self.data)
         dims = np.flatnonzero(anchor != 0)
         if not len(dims):  # all scores are zero
@@ -160,13 +160,15 @@ class Lists:
         while depth < n:
             end = min(n, depth + step)
             read = np.concatenate((self.orders[n - end : n - depth, dims[up]].ravel(), self.orders[depth:end, dims[~up]].ravel()))
-            new = np.unique(read[~met[read]])
+            new = np.zeros(n, bool)
+            new[read] = True
+            new = np.flatnonzero(new & ~met)
             met[new] = True
             rows, scores = np.concatenate((rows, new)), np.concatenate((scores, self.data[new] @ anchor))
             last = np.where(up, self.orders[n - end, dims], self.orders[end - 1, dims])
             threshold = (self.data[last, dims] * anchor[dims]).sum()
             depth, step = end, end
-            if enough(rows, scores, threshold):
+            if len(rows) == n or enough(rows, scores, threshold):
                 break
         return rows, scores
 
