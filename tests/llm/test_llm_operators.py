@@ -106,6 +106,65 @@ def test_jaccard_components(spark, docs, block_sets):
     assert jaccard_join.similarity_components(docs.where("false")).count() == 0
 
 
+def test_components_by_rounds_and_in_one_task(spark):
+    rng = random.Random(11)
+    pairs = [(rng.randrange(400) - 200, rng.randrange(400) - 200) for _ in range(150)] + [(1000 - i, 999 - i) for i in range(60)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    by_rounds, at_once = (sorted(map(tuple, connected_components(edges, alone).collect())) for alone in (0, 10**6))
+    assert by_rounds == at_once and len(at_once) == len({x for p in pairs for x in p})
+
+
+def posted_rows(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted(map(tuple, jaccard_join._candidates(docs, 80, 5, np.empty(0, np.uint64)).collect()))
+
+
+def test_copies_are_posted_once(spark):
+    """Six copies of a corpus post what one posts, and texts without another near copy nothing."""
+    rng = random.Random(12)
+    texts = [prose(80, rng) for _ in range(30)]
+    texts += [t + " more" for t in texts[:5]]
+    once = posted_rows(spark, list(enumerate(texts)))
+    assert len({r[0] for r in once}) == 10
+    assert posted_rows(spark, [(100 * k + i, t) for k in range(6) for i, t in enumerate(texts)]) == once
+
+
+def test_shared_lines_are_no_candidates(spark):
+    """A text made of lines of as many others, which share too little each, meets no bucket often enough."""
+    rng = random.Random(13)
+    lines = [prose(20, rng) for _ in range(16)]
+    texts = [" ".join(lines)] + [" ".join([line, *(prose(20, rng) for _ in range(15))]) for line in lines]
+    assert posted_rows(spark, list(enumerate(texts))) == []
+
+
+@pytest.mark.parametrize("most", [10**6, 8])
+def test_streams_of_postings_keep_what_links(most, monkeypatch):
+    """Over batches of any size, shingles of any frequency: what the two streams keep holds all that linked sets share."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard_join, "SOLVE_ROWS", 7)
+    rng = random.Random(14)
+    sets = {}
+    for i in range(60):  # (id, n): shingles; families of near copies, and shingles that all have
+        family = [10_000 * (i // 6) + k for k in range(40)]
+        own = set(family[: 38 + i % 3]) | ({5, 6} if i % 2 else set())
+        sets[rng.randrange(-(2**63), 2**63), len(own)] = own
+    rows = sorted((t, n, i) for (i, n), own in sets.items() for t in own for _ in range(1 + i % 2))
+
+    def batches(rows, names):
+        for at in range(0, len(rows), 5):
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[at : at + 5])], names)
+
+    met = jaccard_join.partner_writer(80, most)(batches([(i, n, t) for t, n, i in rows], ["id", "n", "token"]))
+    met = sorted(tuple(r.values()) for b in met for r in b.to_pylist())
+    kept = jaccard_join.enough_writer(80)(batches(met, ["id", "n", "token", "partners"]))
+    kept = {(r["id"], r["token"]) for b in kept for r in b.to_pylist()}
+    for (a, _), x in sets.items():
+        for (b, _), y in sets.items():
+            if a != b and 100 * len(x & y) >= 80 * len(x | y):
+                assert all((a, t) in kept for t in x & y)
+
+
 def test_signature_tree_prunes_no_link():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 2**63, int(n), dtype=np.uint64)) for n in rng.integers(1, 60, 60)]
@@ -120,6 +179,27 @@ def test_signature_tree_prunes_no_link():
     assert [links.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))]
 
 
+def test_blocks_of_a_group_meet_in_rounds(spark, monkeypatch):
+    """A group in many blocks that is not one component: no step shuffles a text more than twice, all links are found."""
+    rng = random.Random(15)
+    first, steps = prose(60, rng).split(), []
+    texts = [" ".join(first[: 60 - k] + [f"t{k}x{j}" for j in range(k)]) for k in range(0, 40, 4)]
+    rows = [(10 * i + j, t + f" e{j}") for i, t in enumerate(texts) for j in range(2)]
+    by_key = jaccard_join._by_key
+
+    def counted(keyed, *args):
+        steps.append(keyed.count())
+        return by_key(keyed, *args)
+
+    monkeypatch.setattr(jaccard_join, "_by_key", counted)
+    monkeypatch.setattr(jaccard_join, "_group_edges", lambda posted, percent: posted.selectExpr("id AS a", "min(id) OVER () AS b"))
+    got = jaccard_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), block_sets=2).collect()
+    want = by_hand_components(rows)
+    assert len(set(want.values())) > 3 and len(steps) > 4
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert max(steps) <= 2 * len(rows)
+
+
 def test_substring_dedup(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     words = [text_words(t) for _, t in rows]
