@@ -48,3 +48,38 @@ def test_late_rows_and_open_starts(spark, tmp_path):
     assert got == []  # the watermark stands at 5.5 s; the end at 6 s still waits
     got = stream(spark, tmp_path / "more", [first, [heartbeat(5_500 * MS)], second, [heartbeat(9_500 * MS)]], "1 second")
     assert got == [("d", "e", 0, 6_000 * MS, 6_000 * MS, "m", 0, 3)]
+
+
+def test_groups_share_state(spark, tmp_path):
+    """Many groups take a few calls a bucket: the state has rows by bucket and chunk, not by group; null `ord` and equal times."""
+    rows = [("e", t * MS, t % 2 == 0, f"d{d}", 1.0, "m", None if d % 3 else t) for d in range(300) for t in range(1, 7)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/log")
+    session = spark.newSession()
+    use_rocks_db(session)
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    log = session.readStream.schema(spark.read.parquet(f"{tmp_path}/log").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+    sink = stream_executions(log, "1 day", buckets=4).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    query = sink.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    most = max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
+    assert most <= 40  # 1800 rows wait
+    spark.createDataFrame([heartbeat(10**15)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()), key=repr)
+    want = sorted(map(tuple, pair_executions(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
+    assert len(want) == 600 and got == want
+
+
+def test_chunks_of_any_size(spark, tmp_path, monkeypatch):
+    """Chunks of some rows each, some of which the watermark has passed in part."""
+    import sys
+
+    monkeypatch.setattr(sys.modules["togglelog.streaming.pairing"], "CHUNK_ROWS", 3)
+    rng = random.Random(6)
+    rows = [(e, t * MS, toggled, d, p, m, o) for e, t, toggled, d, p, m, o in random_rows(6, 300, 3, hot=0.5)]
+    rows.sort(key=lambda r: r[1] + rng.randrange(200 * MS))
+    files = [rows[i : i + 60] for i in range(0, 300, 60)] + [[heartbeat(10**13)]]
+    for match in (True, False):
+        want = sorted(map(tuple, pair_executions(spark.createDataFrame(rows, SCHEMA), match_message=match).collect()), key=repr)
+        assert len(want) > 10
+        assert stream(spark, tmp_path / str(match), files, "200 milliseconds", match) == want
