@@ -152,3 +152,19 @@ def test_bad_arguments(spark):
         build_topology(devices_of(spark, 2), "tree")
     with pytest.raises(ValueError, match="connections"):
         build_topology(devices_of(spark, 2), "custom")
+
+
+def test_mesh_shuffles_blocks(spark):
+    """Edges are unfolded after the last exchange; nulls have no edge, a device that is there twice one with itself."""
+    import togglelog.operators.topology as topology
+
+    ids = [f"d{i}" for i in range(23)] + ["d3", None, "Ä", "z"]
+    devices = spark.createDataFrame([(d, 1.0, i) for i, d in enumerate(ids)], "device_id string, position double, first_ord long")
+    known = [d for d in ids if d is not None]
+    want = sorted(tuple(sorted((a, b), key=str.encode)) for i, a in enumerate(known) for b in known[:i])
+    for block in (1, 4, 512):
+        edges = topology._mesh_edges(devices, None, block)
+        assert sorted(map(tuple, edges.collect())) == want
+    plan = build_topology(devices, "mesh")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Generate posexplode") < min(plan.index("Repartition"), plan.index("Join"))
+    assert build_topology(devices.where("false"), "mesh").count() == 0

@@ -15,6 +15,9 @@ from togglelog.schema import normalise
 TOPOLOGIES = ("daisy", "star", "ring", "mesh", "custom")
 ORDERS = {"position": ("position", "first_ord", "device_id"), "appearance": ("first_ord", "device_id")}
 
+# Devices of a mesh that come as one row: a pair of such rows unfolds to 262,144 edges.
+MESH_BLOCK = 512
+
 # Up to this degree a node counts as the tier; above the last one it is "high".
 DEGREE_TIERS = (("isolated", 0), ("low", 2), ("medium", 4))
 
@@ -76,11 +79,33 @@ def build_topology(
         centre = devices.agg(F.min_by("device_id", F.struct(*ORDERS[order_by]))).scalar()
         others = devices.where(F.col("device_id") != centre)
         return _undirected(others.select(centre.alias("source"), F.col("device_id").alias("target")))
+    if mode == "mesh":
+        # every pair, whatever the order: no place is needed but one to cut blocks by
+        return _mesh_edges(devices, rows_per_group)
     pairs = _placed_pairs(devices, mode, order_by, rows_per_group)
     # only a ring of two devices names an edge twice
     return simple_edges(pairs) if mode == "ring" else _undirected(pairs)
 
 
+def _mesh_edges(devices: DataFrame, rows_per_group: int | None, block: int = MESH_BLOCK) -> DataFrame:
+    """Each pair of rows once. Devices are cut into blocks by their order, and pairs of blocks are shuffled, not
+    edges: a task unfolds its pairs of blocks as it goes, the source's below the target's."""
+    known = devices.where(F.col("device_id").isNotNull()).select("device_id")
+    ordered = rank_all(known, ("device_id",), "place", rows_per_group)
+    number = F.floor((F.col("place") - 1) / block).alias("block")
+    blocks = ordered.groupBy(number).agg(F.sort_array(F.collect_list("device_id")).alias("ids"))
+    total = known.agg(F.ceil(F.count("*") / block)).scalar()
+    later = F.explode(F.sequence(F.col("block"), total - 1))
+    left = blocks.select(F.col("block").alias("_low"), F.col("ids").alias("_left"), later.alias("_high"))
+    right = blocks.select(F.col("block").alias("_high"), F.col("ids").alias("_right"))
+    # by number, as few bytes become many edges
+    tasks = int(devices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.join(right, "_high").repartition(tasks, "_low", "_high")
+    sources = pairs.select("_low", "_high", "_right", F.posexplode("_left").alias("_at", "src"))
+    rest = F.when(F.col("_low") == F.col("_high"), F.slice("_right", F.col("_at") + 2, block)).otherwise(F.col("_right"))
+    return sources.select("src", F.explode(rest).alias("dst"))
+
+
 def _placed_pairs(devices: DataFrame, mode: str, order_by: str, rows_per_group: int | None) -> DataFrame:
     """Pairs (source, source_place, target, target_place) of a topology over the ordered devices."""
     if mode not in TOPOLOGIES:
