@@ -129,6 +129,21 @@ def test_copies_are_posted_once(spark):
     assert posted_rows(spark, [(100 * k + i, t) for k in range(6) for i, t in enumerate(texts)]) == once
 
 
+def test_pipeline_posts_copies_once(spark, monkeypatch):
+    """The pipeline's stage over six copies: about as many postings as over one, and one document of each text stays."""
+    import corpus_pipeline
+
+    rng, seen, edges = random.Random(16), [], jaccard_join._group_edges
+    texts = [prose(60, rng) for _ in range(10)]
+    texts += [texts[0] + " more"]
+    monkeypatch.setattr(jaccard_join, "_group_edges", lambda posted, percent: seen.append(posted.count()) or edges(posted, percent))
+    for copies in (1, 6):
+        rows = [(100 * k + i, t) for k in range(copies) for i, t in enumerate(texts)]
+        kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(10))
+    assert 0 < seen[1] < 2 * seen[0]  # copies change the order of shingles
+
+
 def test_shared_lines_are_no_candidates(spark):
     """A text made of lines of as many others, which share too little each, meets no bucket often enough."""
     rng = random.Random(13)
